@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.constants import ACTION_RANK, STATE_OF_ACTION
@@ -25,6 +25,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def unnest(df: DataFrame, computed: Column, name: str, keep: Sequence[str]) -> DataFrame:
+    """One row per element of a costly computed array.
+
+    A plain ``explode`` makes the optimizer add a not-empty filter on the array, which copies
+    the whole computation below the scan. The outer form has no such filter; the null row of
+    an empty array is dropped after it.
+    """
+    return df.select(*keep, F.explode_outer(computed).alias(name)).filter(F.col(name).isNotNull())
+
+
 def chars(value: Column) -> Column:
     return F.split(value, "")
 

@@ -9,12 +9,13 @@ linear in its length. Raw matches never leave the expression; only masked sample
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.functions.checks import check_named
-from veilscan.functions.core import let, strip
+from veilscan.functions.core import let, strip, unnest
 from veilscan.functions.dialect import needed_literal, to_java, with_surroundings
 from veilscan.sources.rules import Rule
 
@@ -174,16 +175,34 @@ def in_scope(rule: Rule, tags: Column) -> Column:
     return wanted
 
 
+@lru_cache(maxsize=64)
+def pack_expression(rules: tuple[Rule, ...], tags: str | None, only: str | None, jvm: int) -> Column:
+    """The expression of a whole pack; built once per pack, as building it costs more than
+    planning it. ``jvm`` keeps expressions of different sessions apart."""
+    scope = None
+    if tags:
+        scope = lambda rule: in_scope(rule, F.col(tags))
+    elif only:
+        scope = lambda rule: F.col(only) == F.lit(rule.id)
+    return hits_of(F.col("text"), rules, scope)
+
+
 def scan_pages(
     pages: DataFrame,
     rules: Sequence[Rule],
-    scope: Callable[[Rule], Column] | None = None,
+    tags: str | None = None,
+    only: str | None = None,
     tier: str = "text",
     keep: Sequence[str] = ("job_id", "page"),
 ) -> DataFrame:
-    """Hits of ``pages(job_id, page, text)``: one row per page and firing rule."""
-    rules = sorted(rules, key=lambda r: r.id)
+    """Hits of ``pages(job_id, page, text)``: one row per page and firing rule.
+
+    ``tags`` names a column with the tags a page is scanned for, ``only`` a column with the
+    one rule id to try. Both are decided per row before any pattern runs.
+    """
+    pack = tuple(sorted(rules, key=lambda r: r.id))
+    expression = pack_expression(pack, tags, only, id(pages.sparkSession.sparkContext._jvm))
     return (
-        pages.select(*keep, F.explode(hits_of(F.col("text"), rules, scope)).alias("hit"))
+        unnest(pages, expression, "hit", keep)
         .select(*keep, *[F.col(f"hit.{c}") for c in HIT_COLUMNS], F.lit(tier).alias("tier"))
     )
