@@ -82,6 +82,16 @@ def shingle_hashes(text: Column, k: int = SHINGLE_WORDS, hashing: str = "md5") -
     return let(words(text), rolled)
 
 
+def paired_with(hop: int):
+    """Array step that takes the lower of each element and the one ``hop`` places on."""
+
+    def step(cur: Column) -> Column:
+        ahead = F.slice(cur, F.lit(hop + 1), F.greatest(F.size(cur) - hop, F.lit(0)))
+        return F.zip_with(cur, ahead, lambda a, b: F.least(a, b))
+
+    return step
+
+
 def winnow(hashes: Column, window: int = WINNOW_WINDOW) -> Column:
     """Set of the minima of every ``window`` neighbouring hashes; of all hashes when there
     are no more than ``window``."""
@@ -91,14 +101,7 @@ def winnow(hashes: Column, window: int = WINNOW_WINDOW) -> Column:
         out, span = hs, 1
         while span < window:
             hop = min(span, window - span)
-            out = let(
-                out,
-                lambda cur, hop=hop: F.zip_with(
-                    cur, F.slice(cur, F.lit(hop + 1), F.greatest(F.size(cur) - hop, F.lit(0))),
-                    lambda a, b: F.least(a, b),
-                ),
-            )
-            span += hop
+            out, span = let(out, paired_with(hop)), span + hop
         return F.slice(out, F.lit(1), F.greatest(F.size(hs) - window + 1, F.lit(1)))
 
     return let(

@@ -16,6 +16,12 @@ def stem_of(file_name: Column) -> Column:
     return F.replace(file_name, F.lit(".pdf"), F.lit(""))
 
 
+def runs_of_length(text: Column, n: int) -> Column:
+    """All character runs of length ``n``; null for a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    return F.when(F.length(text) >= n, F.transform(starts, lambda at: F.substr(text, at, F.lit(n))))
+
+
 def match_jobs(expectations: DataFrame, jobs: DataFrame) -> DataFrame:
     """Newest job whose title contains the stem of each expectation's file, if any.
 
@@ -35,13 +41,7 @@ def match_jobs(expectations: DataFrame, jobs: DataFrame) -> DataFrame:
     ).select("stem", F.col("r.run").alias("run"))
     # At most GRAM numbers.
     lengths = sorted(row.g for row in stems.select("g").distinct().collect())
-    per_length = [
-        F.when(
-            F.length("title") >= n,
-            F.transform(F.sequence(F.lit(1), F.length("title") - (n - 1)), lambda p, n=n: F.substr(F.col("title"), p, F.lit(n))),
-        )
-        for n in lengths
-    ]
+    per_length = [runs_of_length(F.col("title"), n) for n in lengths]
     every_run = F.array_distinct(F.flatten(F.array_compact(F.array(*per_length)))) if lengths else F.array().cast("array<string>")
     titles = unnest(jobs, every_run, "run", ("job_id", "title", "created_at"))
     newest = titles.join(chosen, "run").filter(F.contains("title", F.col("stem"))).groupBy("stem").agg(
