@@ -133,7 +133,8 @@ def _covered_by_several(asking: DataFrame, grants: DataFrame) -> DataFrame:
     schema = f"read_id {types['read_id']}, request_id {types['request_id']}"
     # Only reads inside a grant's time can be covered; the others never enter a group.
     within = asking.join(grants, ["job_id", "actor"]).filter(_in_time()).select(asking.columns).distinct()
-    return within.groupBy("job_id", "actor").cogroup(grants.groupBy("job_id", "actor")).applyInPandas(walk, schema)
+    left, right = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (within, grants))
+    return left.groupBy("job_id", "actor").cogroup(right.groupBy("job_id", "actor")).applyInPandas(walk, schema)
 
 
 def audit_rows(judged_reads: DataFrame) -> DataFrame:

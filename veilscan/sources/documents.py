@@ -31,9 +31,10 @@ def load_policies(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def load_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Expectation manifest: one JSON list of cases."""
-    return spark.read.schema("name string, file string, expect string, scanned boolean").option("multiLine", True).json(path)
+def load_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Expectation manifest: one JSON list of cases, or one case per line, which also splits."""
+    shape = "name string, file string, expect string, scanned boolean"
+    return spark.read.schema(shape).option("multiLine", not lines).json(path)
 
 
 def write_by_day(df: DataFrame, path: str, at: str) -> None:
