@@ -9,6 +9,6 @@ def everything():
 
     from veilscan.catalog import registry
 
-    for module in ("scanning", "matching", "records"):
+    for module in ("scanning", "matching", "records", "streams"):
         import_module(f"veilscan.catalog.{module}")
     return registry.QUERIES, registry.SQL

@@ -26,8 +26,12 @@ def conversations(t: Tables) -> DataFrame:
 
 def garbled(t: Tables) -> DataFrame:
     """Documents of which some carry a text layer that is not language."""
+    return garbled_of(spread(t.documents))
+
+
+def garbled_of(documents: DataFrame) -> DataFrame:
     kind = F.col("doc_id") % 7
-    return spread(t.documents).select(
+    return documents.select(
         F.col("doc_id").alias("job_id"), F.lit(1).alias("page"), F.col("source").alias("queue"),
         F.when(kind == 1, F.regexp_replace("text", "[A-Za-zÀ-ɏ]", "#"))
         .when(kind == 2, F.substring("text", 1, 15))
