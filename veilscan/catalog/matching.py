@@ -209,7 +209,7 @@ def verdict_merged(t):
     from veilscan.functions.core import releasable
 
     jobs = t.orders.select(F.col("o_orderkey").alias("job_id"))
-    merged = ev.merged(ev.decide_rules(dv.hits(t)), ev.decide_corpus(dv.matches(t)), jobs)
+    merged = ev.merged(jobs.join(ev.decide_rules(dv.hits(t)), "job_id", "left"), ev.decide_corpus(dv.matches(t)))
     return merged.withColumns(ev.verdict_columns()).select(
         "job_id", "action", "state", releasable(F.col("action")).alias("release"), F.col("final_reason").alias("reason"), F.round("final_score", 9).alias("score")
     )
@@ -236,9 +236,9 @@ def evidence_list(t):
     return ev.evidence_list(dv.hits(t), dv.matches(t))
 
 
-def policies_of(t, jobs):
-    stored, from_file = dv.stored_policies(t), po.with_defaults(dv.file_overrides(t))
-    return po.with_policy(jobs.select("job_id", "queue"), stored, from_file).select("job_id", "policy")
+def governed(t, pages):
+    """Pages with the policy of their queue."""
+    return po.with_policy(pages, dv.stored_policies(t), po.with_defaults(dv.file_overrides(t)))
 
 
 FACTS = f"""
@@ -269,16 +269,14 @@ GARBLED_PAGES = GARBLED.replace("garbled AS", "p AS", 1)
 @query("inspect_documents", with_(*whole("p AS (SELECT doc_id AS job_id, 1 AS page, source AS queue, text FROM documents)")) + "SELECT * FROM verdicts")
 def inspect_documents(t):
     """The whole path: policy, rules, fingerprints, merge, deep-scan hold, state."""
-    docs = dv.documents(t)
-    result = pl.inspect(docs.select("job_id", "page", "text"), policies_of(t, docs), RULES, dv.corpus(t), single_page=True)
+    result = pl.inspect(governed(t, dv.documents(t)), RULES, dv.corpus(t), single_page=True)
     return result.verdicts.withColumn("score", F.round("score", 9))
 
 
 @query("inspect_garbled", with_(*whole(GARBLED_PAGES)) + "SELECT * FROM verdicts")
 def inspect_garbled(t):
     """The same over documents with unreadable text layers, so that the deferred tier matters."""
-    docs = dv.garbled(t)
-    result = pl.inspect(docs.select("job_id", "page", "text"), policies_of(t, docs), RULES, dv.corpus(t), single_page=True)
+    result = pl.inspect(governed(t, dv.garbled(t)), RULES, dv.corpus(t), single_page=True)
     return result.verdicts.withColumn("score", F.round("score", 9))
 
 
@@ -288,8 +286,7 @@ def inspect_garbled(t):
     + "SELECT job_id, 'inspected' AS kind, 'system' AS actor, 'action=' || action || ' score=' || printf('%.2f', score) || ' rules=' || rule_hits AS detail FROM verdicts",
 )
 def inspected_events(t):
-    docs = dv.documents(t)
-    return pl.inspect(docs.select("job_id", "page", "text"), policies_of(t, docs), RULES, dv.corpus(t), single_page=True).events
+    return pl.inspect(governed(t, dv.documents(t)), RULES, dv.corpus(t), single_page=True).events
 
 
 CONV_QUEUE = "'src' || (conv_id % 20)"
@@ -308,11 +305,8 @@ CONV_QUEUE = "'src' || (conv_id % 20)"
 )
 def inspect_conversations(t):
     """Multi-page jobs: facts and hits per page, fingerprints over the joined text."""
-    pages = dv.conversations(t)
-    jobs = t.conversations.select(
-        F.col("conv_id").alias("job_id"), F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("queue")
-    ).distinct()
-    return pl.inspect(pages, policies_of(t, jobs), RULES, dv.corpus(t)).verdicts.withColumn("score", F.round("score", 9))
+    pages = dv.conversations(t).withColumn("queue", F.concat(F.lit("src"), (F.col("job_id") % 20).cast("string")))
+    return pl.inspect(governed(t, pages), RULES, dv.corpus(t)).verdicts.withColumn("score", F.round("score", 9))
 
 
 @query("thin_pages", with_(GARBLED) + f"SELECT job_id, page FROM garbled WHERE {thin_sql('text')}")
@@ -366,8 +360,8 @@ def deferred_tier(t):
     )
     stored = docs.filter(k % 4 == 2).select("job_id", F.lit("text").alias("tier"), F.lit("hold").alias("action"))
     after, _, _ = pl.deferred(
-        jobs, docs.select("job_id", "page", "text"), docs.select("job_id", "page", F.col("original").alias("text")),
-        stored, policies_of(t, docs), RULES, dv.corpus(t),
+        jobs, governed(t, docs.select("job_id", "page", "queue", "text")),
+        docs.select("job_id", "page", F.col("original").alias("text")), stored, RULES, dv.corpus(t),
     )
     return after.select("job_id", "action", "state", F.round("score", 9).alias("score"), "reason", F.coalesce("event", F.lit("")).alias("event"))
 

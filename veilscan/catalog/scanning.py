@@ -220,6 +220,15 @@ def dialect_matches(t):
     )
 
 
+CUSTOM = [
+    Rule("every-the", "The word the", r"\bthe\b", action="log", severity=1, base_confidence=0.8, min_count=3,
+         terms=("and", "Of", "is"), window=12, boost=0.15, sample_prefix=1, sample_suffix=0),
+    Rule("long-word", "Long word", r"\b\w{12,}\b", severity=2, base_confidence=0.5, threshold=0.7, validator="none",
+         terms=("é", "è"), window=25, required=True, sample_prefix=2, sample_suffix=3),
+    Rule("always-on", "Fires without a match", r"zz9zz9", severity=0, base_confidence=0.9, min_count=0),
+]
+
+
 # --- scans -----------------------------------------------------------------------------
 
 
@@ -234,10 +243,10 @@ def scan_documents(t):
 
 @query(
     "scan_conversations",
-    with_("p AS (SELECT conv_id AS job_id, (turn + 1)::INT AS page, text FROM conversations)", scan_cte("h", RULES, "p")) + f"SELECT {HIT} FROM h",
+    with_("p AS (SELECT conv_id AS job_id, (turn + 1)::INT AS page, text FROM conversations)", scan_cte("h", RULES + CUSTOM[:2], "p")) + f"SELECT {HIT} FROM h",
 )
 def scan_conversations(t):
-    return shown(scan_pages(dv.conversations(t), RULES))
+    return shown(scan_pages(dv.conversations(t), RULES + CUSTOM[:2]))
 
 
 @query("scan_planted", with_(PLANTED, scan_cte("h", RULES, "planted")) + f"SELECT {HIT} FROM h")
@@ -261,15 +270,6 @@ def scan_by_tag(t):
     return shown(scan_pages(dv.planted(t).withColumn("tags", tags), RULES, tags="tags"))
 
 
-CUSTOM = [
-    Rule("every-the", "The word the", r"\bthe\b", action="log", severity=1, base_confidence=0.8, min_count=3,
-         terms=("and", "Of", "is"), window=12, boost=0.15, sample_prefix=1, sample_suffix=0),
-    Rule("long-word", "Long word", r"\b\w{12,}\b", severity=2, base_confidence=0.5, threshold=0.7, validator="none",
-         terms=("é", "è"), window=25, required=True, sample_prefix=2, sample_suffix=3),
-    Rule("always-on", "Fires without a match", r"zz9zz9", severity=0, base_confidence=0.9, min_count=0),
-]
-
-
 @query(
     "scan_custom_rules",
     with_("p AS (SELECT doc_id AS job_id, 1 AS page, text FROM documents)", scan_cte("h", CUSTOM[:2], "p"),

@@ -13,7 +13,7 @@ from veilscan.catalog.scan_sql import scan_cte
 from veilscan.operators import lifecycle as lc
 from veilscan.operators import policies as po
 from veilscan.plans import inspect as pl
-from veilscan.session import persist_table, shared_dir
+from veilscan.session import lookup_side, persist_table, shared_dir
 from veilscan.sources.rules import rules_table, shipped_rules
 from veilscan.streaming import feeds
 
@@ -48,7 +48,7 @@ def run_inspection(t, shape, alert_host=None):
     finished(
         feeds.inspection_feed(
             feeds.table_stream(spark, t.folder, "documents.parquet"),
-            lambda rows: rows.select("job_id", "queue").join(policies, "queue").select("job_id", "policy"),
+            lambda rows: rows.join(lookup_side(policies), "queue"),
             watch.current, out, f"{out}/checkpoint", corpus, alert_host, shape,
         )
     )
@@ -104,14 +104,12 @@ def stream_deferred(t):
     spark, docs = t.spark, dv.garbled(t)
     verdicts = spark.read.parquet(f"{out}/verdicts").drop("batch")
     stored = spark.read.parquet(f"{out}/evidence").drop("batch")
-    of_job = docs.select("job_id", "queue").join(policies, "queue").select("job_id", "policy")
-
     def step(pending):
         ids = pending.select("job_id")
-        mine = docs.join(ids, "job_id", "left_semi")
+        mine = docs.join(ids, "job_id", "left_semi").join(lookup_side(policies), "queue")
         after, _, _ = pl.deferred(
-            verdicts.join(ids, "job_id", "left_semi"), mine.select("job_id", "page", "text"),
-            mine.select("job_id", "page", F.col("original").alias("text")), stored, of_job, shipped_rules(), corpus,
+            verdicts.join(ids, "job_id", "left_semi"), mine.select("job_id", "page", "text", "policy"),
+            mine.select("job_id", "page", F.col("original").alias("text")), stored, shipped_rules(), corpus,
         )
         return after
 

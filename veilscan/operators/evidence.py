@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,28 @@ def evidence(hits: DataFrame, matches: DataFrame) -> DataFrame:
     return hits.select(*EVIDENCE_COLUMNS).unionByName(fingerprint_evidence(matches))
 
 
+def weight(hit: Column) -> Column:
+    """What decides between hits: rank, severity, score, then the earlier page and rule."""
+    return F.struct(
+        action_rank(hit["action"]).alias("rank"), hit["severity"].alias("severity"), hit["score"].alias("score"),
+        (-hit["page"]).alias("neg_page"), (-hit["rule_pos"]).alias("neg_pos"),
+        hit["rule_name"].alias("name"), hit["count"].alias("times"),
+    )
+
+
+def decision(top: str, score: Column, hits: Column) -> list[Column]:
+    """Decision columns of a job from its deciding hit, highest score and number of hits."""
+    others = hits - 1
+    reason = F.concat(
+        F.col(f"{top}.name"), F.lit(" ("), F.col(f"{top}.times").cast("string"), F.lit("x, score "),
+        two_decimals(F.col(f"{top}.score")), F.lit(")"),
+        F.when(others == 1, F.lit(" and 1 other rule"))
+        .when(others > 1, F.concat(F.lit(" and "), others.cast("string"), F.lit(" other rules")))
+        .otherwise(F.lit("")),
+    )
+    return [F.col(f"{top}.rank").alias("rank"), score.alias("score"), reason.alias("reason"), hits.alias("hits")]
+
+
 def decide_rules(hits: DataFrame) -> DataFrame:
     """Most restrictive action per job and the hit that decides it.
 
@@ -40,29 +64,21 @@ def decide_rules(hits: DataFrame) -> DataFrame:
     hit order, which is page and then rule. One struct maximum does it, so each map task
     sends a single row per job however many hits one job has.
     """
-    order = F.struct(
-        action_rank(F.col("action")).alias("rank"), "severity", "score",
-        (-F.col("page")).alias("neg_page"), (-F.col("rule_pos")).alias("neg_pos"),
-        F.col("rule_name").alias("name"), F.col("count").alias("times"),
-    )
+    names = ("action", "severity", "score", "page", "rule_pos", "rule_name", "count")
     top = hits.groupBy("job_id").agg(
-        F.max(order).alias("top"), F.max("score").alias("score"), F.count("*").alias("hits")
+        F.max(weight({n: F.col(n) for n in names})).alias("top"), F.max("score").alias("best"), F.count("*").alias("n")
     )
-    others = F.col("hits") - 1
-    return top.select(
-        "job_id",
-        F.col("top.rank").alias("rank"),
-        "score",
-        F.concat(
-            F.col("top.name"), F.lit(" ("), F.col("top.times").cast("string"), F.lit("x, score "),
-            two_decimals(F.col("top.score")), F.lit(")"),
-            F.when(others == 1, F.lit(" and 1 other rule"))
-            .when(others > 1, F.concat(F.lit(" and "), others.cast("string"), F.lit(" other rules")))
-            .otherwise(F.lit("")),
-        ).alias("reason"),
-        "hits",
-        F.col("top.severity").alias("top_severity"),
+    return top.select("job_id", *decision("top", F.col("best"), F.col("n")))
+
+
+def decide_in_row(rows: DataFrame, hits: str, keep: Sequence[str]) -> DataFrame:
+    """The same where a job is one row that holds its own hits: nothing is shuffled."""
+    weighed = rows.select(
+        *keep, F.array_max(F.transform(hits, weight)).alias("top"),
+        F.array_max(F.transform(hits, lambda h: h["score"])).alias("best"),
+        F.coalesce(F.size(hits), F.lit(0)).cast("bigint").alias("n"),
     )
+    return weighed.select(*keep, *decision("top", F.col("best"), F.col("n")))
 
 
 def decide_corpus(matches: DataFrame) -> DataFrame:
@@ -78,10 +94,11 @@ def decide_corpus(matches: DataFrame) -> DataFrame:
     )
 
 
-def merged(rule_decisions: DataFrame, corpus_decisions: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Fold both kinds of evidence for every job: a corpus match takes over only when it is
+def merged(judged: DataFrame, corpus_decisions: DataFrame) -> DataFrame:
+    """Fold both kinds of evidence for every job of ``judged``, which has the decision columns
+    of its rule hits (nulls where there are none). A corpus match takes over only when it is
     strictly more restrictive; the score is the highest of all."""
-    both = jobs.join(rule_decisions, "job_id", "left").join(corpus_decisions, "job_id", "left")
+    both = judged.join(corpus_decisions, "job_id", "left")
     rule_rank = F.coalesce(F.col("rank"), F.lit(0))
     takes_over = F.coalesce(F.col("match_rank"), F.lit(0)) > rule_rank
     return both.withColumns(
@@ -95,7 +112,7 @@ def merged(rule_decisions: DataFrame, corpus_decisions: DataFrame, jobs: DataFra
             ),
             "rule_hits": F.coalesce(F.col("hits"), F.lit(0).cast("bigint")),
         }
-    ).drop("rank", "match_rank", "match_name", "match_ratio", "reason", "score", "hits", "top_severity")
+    ).drop("rank", "match_rank", "match_name", "match_ratio", "reason", "score", "hits")
 
 
 def verdict_columns() -> dict[str, Column]:

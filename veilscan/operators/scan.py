@@ -187,6 +187,14 @@ def pack_expression(rules: tuple[Rule, ...], tags: str | None, only: str | None,
     return hits_of(F.col("text"), rules, scope)
 
 
+def page_hits(
+    pages: DataFrame, rules: Sequence[Rule], tags: str | None = None, only: str | None = None
+) -> Column:
+    """All hits of a page as one array column of ``pages``."""
+    pack = tuple(sorted(rules, key=lambda r: r.id))
+    return pack_expression(pack, tags, only, id(pages.sparkSession.sparkContext._jvm))
+
+
 def scan_pages(
     pages: DataFrame,
     rules: Sequence[Rule],
@@ -200,9 +208,7 @@ def scan_pages(
     ``tags`` names a column with the tags a page is scanned for, ``only`` a column with the
     one rule id to try. Both are decided per row before any pattern runs.
     """
-    pack = tuple(sorted(rules, key=lambda r: r.id))
-    expression = pack_expression(pack, tags, only, id(pages.sparkSession.sparkContext._jvm))
     return (
-        unnest(pages, expression, "hit", keep)
+        unnest(pages, page_hits(pages, rules, tags, only), "hit", keep)
         .select(*keep, *[F.col(f"hit.{c}") for c in HIT_COLUMNS], F.lit(tier).alias("tier"))
     )

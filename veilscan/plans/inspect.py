@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.functions.core import two_decimals
@@ -17,7 +17,7 @@ from veilscan.functions.text import is_thin
 from veilscan.operators import evidence as ev
 from veilscan.operators import lifecycle as lc
 from veilscan.operators.fingerprint import corpus_matches, document_text
-from veilscan.operators.scan import scan_pages
+from veilscan.operators.scan import page_hits, scan_pages
 from veilscan.sources.rules import Rule
 
 
@@ -38,45 +38,50 @@ class Inspection:
 
 def page_facts(pages: DataFrame) -> DataFrame:
     """Per job: pages, characters and thin pages, counted where the pages are read."""
+    carried = [F.any_value("policy").alias("policy")] if "policy" in pages.columns else []
     return pages.select(
-        "job_id", F.length("text").alias("chars"), is_thin(F.col("text")).alias("thin")
+        *[c for c in pages.columns if c in ("job_id", "policy")],
+        F.length("text").alias("chars"), is_thin(F.col("text")).alias("thin"),
     ).groupBy("job_id").agg(
         F.count("*").alias("page_count"),
         F.sum("chars").alias("chars"),
         F.count_if("thin").alias("pages_without_text"),
+        *carried,
+    )
+
+
+def no_matches(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        [], "job_id bigint, document_id bigint, document_name string, severity int, action string, overlap bigint, ratio double"
     )
 
 
 def inspect(
-    pages: DataFrame, policies: DataFrame, rules: Sequence[Rule], corpus: Corpus | None = None,
-    single_page: bool = False,
+    pages: DataFrame, rules: Sequence[Rule], corpus: Corpus | None = None, single_page: bool = False
 ) -> Inspection:
-    """Verdicts for ``pages(job_id, page, text)`` whose jobs have ``policies(job_id, policy)``.
+    """Verdicts for ``pages(job_id, page, text, policy)``.
 
-    ``single_page`` says that every job is one page. Its facts and its whole text are then
-    its own row, so no text is shuffled at all.
+    ``policy`` comes from a lookup by queue, so pages are not shuffled to get it.
+    ``single_page`` says that every job is one page: its facts, hits and rule decision are
+    then made in its own row, and no text and no hit is shuffled.
     """
-    spark = pages.sparkSession
+    tagged = pages.withColumn("tags", F.col("policy.rule_tags"))
+    hits = scan_pages(tagged, rules, tags="tags")
+    texts = pages.select("job_id", "text") if single_page else document_text(pages.select("job_id", "page", "text"))
+    matches = no_matches(pages.sparkSession) if corpus is None else corpus_matches(texts, corpus.registered, corpus.fingerprints)
     if single_page:
-        facts = pages.select(
-            "job_id", F.lit(1).cast("bigint").alias("page_count"),
+        rows = tagged.select(
+            "job_id", "policy",
+            F.lit(1).cast("bigint").alias("page_count"),
             F.length("text").cast("bigint").alias("chars"),
             is_thin(F.col("text")).cast("bigint").alias("pages_without_text"),
+            F.transform(page_hits(tagged, rules, tags="tags"), lambda h: h.withField("page", F.lit(1))).alias("found"),
         )
-        texts = pages.select("job_id", "text")
-    else:
-        facts, texts = page_facts(pages), document_text(pages)
-    if "tags" not in pages.columns:
-        pages = pages.join(policies.select("job_id", F.col("policy.rule_tags").alias("tags")), "job_id")
-    hits = scan_pages(pages, rules, tags="tags")
-    if corpus is None:
-        matches = spark.createDataFrame(
-            [], "job_id bigint, document_id bigint, document_name string, severity int, action string, overlap bigint, ratio double"
-        )
+        judged = ev.decide_in_row(rows, "found", ("job_id", "policy", "page_count", "chars", "pages_without_text"))
     else:
-        matches = corpus_matches(texts, corpus.registered, corpus.fingerprints)
-    judged = ev.merged(ev.decide_rules(hits), ev.decide_corpus(matches), facts.join(policies, "job_id"))
-    return Inspection(hits, matches, ev.evidence(hits, matches), *finish(judged))
+        judged = page_facts(pages).join(ev.decide_rules(hits), "job_id", "left")
+    verdicts, events = finish(ev.merged(judged, ev.decide_corpus(matches)))
+    return Inspection(hits, matches, ev.evidence(hits, matches), verdicts, events)
 
 
 def finish(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,19 +112,18 @@ def finish(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def deferred(
     jobs: DataFrame, pages: DataFrame, recognised: DataFrame, stored_evidence: DataFrame,
-    policies: DataFrame, rules: Sequence[Rule], corpus: Corpus | None = None,
+    rules: Sequence[Rule], corpus: Corpus | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Second tier: (jobs after, evidence added, pages after).
 
-    ``recognised(job_id, page, text)`` replaces the text of thin pages. Rules run on the
+    ``pages`` carry their policy; ``recognised(job_id, page, text)`` replaces thin pages' text. Rules run on the
     recognised pages, fingerprints on the whole new text. Corpus matches of this tier move
     the verdict but are not stored as evidence.
     """
-    thin_pages = pages.filter(is_thin(F.col("text"))).select("job_id", "page")
-    usable = recognised.join(lc.ocr_batch(thin_pages), ["job_id", "page"], "left_semi")
-    after = lc.recognised_pages(pages, usable)
-    tags = policies.select("job_id", F.col("policy.rule_tags").alias("tags"))
-    hits = scan_pages(usable.join(tags, "job_id"), rules, tags="tags", tier="ocr")
+    thin_pages = pages.filter(is_thin(F.col("text"))).select("job_id", "page", F.col("policy.rule_tags").alias("tags"))
+    usable = recognised.join(lc.ocr_batch(thin_pages), ["job_id", "page"])
+    after = lc.recognised_pages(pages.select("job_id", "page", "text"), usable)
+    hits = scan_pages(usable, rules, tags="tags", tier="ocr")
     looked = thin_pages.groupBy("job_id").agg(F.count("*").alias("thin"))
     if corpus is None:
         best = None
@@ -136,7 +140,7 @@ def deferred(
         best = known.select(
             "job_id", F.lit(0).alias("match_rank"), F.lit("").alias("match_name"), F.lit(0.0).alias("match_ratio")
         )
-    found = ev.merged(ev.decide_rules(hits), best, known.select("job_id")).select(
+    found = ev.merged(known.select("job_id").join(ev.decide_rules(hits), "job_id", "left"), best).select(
         "job_id", F.col("final_rank").alias("ocr_rank"), F.col("final_reason").alias("ocr_reason"),
         F.col("final_score").alias("ocr_score"),
     )

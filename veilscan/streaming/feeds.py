@@ -52,7 +52,7 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def inspection_feed(
-    pages: DataFrame, policy_of: Callable[[DataFrame], DataFrame], rules: Callable[[], list[Rule]], out: str,
+    pages: DataFrame, with_policy: Callable[[DataFrame], DataFrame], rules: Callable[[], list[Rule]], out: str,
     checkpoint: str, corpus: Corpus | None = None, alert_host: str | None = None,
     shape: Callable[[DataFrame], DataFrame] | None = None, available_now: bool = True,
 ) -> StreamingQuery:
@@ -64,7 +64,9 @@ def inspection_feed(
         rows = shape(batch) if shape else batch
         rows.persist()
         try:
-            result = inspect(rows.select("job_id", "page", "text"), policy_of(rows), rules(), corpus, single_page=True)
+            result = inspect(
+                with_policy(rows).select("job_id", "page", "text", "policy"), rules(), corpus, single_page=True
+            )
             write_batch(result.verdicts, f"{out}/verdicts", batch_id)
             write_batch(result.evidence, f"{out}/evidence", batch_id)
             done = batch.sparkSession.read.parquet(f"{out}/verdicts/batch={batch_id}")
