@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from veilscan.functions.checks import check_named
 from veilscan.functions.core import let, strip, unnest
-from veilscan.functions.dialect import needed_literal, to_java, with_surroundings
+from veilscan.functions.dialect import first_test, needed_literal, to_java, with_surroundings
 from veilscan.sources.rules import Rule
 
 CONTEXTS_KEPT = 5
@@ -144,7 +144,7 @@ def evaluate(text: Column, rule: Rule, position: int) -> Column:
 def may_match(text: Column, rule: Rule) -> Column:
     """Whether a rule's pattern occurs in a text; cheapest test first, later ones only when
     the earlier ones hold."""
-    test = F.rlike(text, F.lit(to_java(rule.pattern, rule.ignore_case, boundaries=False)))
+    test = F.rlike(text, F.lit(first_test(rule.pattern, rule.ignore_case)))
     if "\\b" in rule.pattern.lower():
         test = test & F.rlike(text, F.lit(to_java(rule.pattern, rule.ignore_case)))
     literal = needed_literal(rule.pattern, rule.ignore_case)

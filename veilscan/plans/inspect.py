@@ -71,7 +71,7 @@ def inspect(
     matches = no_matches(pages.sparkSession) if corpus is None else corpus_matches(texts, corpus.registered, corpus.fingerprints)
     if single_page:
         rows = tagged.select(
-            "job_id", "policy",
+            "job_id", F.struct("policy.deep_scan_required").alias("policy"),
             F.lit(1).cast("bigint").alias("page_count"),
             F.length("text").cast("bigint").alias("chars"),
             is_thin(F.col("text")).cast("bigint").alias("pages_without_text"),
