@@ -107,7 +107,7 @@ def to_java(pattern: str, ignore_case: bool = True, boundaries: bool = True) ->
             token = "\\z"
         out.append(token)
     # (?d): only a line feed ends a line; (?iu): case folding beyond ASCII.
-    return ("(?diu)" if ignore_case else "(?d)") + "".join(out)
+    return lead(pattern, ignore_case) + ("(?diu)" if ignore_case else "(?d)") + "".join(out)
 
 
 def needed_literal(pattern: str, ignore_case: bool = True) -> str:
@@ -146,20 +146,28 @@ FOLDED = {"s": "\u017f", "k": "\u212a"}
 
 
 def first_letters(pattern: str, ignore_case: bool = True) -> str:
-    """All characters a match can begin with, where the pattern starts with plain letters or
-    with a group of alternatives that do; '' where that is not evident."""
+    """All characters a match can begin with, where the pattern starts with plain letters,
+    digits or a group of alternatives that do; '' where that is not evident."""
     tokens = [t for t in TOKEN.findall(pattern)]
     while tokens and tokens[0] in ("\\b", "\\B"):
         tokens.pop(0)
     starts, depth, opening = [], 0, False
     if tokens[:3] == ["(", "?", ":"]:
         tokens, depth, opening = tokens[3:], 1, True
+    simple = "|" not in tokens and re.match(r"\[([A-Za-z0-9-]+)\](?![*?]|\{0)", "".join(tokens))
+    if simple and not opening and not ignore_case:
+        return simple.group(1)
     for at, token in enumerate(tokens):
         if at == 0 or opening:
             after = tokens[at + 1] if at + 1 < len(tokens) else ""
-            if not (len(token) == 1 and token.isascii() and token.isalnum()) or after in ("*", "?", "{"):
+            if after in ("*", "?") or (after == "{" and tokens[at + 2 : at + 3] == ["0"]):
+                return ""
+            if token == "\\d":
+                starts.extend("0123456789")
+            elif len(token) == 1 and token.isascii() and token.isalnum():
+                starts.append(token)
+            else:
                 return ""
-            starts.append(token)
         opening = token == "|" and depth <= 1
         if depth == 0 and token == "|":
             return ""
@@ -174,23 +182,21 @@ def first_letters(pattern: str, ignore_case: bool = True) -> str:
     return "".join(sorted(folded))
 
 
-def first_test(pattern: str, ignore_case: bool = True) -> str:
-    """Java pattern that occurs in every text a rule matches in, made to scan fast: without
-    word boundaries, and trying the alternatives only where one of them can begin."""
-    java = to_java(pattern, ignore_case, boundaries=False)
+def lead(pattern: str, ignore_case: bool) -> str:
+    """Look-ahead for the first character of a match, or ''. It comes before everything else,
+    so at most places of a text neither the boundaries nor the alternatives are tried."""
     letters = first_letters(pattern, ignore_case)
-    flags, body = re.match(r"(\(\?[a-z]+\))(.*)", java, re.DOTALL).groups()
-    return f"(?=[{letters}]){flags}{body}" if letters else java
+    return f"(?=[{letters}])" if letters else ""
 
 
 def with_surroundings(java_pattern: str, window: int) -> str:
     """Pattern whose groups 1, 2, 3 are up to ``window`` characters before a match, the
     match, and up to ``window`` characters after it. The look-arounds consume nothing, so the
     matches are those of the plain pattern; the look-behind is tried only where one starts."""
-    flags, body = re.match(r"(\(\?[a-z]+\))(.*)", java_pattern, re.DOTALL).groups()
+    ahead, flags, body = re.match(r"(\(\?=\[[\w-]+\]\))?(\(\?[a-z]+\))(.*)", java_pattern, re.DOTALL).groups()
     before = f"(?s:\\A.{{0,{max(window - 1, 0)}}}|.{{{window}}})"
     body = capture_free(body)
-    return f"{flags}(?=(?:{body}))(?<=({before}))((?:{body}))(?=((?s:.{{0,{window}}})))"
+    return f"{ahead or ''}{flags}(?=(?:{body}))(?<=({before}))((?:{body}))(?=((?s:.{{0,{window}}})))"
 
 
 def capture_free(pattern: str) -> str:
