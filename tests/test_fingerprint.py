@@ -105,3 +105,33 @@ def test_hash_choice_does_not_change_containment_of_copies(spark):
     df = spark.createDataFrame([(5, "d", "o", 7, "hold", PROSE)], "document_id bigint, name string, owner string, severity int, action string, text string")
     registered, fingerprints = fp.register(df, hashing="xxhash64")
     assert fp.corpus_matches(docs, registered, fingerprints, hashing="xxhash64").first().ratio == 1.0
+
+
+def test_page_by_page_prints_equal_those_of_the_joined_text(spark, monkeypatch):
+    """Short, blank and long pages in any order, and groups of only four pages."""
+    monkeypatch.setattr(fp, "PAGE_GROUP", 4)
+    rng = random.Random(11)
+    jobs = {}
+    for job in range(60):
+        pages = [" ".join(rng.choice("abcdefg") + rng.choice("hij") for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 9, 30]))) for _ in range(rng.randint(1, 40))]
+        jobs[job] = [p if p or rng.random() < 0.5 else " .. " for p in pages]
+    jobs[60] = ["one", "", "two three"]
+    jobs[61] = ["."]
+    rows = [(j, n, t) for j, pages in jobs.items() for n, t in enumerate(pages, 1)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "job_id bigint, page int, text string")
+    got = {}
+    for r in fp.paged_prints(df).collect():
+        assert r.h not in got.setdefault(r.job_id, set())
+        got[r.job_id].add(r.h)
+    assert got == {j: f for j, pages in jobs.items() if (f := model.fingerprint("\n".join(pages)))}
+    assert fp.paged_prints(df, 2, 3).count() == sum(len(model.fingerprint("\n".join(p), 2, 3)) for p in jobs.values())
+
+
+def test_corpus_matches_of_pages_equal_those_of_texts(spark):
+    words = PROSE.split()
+    registered, fingerprints = corpus_of(spark, PROSE, "unrelated words only in this one here and there")
+    pages = spark.createDataFrame([(1, n + 1, w) for n, w in enumerate(words)] + [(2, 1, "nothing in common")], "job_id bigint, page int, text string")
+    for rows in (0, 10_000):
+        got = fp.corpus_matches(pages, registered, fingerprints, broadcast_rows=rows).collect()
+        assert [(r.job_id, r.document_id, r.ratio) for r in got] == [(1, 0, 1.0)]

@@ -49,8 +49,9 @@ def fingerprints_documents(t):
 
 @query("fingerprints_conversations", with_(CONV, fingerprint_ctes("d", "job_id", "d")) + "SELECT job_id, unnest(fps) AS h, len(fps) AS n FROM d_f")
 def fingerprints_conversations(t):
-    """Fingerprints of whole conversations: shingles cross page breaks."""
-    return fp.fingerprint_rows(fp.document_text(dv.conversations(t)))
+    """Fingerprints of whole conversations, made page by page: shingles cross page breaks."""
+    prints = fp.paged_prints(dv.conversations(t))
+    return prints.join(fp.sizes(prints), "job_id")
 
 
 @query("document_text", with_(CONV) + "SELECT job_id, length(text) AS chars, md5(text) AS digest FROM d")
@@ -362,6 +363,7 @@ def deferred_tier(t):
     after, _, _ = pl.deferred(
         jobs, governed(t, docs.select("job_id", "page", "queue", "text")),
         docs.select("job_id", "page", F.col("original").alias("text")), stored, RULES, dv.corpus(t),
+        single_page=True,
     )
     return after.select("job_id", "action", "state", F.round("score", 9).alias("score"), "reason", F.coalesce("event", F.lit("")).alias("event"))
 

@@ -109,7 +109,7 @@ def stream_deferred(t):
         mine = docs.join(ids, "job_id", "left_semi").join(lookup_side(policies), "queue")
         after, _, _ = pl.deferred(
             verdicts.join(ids, "job_id", "left_semi"), mine.select("job_id", "page", "text", "policy"),
-            mine.select("job_id", "page", F.col("original").alias("text")), stored, shipped_rules(), corpus,
+            mine.select("job_id", "page", F.col("original").alias("text")), stored, shipped_rules(), corpus, single_page=True,
         )
         return after
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from veilscan.constants import CONTAINMENT_THRESHOLD, MAX_BODY_BYTES
+from veilscan.constants import CONTAINMENT_THRESHOLD, MAX_BODY_BYTES, SHINGLE_WORDS, WINNOW_WINDOW
 from veilscan.functions import text as tx
 from veilscan.functions.core import unnest
 from veilscan.session import at_most, persist_table
@@ -17,8 +18,9 @@ CORPUS_BROADCAST_ROWS = 1_000_000
 def document_text(pages: DataFrame, max_bytes: int = MAX_BODY_BYTES) -> DataFrame:
     """Pages of a job joined by line feeds in page order: (job_id, text).
 
-    A body over the inline limit is never inspected as one text (see ``oversize``), so only
-    jobs within it are gathered; that bounds the largest group, whatever the skew.
+    This puts each text into one row, so it is for jobs within the body limit (see
+    ``oversize``) only, which bounds the largest group whatever the skew. Fingerprints do not
+    need it: ``paged_prints`` works page by page and has no limit.
     """
     sizes = pages.groupBy("job_id").agg(F.sum(F.octet_length("text") + 1).alias("total"), F.count("*").alias("n"))
     # Jobs of one page need no gathering.
@@ -46,6 +48,68 @@ def fingerprint_rows(docs: DataFrame, hashing: str = "md5") -> DataFrame:
     return unnest(sets, F.col("fps"), "h", ("job_id", "n")).select("job_id", "h", "n")
 
 
+# Pages per group when following words are gathered.
+PAGE_GROUP = 1024
+
+
+def following_words(pages: DataFrame, count: int) -> DataFrame:
+    """(job_id, page, head, after): the first ``count`` words of each page that has words, and
+    the first ``count - 1`` words that come after it in its job.
+
+    Pages of a job are numbered over fixed-size groups, and the first few of each group are
+    also handed to the group before. So no task ever holds a whole job, however large it is,
+    and only a few words per page move.
+    """
+    size = max(PAGE_GROUP, count)
+    heads = pages.filter(tx.has_words(F.col("text"))).select(
+        "job_id", "page", F.slice(tx.words(F.col("text")), 1, count).alias("head"),
+        F.floor(F.col("page") / size).alias("part"),
+    )
+    before = heads.groupBy("job_id", "part").agg(F.count("*").alias("n")).withColumn(
+        "before", F.sum("n").over(W.partitionBy("job_id").orderBy("part")) - F.col("n")
+    ).drop("n")
+    numbered = heads.join(before, ["job_id", "part"]).withColumn(
+        "at", F.col("before") + F.row_number().over(W.partitionBy("job_id", "part").orderBy("page")) - 1
+    )
+    group = F.floor(F.col("at") / size)
+    handed = F.when((F.col("at") % size < count) & (group > 0), F.array(group, group - 1)).otherwise(F.array(group))
+    placed = numbered.select("job_id", "page", "head", "at", F.explode(handed).alias("group"))
+    ahead = W.partitionBy("job_id", "group").orderBy("at").rowsBetween(1, count)
+    return placed.withColumn(
+        "after", F.slice(F.flatten(F.collect_list("head").over(ahead)), 1, count - 1)
+    ).filter(F.col("group") == group).select("job_id", "page", "head", "after")
+
+
+def paged_prints(
+    pages: DataFrame, k: int = SHINGLE_WORDS, window: int = WINNOW_WINDOW, hashing: str = "md5"
+) -> DataFrame:
+    """Distinct (job_id, h) of jobs of many pages; shingles cross page breaks.
+
+    A page plus the few words after it yields exactly the windows that start on it, so the
+    text of a job is never put together. Jobs with fewer words than one full window are put
+    together, which is at most that many words.
+    """
+    span = k + window - 1
+    ahead = following_words(pages, span)
+    tiny = ahead.groupBy("job_id").agg(F.sum(F.size("head")).alias("words")).filter(F.col("words") < span).select("job_id")
+    full = F.concat_ws(" ", "text", F.array_join("after", " "))
+    pieces = pages.join(ahead.select("job_id", "page", "after"), ["job_id", "page"]).select(
+        "job_id", F.when(F.size(tx.words(full)) >= span, full).alias("text")
+    ).filter("text is not null")
+    small = ahead.join(tiny, "job_id", "left_semi").groupBy("job_id").agg(
+        F.array_join(
+            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", "head"))), lambda p: p["head"])), " "
+        ).alias("text")
+    )
+    return unnest(
+        pieces.unionByName(small), tx.fingerprint(F.col("text"), k, window, hashing), "h", ("job_id",)
+    ).distinct()
+
+
+def sizes(prints: DataFrame) -> DataFrame:
+    return prints.groupBy("job_id").agg(F.count("*").alias("n"))
+
+
 def register(docs: DataFrame, hashing: str = "md5") -> tuple[DataFrame, DataFrame]:
     """Corpus tables from ``docs(document_id, name, owner, severity, action, text)``: the
     registered documents and their fingerprints. A text without words is refused, that is, it
@@ -99,7 +163,8 @@ def overlaps(
     broadcast_rows: int = CORPUS_BROADCAST_ROWS,
 ) -> DataFrame:
     """Shared fingerprints per (job, registered document): (job_id, document_id, overlap,
-    query_n, reference_n).
+    query_n, reference_n). ``docs`` has (job_id, text), or (job_id, page, text) for jobs of
+    many pages.
 
     A corpus of checked size is broadcast: documents are fingerprinted, probed and counted
     where they are read, and only pairs that share something are shuffled. A larger corpus
@@ -110,16 +175,26 @@ def overlaps(
         registered.filter("enabled and shingle_count > 0").select("document_id", F.col("shingle_count").alias("reference_n")),
         "document_id",
     )
-    sets = fingerprint_sets(docs, hashing)
-    if at_most(fingerprints, broadcast_rows):
-        probed = unnest(sets, F.col("fps"), "h", ("job_id", F.col("n").alias("query_n"))).join(
-            F.broadcast(corpus), "h"
-        )
-        return probed.groupBy("job_id", "document_id").agg(
-            F.count("*").alias("overlap"),
-            F.first("query_n").alias("query_n"),
-            F.first("reference_n").alias("reference_n"),
-        )
+    small = at_most(fingerprints, broadcast_rows)
+    if "page" in docs.columns:
+        prints = persist_table(paged_prints(docs, hashing=hashing), "prints")
+        if small:
+            pairs = prints.join(F.broadcast(corpus), "h").groupBy("job_id", "document_id").agg(
+                F.count("*").alias("overlap"), F.first("reference_n").alias("reference_n")
+            )
+            return pairs.join(sizes(prints).withColumnRenamed("n", "query_n"), "job_id")
+        sets = prints.groupBy("job_id").agg(F.collect_list("h").alias("fps"), F.count("*").alias("n"))
+    else:
+        sets = fingerprint_sets(docs, hashing)
+        if small:
+            probed = unnest(sets, F.col("fps"), "h", ("job_id", F.col("n").alias("query_n"))).join(
+                F.broadcast(corpus), "h"
+            )
+            return probed.groupBy("job_id", "document_id").agg(
+                F.count("*").alias("overlap"),
+                F.first("query_n").alias("query_n"),
+                F.first("reference_n").alias("reference_n"),
+            )
     return candidate_overlaps(
         persist_table(sets, "sets"), persist_table(corpus, "corpus"), threshold
     )

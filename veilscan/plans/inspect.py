@@ -16,7 +16,7 @@ from veilscan.functions.core import two_decimals
 from veilscan.functions.text import is_thin
 from veilscan.operators import evidence as ev
 from veilscan.operators import lifecycle as lc
-from veilscan.operators.fingerprint import corpus_matches, document_text
+from veilscan.operators.fingerprint import corpus_matches
 from veilscan.operators.scan import page_hits, scan_pages
 from veilscan.sources.rules import Rule
 
@@ -67,7 +67,7 @@ def inspect(
     """
     tagged = pages.withColumn("tags", F.col("policy.rule_tags"))
     hits = scan_pages(tagged, rules, tags="tags")
-    texts = pages.select("job_id", "text") if single_page else document_text(pages.select("job_id", "page", "text"))
+    texts = pages.select("job_id", "text") if single_page else pages.select("job_id", "page", "text")
     matches = no_matches(pages.sparkSession) if corpus is None else corpus_matches(texts, corpus.registered, corpus.fingerprints)
     if single_page:
         rows = tagged.select(
@@ -112,7 +112,7 @@ def finish(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def deferred(
     jobs: DataFrame, pages: DataFrame, recognised: DataFrame, stored_evidence: DataFrame,
-    rules: Sequence[Rule], corpus: Corpus | None = None,
+    rules: Sequence[Rule], corpus: Corpus | None = None, single_page: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Second tier: (jobs after, evidence added, pages after).
 
@@ -128,12 +128,9 @@ def deferred(
     if corpus is None:
         best = None
     else:
-        best = ev.decide_corpus(
-            corpus_matches(
-                document_text(after.join(looked.select("job_id"), "job_id", "left_semi")),
-                corpus.registered, corpus.fingerprints,
-            )
-        )
+        again = after.join(looked.select("job_id"), "job_id", "left_semi")
+        texts = again.select("job_id", "text") if single_page else again
+        best = ev.decide_corpus(corpus_matches(texts, corpus.registered, corpus.fingerprints))
     known = jobs.select("job_id", "state", "action", "score", "reason").join(looked, "job_id", "left")
     blocked = lc.blocked_before(stored_evidence).withColumn("blocked", F.lit(True))
     if best is None:
