@@ -97,16 +97,21 @@ def corpus_refused(t):
 D = (DOCS, fingerprint_ctes("d", "job_id", "d"), *C, OVERLAP_CTES)
 
 
+def single(t):
+    """Documents as single texts."""
+    return dv.documents(t).select("job_id", "text")
+
+
 @query("corpus_overlap", with_(*D) + "SELECT job_id, document_id, overlap FROM ovl")
 def corpus_overlap(t):
     c = dv.corpus(t)
-    return fp.overlaps(dv.documents(t), c.fingerprints, c.registered).select("job_id", "document_id", "overlap")
+    return fp.overlaps(single(t), c.fingerprints, c.registered).select("job_id", "document_id", "overlap")
 
 
 @query("corpus_matches", with_(*D) + "SELECT job_id, document_id, document_name, severity, action, overlap, round(ratio, 9) AS ratio FROM matches")
 def corpus_matches(t):
     c = dv.corpus(t)
-    return fp.corpus_matches(dv.documents(t), c.registered, c.fingerprints).withColumn("ratio", F.round("ratio", 9))
+    return fp.corpus_matches(single(t), c.registered, c.fingerprints).withColumn("ratio", F.round("ratio", 9))
 
 
 OWN = """
@@ -121,7 +126,7 @@ corpus AS (SELECT doc_id AS document_id, 'doc-' || doc_id AS name, 7 AS severity
 def corpus_matches_large(t):
     """A third of the documents registered and matched without any broadcast: rare-first
     prefixes meet, candidates are verified on whole sets."""
-    docs = dv.documents(t)
+    docs = single(t)
     own = docs.filter("job_id % 3 = 0").select(
         F.col("job_id").alias("document_id"), F.concat(F.lit("doc-"), F.col("job_id").cast("string")).alias("name"),
         F.lit("o").alias("owner"), F.lit(7).alias("severity"), F.lit("hold").alias("action"), "text",
@@ -160,7 +165,7 @@ def exact_copies(t):
 def containment_of_pairs(t):
     """Containment of every pair that shares anything, below the threshold too."""
     c = dv.corpus(t)
-    return fp.corpus_matches(dv.documents(t), c.registered, c.fingerprints, threshold=0.0).select(
+    return fp.corpus_matches(single(t), c.registered, c.fingerprints, threshold=0.0).select(
         "job_id", "document_id", F.round("ratio", 9).alias("ratio"), F.col("overlap").alias("shared")
     )
 

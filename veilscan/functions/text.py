@@ -12,6 +12,7 @@ from veilscan.functions.core import let, strip
 THREE_WORDS = r"(?s)(?:(?<![A-Za-z])(?=[A-Za-z]{3})[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]*[AEIOUaeiou].*?){3}"
 LETTER_SHARE = 0.30
 WORD = r"[\p{L}\p{N}_]+"
+GAP = r"[^\p{L}\p{N}_]"
 # 63-bit, non-negative.
 HASH_MASK = (1 << 63) - 1
 
@@ -52,6 +53,17 @@ def has_words(text: Column) -> Column:
     return F.rlike(text, F.lit(WORD))
 
 
+def first_words(text: Column, count: int) -> Column:
+    """The first ``count`` words; the text is read no further than they reach."""
+    opening = rf"(?s)\A{GAP}*+(?:{WORD}+{GAP}++){{0,{count - 1}}}(?:{WORD}+)?"
+    return words(F.regexp_extract(text, opening, 0))
+
+
+def has_at_least(text: Column, count: int) -> Column:
+    """Whether a text has ``count`` words; stops at the last of them."""
+    return F.rlike(text, F.lit(rf"(?:{WORD}+{GAP}++){{{count - 1}}}{WORD}"))
+
+
 def md5_63(value: Column) -> Column:
     """First 60 bits of the MD5 digest as a non-negative long; any SQL engine can repeat it."""
     return F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("bigint")

@@ -62,7 +62,7 @@ def following_words(pages: DataFrame, count: int) -> DataFrame:
     """
     size = max(PAGE_GROUP, count)
     heads = pages.filter(tx.has_words(F.col("text"))).select(
-        "job_id", "page", F.slice(tx.words(F.col("text")), 1, count).alias("head"),
+        "job_id", "page", tx.first_words(F.col("text"), count).alias("head"),
         F.floor(F.col("page") / size).alias("part"),
     )
     before = heads.groupBy("job_id", "part").agg(F.count("*").alias("n")).withColumn(
@@ -94,8 +94,8 @@ def paged_prints(
     tiny = ahead.groupBy("job_id").agg(F.sum(F.size("head")).alias("words")).filter(F.col("words") < span).select("job_id")
     full = F.concat_ws(" ", "text", F.array_join("after", " "))
     pieces = pages.join(ahead.select("job_id", "page", "after"), ["job_id", "page"]).select(
-        "job_id", F.when(F.size(tx.words(full)) >= span, full).alias("text")
-    ).filter("text is not null")
+        "job_id", full.alias("text")
+    ).filter(tx.has_at_least(F.col("text"), span))
     small = ahead.join(tiny, "job_id", "left_semi").groupBy("job_id").agg(
         F.array_join(
             F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", "head"))), lambda p: p["head"])), " "
