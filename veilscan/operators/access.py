@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.operators.lifecycle import grant_expiry, preview_without_grant
+from veilscan.session import ship_by_value
+
+ship_by_value(__name__)
 
 # Kinds of reads; only a content read uses a grant up.
 READ_KINDS = ("content", "text", "preview")

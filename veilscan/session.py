@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 BROADCAST_ROWS = 200_000
 
 
+def ship_by_value(module_name: str) -> None:
+    """Send the functions of a module to Python workers as code, so that workers need no copy
+    of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime SQL settings the operators rely on (UTC timestamps, adaptive plans)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

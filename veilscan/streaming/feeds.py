@@ -12,9 +12,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from veilscan.operators.alerts import alert_lines
 from veilscan.operators.policies import version
 from veilscan.plans.inspect import Corpus, inspect
+from veilscan.session import ship_by_value
 from veilscan.sources.rules import Rule, rules_from_table
 
 
+ship_by_value(__name__)
+
+
 def table_stream(spark: SparkSession, folder: str, file_glob: str, files_per_trigger: int = 64) -> DataFrame:
     """New parquet files of a folder as a stream, a bounded number of files per batch."""
     schema = spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
