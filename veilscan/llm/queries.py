@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from veilscan.llm import exact, mixing
+from veilscan.llm import exact, langid, mixing, simhash
 
 QUERIES = {
     "op3_exact_dedup": exact.query,
     "op4_mixing": mixing.query,
+    "op6_simhash": simhash.query,
+    "op7_language_id": langid.query,
 }
 
 SQL = {
