@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from veilscan.llm import exact, langid, mixing, simhash
+from veilscan.llm import decontam, exact, langid, lines, mixing, simhash
 
 QUERIES = {
+    "op2_decontamination": decontam.query,
     "op3_exact_dedup": exact.query,
     "op4_mixing": mixing.query,
     "op6_simhash": simhash.query,
     "op7_language_id": langid.query,
+    "op10_lines": lines.query,
 }
 
 SQL = {
