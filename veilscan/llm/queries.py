@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from veilscan.llm import decontam, exact, langid, lines, mixing, simhash
+from veilscan.llm import (
+    decontam, exact, langid, lines, mixing, quality, simhash, substrings, templates,
+)
 
 QUERIES = {
     "op2_decontamination": decontam.query,
     "op3_exact_dedup": exact.query,
     "op4_mixing": mixing.query,
+    "op5_quality": quality.query,
     "op6_simhash": simhash.query,
     "op7_language_id": langid.query,
+    "op8_substrings": substrings.query,
+    "op9_html": templates.query,
     "op10_lines": lines.query,
 }
 
