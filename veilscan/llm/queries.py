@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from veilscan.llm import (
-    decontam, exact, langid, lines, mixing, quality, simhash, substrings, templates,
+    decontam, exact, langid, lines, mixing, pii, quality, simhash, substrings, templates,
 )
 
 QUERIES = {
+    "op1_pii": pii.query,
     "op2_decontamination": decontam.query,
     "op3_exact_dedup": exact.query,
     "op4_mixing": mixing.query,
