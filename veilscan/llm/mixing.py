@@ -154,7 +154,7 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mixture: ``docs`` with each row as often as it was taken, and ``epoch``."""
     columns = [c for c in docs.columns if c != "epoch"]
     taken = mixed(docs, **options).where("n_copies > 0")
-    return taken.select(*columns, F.explode(F.sequence(F.lit(1), F.col("n_copies"))).cast("long").alias("epoch"))
+    return taken.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("epoch"))
 
 
 def query(spark, sf_dir):
