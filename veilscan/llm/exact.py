@@ -20,8 +20,10 @@ from pyspark.sql.window import Window
 
 from veilscan.llm.tables import text_of, written
 
-# A cut may come after this many characters, after a character pair that ends in one of these.
-LEAST, MOST, CUT = 256, 8192, r"[\n.!?,;:]|[aeiou][ ]"
+# A chunk ends at the first cut after LEAST characters: a line end, or a word that ends in such a letter or digit and one that
+# has another soon after its begin (one place in a hundred or so, in several scripts).
+LEAST, MOST = 512, 16384
+CUT = r"\n|[a-e0-2\u03B1-\u03B3\u0430-\u0434\u0627-\u062A][ ](?=.?[a-c0-2\u03B1\u03B2\u0430-\u0432\u0627\u0628])|[\u7684\u306E\u3002]"
 
 
 def chunks(text: Column, least: int = LEAST, most: int = MOST, cut: str = CUT) -> Column:
@@ -66,6 +68,7 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """doc_id, keep_id, group_size, kept, text_sha256: one row per input row."""
     found = written(recipes(docs, id_column, text_column).drop("row"), "recipes")
     groups = found.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(groups, "groups")  # so that the join sees plain exchanges, whose hot keys are split
     return found.join(groups, "recipe").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
