@@ -167,43 +167,67 @@ def passages(active: DataFrame, shared: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "owner long, words string, n_words long, anchors array<long>")
 
 
+#: A word of a shard is three characters, each from a range of its own: nodes of the automaton have
+#: few children, and nothing matches across the border of a word.
+DIGIT = 128
+STARTS = (0x1000, 0x2000, 0x3000)
+
+
+def coded(number: int) -> str:
+    return chr(STARTS[0] + number // DIGIT**2) + chr(STARTS[1] + number // DIGIT % DIGIT) + chr(STARTS[2] + number % DIGIT)
+
+
+def numbers(code: str) -> np.ndarray:
+    digits = np.frombuffer(code.encode("utf-32-le"), np.uint32).reshape(-1, 3).astype(np.int64) - np.array(STARTS)
+    return (digits[:, 0] * DIGIT + digits[:, 1]) * DIGIT + digits[:, 2]
+
+
 class Shard:
     """Passages of one shard and the automaton over their aligned blocks."""
 
+    UNKNOWN = coded(0)
+
     def __init__(self):
-        self.vocabulary: dict[bytes, int] = {}
+        self.vocabulary: dict[bytes, str] = {}
+        self.codes: list[str] = []
         self.texts: list[np.ndarray] = []
         self.owners: list[int] = []
         self.automaton = None
 
     def add(self, owner: int, words: str) -> None:
         v = self.vocabulary
-        self.texts.append(np.array([v.setdefault(w, len(v) + 1) for w in words.encode().split()], np.int64))
+        own = words.encode().split()
+        for w in own:
+            if w not in v:
+                v[w] = coded(len(v) + 1)
+        self.codes.append("".join([v[w] for w in own]))
+        self.texts.append(numbers(self.codes[-1]))
         self.owners.append(owner)
 
     def compile(self) -> None:
-        blocks: dict[tuple, list] = {}
-        for p, text in enumerate(self.texts):
-            for at in range(0, len(text) - ANCHOR + 1, ANCHOR):
-                blocks.setdefault(tuple(text[at : at + ANCHOR].tolist()), []).append((p, at))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.automaton = ahocorasick.Automaton()
+        blocks: dict[str, list] = {}
+        for p, code in enumerate(self.codes):
+            for at in range(0, len(code) // 3 - ANCHOR + 1, ANCHOR):
+                blocks.setdefault(code[3 * at : 3 * (at + ANCHOR)], []).append((p, at))
         for block, spots in blocks.items():
             self.automaton.add_word(block, spots)
         self.automaton.make_automaton()
 
     def repeats(self, doc_id: int, text: str) -> list[tuple[int, int]]:
         """Ranges of words that repeat a passage of an earlier document over a window or more."""
-        v = self.vocabulary
-        ids = tuple([v.get(w, 0) for w in text.encode().split()])
-        if len(ids) < WINDOW or not self.texts:
+        v, unknown = self.vocabulary, self.UNKNOWN
+        code = "".join([v.get(w, unknown) for w in text.encode().split()])
+        if len(code) < 3 * WINDOW or not self.texts:
             return []
-        own, seen, out = np.array(ids, np.int64), set(), []
-        for end, spots in self.automaton.iter(ids):
+        own, seen, out = None, set(), []
+        for end, spots in self.automaton.iter(code):
             for p, at in spots:
-                shift = end - ANCHOR + 1 - at
+                shift = (end + 1) // 3 - ANCHOR - at
                 if self.owners[p] >= doc_id or (p, shift) in seen:
                     continue
                 seen.add((p, shift))
+                own = numbers(code) if own is None else own
                 passage = self.texts[p]
                 low, high = max(0, shift), min(len(own), shift + len(passage))
                 apart = np.flatnonzero(own[low:high] != passage[low - shift : high - shift])
