@@ -63,8 +63,8 @@ def removed_lines(rows, normalised, takes_part, simhashes) -> list[set[int]]:
     seen = []
     for at, (doc, text) in enumerate(rows):
         for nth, line in enumerate(normalised(text or "").split("\n")):
-            if takes_part(line.strip()):
-                seen.append((line.strip(), (doc is None, doc or 0, nth), at))
+            if takes_part(line):
+                seen.append((line, (doc is None, doc or 0, nth), at))
     lines = sorted({s[0] for s in seen})
     prints = [int(p) for p in simhashes(lines)] if lines else []
     near = [

@@ -1,7 +1,7 @@
 """Fuzzy line deduplication.
 
 Lines of at least ``MIN_WORDS`` words take part, normalised: lower case, digits alike, runs of
-other signs as one space. Equal normalised lines are one line from then on (128-bit XXH3).
+ASCII signs as one space. Equal normalised lines are one line from then on (128-bit XXH3).
 Two lines are linked when their SimHashes over words and word pairs differ in at most ``BITS``
 bits and their normalised texts are similar: 1 - edit distance / longer length >= ``SIMILAR``.
 Of each connected group the first occurrence by (doc_id, line number) stays; all others are
@@ -21,7 +21,6 @@ result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm import links
+from veilscan.llm.links import Forest, close, components, gray_rank
 from veilscan.llm.tables import table, written
 from veilscan.llm.words import Words, pieces, row_sums
 from veilscan.session import ship_by_value
@@ -41,19 +40,46 @@ MIN_WORDS = 5
 BITS = 3
 SIMILAR = 0.8
 SLICE = 20_000
+SMALL_BLOCK = 256
+#: Bits of the table that says which lines' texts are wanted.
+TABLE_BITS = 24
 LAST = (1 << 63) - 1
 
-OTHER = re.compile(r"(?:[^\w\n]|_)+")
-DIGIT = re.compile(r"\d")
+#: ASCII signs as spaces, digits alike; line ends stay.
+PLAIN = bytes(10 if c == 10 else 48 if 48 <= c < 58 else c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def normalised(text: str) -> str:
     """The normalised lines of a text, joined as they were."""
-    return DIGIT.sub("0", OTHER.sub(" ", text.lower()))
+    plain = text.lower().encode("utf-8", "surrogatepass").translate(PLAIN)
+    return b"\n".join([b" ".join(line.split()) for line in plain.split(b"\n")]).decode("utf-8", "surrogatepass")
 
 
 def takes_part(line: str) -> bool:
-    return line.count(" ") + 1 >= MIN_WORDS and len(line.split()) >= MIN_WORDS
+    return line.count(" ") + 1 >= MIN_WORDS
+
+
+#: For each byte a word of eight counters that holds its bits.
+LANES = np.array([sum(((x >> k) & 1) << (8 * k) for k in range(8)) for x in range(256)], np.uint64)
+
+
+def bit_counts(h: np.ndarray, keep: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How often each bit is set among the kept hashes of each slice: slices x 64.
+
+    Eight counters of eight bits are summed at once, over stretches of at most 255 hashes.
+    """
+    cuts = np.unique(np.concatenate((first, np.arange(0, first[-1], 255)))) if first[-1] else first[:1]
+    out = np.zeros((len(first) - 1, 64), np.int64)
+    if len(cuts) < 2:
+        return out
+    parts = np.zeros((len(cuts) - 1, 8), np.uint64)
+    bytes_ = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)
+    for k in range(8):
+        lanes = LANES[bytes_[:, k]]
+        lanes[~keep] = 0
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(lanes, dtype=np.uint64)))
+        parts[:, k] = sums[cuts[1:]] - sums[cuts[:-1]]
+    return row_sums(parts.view(np.uint8).reshape(-1, 64).astype(np.int64), np.searchsorted(cuts, first))
 
 
 def simhashes(lines: list[str]) -> np.ndarray:
@@ -63,12 +89,10 @@ def simhashes(lines: list[str]) -> np.ndarray:
         words = Words(data, offsets)
         one = words.hashes()
         two, good = words.grams(one, 2)
-        votes = np.zeros((len(offsets) - 1, 64), np.int64)
-        for h, keep in ((one, np.ones(len(one), bool)), (two, good)):
-            bits = np.unpackbits(h[:, None].view(np.uint8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
-            bits[~keep] = 0
-            votes += row_sums(bits, words.first)
-        out.append(np.packbits(votes > 0, axis=1, bitorder="little").view(np.uint64).ravel())
+        set_ = bit_counts(one, np.ones(len(one), bool), words.first) + bit_counts(two, good, words.first)
+        size = np.diff(words.first)
+        size = size + np.maximum(size - 1, 0)
+        out.append(np.packbits(2 * set_ > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel())
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -80,7 +104,6 @@ def occurrences(docs: DataFrame) -> DataFrame:
             ids, kept = batch.column(0).to_pylist(), []
             for doc, text in zip(ids, batch.column(1).to_pylist()):
                 for nth, line in enumerate(normalised(text or "").split("\n")):
-                    line = line.strip()
                     if takes_part(line):
                         kept.append((line, LAST if doc is None else doc, nth))
             for at in range(0, len(kept), 5000):
@@ -108,7 +131,7 @@ def dealt(prints: DataFrame) -> DataFrame:
     """
     keyed = prints.withColumn("key", F.explode(F.array(*[block_key(F.col("print"), b) for b in range(4)])))
     sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
-    sizes = sizes.where("slices > 1")  # few: each stands for SLICE rows
+    sizes = written(sizes.where("slices > 1"), "large-blocks")  # few: each stands for SLICE rows
     keyed = keyed.join(sizes, "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     own = F.pmod(F.xxhash64("print"), F.col("slices")).cast("int")
     keyed = keyed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
@@ -150,23 +173,54 @@ def first_shared_block(a: np.ndarray, b: np.ndarray, block: int) -> np.ndarray:
     return out
 
 
+def slabs(batches, rows: int = 1 << 18):
+    """Columns (key, part, print) of about ``rows`` rows at a time, no (key, part) torn apart."""
+    held = []
+    for batch in batches:
+        part = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+        held.append(part)
+        if sum(p.shape[1] for p in held) >= rows:
+            all_ = np.concatenate(held, axis=1)
+            change = np.flatnonzero((all_[:2, 1:] != all_[:2, :-1]).any(axis=0))
+            if len(change):
+                yield all_[:, : change[-1] + 1]
+                all_ = all_[:, change[-1] + 1 :]
+            held = [all_]
+    if held:
+        yield np.concatenate(held, axis=1)
+
+
 def with_partner(prints: DataFrame, bits: int) -> DataFrame:
     """Distinct prints within ``bits`` of another one."""
 
     def run(batches):
-        for (_, _), parts in by_block(batches, 3):
-            (column,) = joined_columns(parts)
-            values = np.unique(column.to_numpy().view(np.uint64))
-            if len(values) < 2:
+        for slab in slabs(batches):
+            values = slab[2].view(np.uint64)
+            n = len(values)
+            if not n:
                 continue
-            values = values[np.argsort(links.gray_rank(values))]
-            hit = np.zeros(len(values), bool)
-
-            def found(i, j):
-                hit[i] = hit[j] = True
-
-            links.close(values, None, bits, found, lambda i, j: hit[i] & hit[j])
-            yield pa.RecordBatch.from_arrays([pa.array(values[hit].view(np.int64))], ["print"])
+            start = np.flatnonzero(np.concatenate(([True], (slab[:2, 1:] != slab[:2, :-1]).any(axis=0))))
+            size = np.diff(np.concatenate((start, [n])))
+            group = np.repeat(np.arange(len(start)), size)
+            hit = np.zeros(n, bool)
+            small = size <= SMALL_BLOCK
+            at = np.flatnonzero(small[group])  # small blocks: each row with the one, two, ... rows after it
+            step = 1
+            while len(at):
+                at = at[at + step < n]
+                at = at[group[at] == group[at + step]]
+                near = at[np.bitwise_count(values[at] ^ values[at + step]) <= bits]
+                hit[near] = hit[near + step] = True
+                step += 1
+            for g in np.flatnonzero(~small):
+                s, e = start[g], start[g] + size[g]
+                order = s + np.argsort(gray_rank(values[s:e]))
+
+                def found(i, j):
+                    hit[order[i]] = hit[order[j]] = True
+
+                close(values[order], None, bits, found, lambda i, j: hit[order[i]] & hit[order[j]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(values[hit]).view(np.int64))], ["print"])
 
     rows = sliced(dealt(prints.select("print"))).select("key", "part", "print")
     return rows.mapInArrow(run, "print long").distinct()
@@ -217,10 +271,10 @@ def verified(rows: DataFrame, bits: int, least: float) -> DataFrame:
             own, prints, lines, texts = joined_columns(parts)
             if len(own) < 2:
                 continue
-            order = np.argsort(links.gray_rank(prints.to_numpy().view(np.uint64)), kind="stable")
+            order = np.argsort(gray_rank(prints.to_numpy().view(np.uint64)), kind="stable")
             values = prints.to_numpy().view(np.uint64)[order]
             own, texts = own.to_numpy()[order], [texts[int(k)] for k in order]
-            sets = links.Forest(len(values))
+            sets = Forest(len(values))
             far: list[tuple[int, int]] = []
 
             def found(i, j):
@@ -234,7 +288,7 @@ def verified(rows: DataFrame, bits: int, least: float) -> DataFrame:
                         far.append((x, y))
                         sets.unite(np.array([x]), np.array([y]))
 
-            links.close(values, None, bits, found, lambda i, j: sets.of[i] == sets.of[j])
+            close(values, None, bits, found, lambda i, j: sets.of[i] == sets.of[j])
             if far:
                 ends = [pa.array([lines[int(order[p[k]])].as_py() for p in far], pa.binary()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
@@ -244,26 +298,34 @@ def verified(rows: DataFrame, bits: int, least: float) -> DataFrame:
 
 
 def texts_of(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """print, line, norm of ``lines(line, print, doc, nth)``, read from where they first occur."""
-    wanted = lines.groupBy("doc").agg(F.collect_list(F.struct("line", "print", "nth")).alias("wanted"))
+    """print, line, norm of the distinct ``lines(line, print)``.
+
+    The documents pass once more and yield the lines whose hash is marked in a bit table of fixed
+    size; a join on the lines then drops those marked by chance.
+    """
+    place = F.conv(F.hex(F.substring("line", 1, 3)), 16, 10).cast("long")
+    marks = lines.groupBy(F.shiftright(place, 15).alias("at")).agg(
+        F.bitmap_construct_agg(place.bitwiseAND((1 << 15) - 1)).alias("bits"))
+    table_ = np.zeros((1 << TABLE_BITS) // 8, np.uint8)
+    for at, bits in marks.collect():  # at most 2^9 rows of 4 KiB
+        table_[at << 12 : (at + 1) << 12] = np.frombuffer(bytes(bits), np.uint8)
 
     def run(batches):
         for batch in batches:
-            rows = {}
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = normalised(text or "").split("\n")
-                for w in wanted:
-                    norm = own[w["nth"]].strip() if w["nth"] < len(own) else ""
-                    # Rows that share an id: the line is looked for in each of them.
-                    if xxhash.xxh3_128_digest(norm.encode()) == w["line"]:
-                        rows[w["line"]] = (w["print"], norm)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in rows.values()], pa.int64()), pa.array(list(rows), pa.binary()),
-                pa.array([r[1] for r in rows.values()], pa.string())], ["print", "line", "norm"])
-
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
-    found = slim.join(wanted, "doc").select("text", "wanted").mapInArrow(run, "print long, line binary, norm string")
-    return found.dropDuplicates(["line"])
+            found: dict[bytes, str] = {}
+            for text in batch.column(0).to_pylist():
+                for line in normalised(text or "").split("\n"):
+                    if takes_part(line):
+                        digest = xxhash.xxh3_128_digest(line.encode())
+                        bit = int.from_bytes(digest[:3], "big")
+                        if table_[bit >> 3] >> (bit & 7) & 1:
+                            found[digest] = line
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())],
+                                             ["line", "norm"])
+
+    texts = docs.select("text").mapInArrow(run, "line binary, norm string")
+    return texts.join(lines.select("line", "print"), "line").groupBy("line", "print").agg(
+        F.first("norm").alias("norm")).select("print", "line", "norm")
 
 
 def removals(docs: DataFrame, bits: int = BITS, least: float = SIMILAR) -> DataFrame:
@@ -276,7 +338,7 @@ def removals(docs: DataFrame, bits: int = BITS, least: float = SIMILAR) -> DataF
     near = with_partner(per_print, bits).union(per_print.where("n > 1").select("print")).distinct()
     near = written(distinct.join(near, "print", "left_semi"), "near-lines")
     texts = written(texts_of(near, docs), "near-texts")
-    groups = links.components(verified(texts, bits, least), "line-links")
+    groups = components(verified(texts, bits, least), "line-links")
     groups = groups.select(F.col("id").alias("line"), "component")
     # Lines that occur once and are linked to none are no longer looked at.
     some = distinct.join(groups, "line", "left").where("n > 1 or component is not null")

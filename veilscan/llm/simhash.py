@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilscan.llm import links
+from veilscan.llm.links import Forest, close, components, gray_rank, gray_rank_column
 from veilscan.llm.tables import table, written
 from veilscan.session import ship_by_value
 
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def blocks_of(prints: DataFrame) -> DataFrame:
     """block id, members (packed, in Gray order), ones, zeros. ``prints`` is distinct."""
-    ranked = prints.withColumn("cell", F.shiftrightunsigned(links.gray_rank_column(F.col("print")), 64 - CELL_BITS))
+    ranked = prints.withColumn("cell", F.shiftrightunsigned(gray_rank_column(F.col("print")), 64 - CELL_BITS))
     cells = ranked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).orderBy("cell").collect()  # at most 2^16 rows
     size = max(LEAST_BLOCK, -(-sum(c["n"] for c in cells) // BLOCKS))
     group, filled, named = 0, 0, []
@@ -84,7 +84,7 @@ def blocks_of(prints: DataFrame) -> DataFrame:
         import pandas as pd
 
         values = pdf["print"].to_numpy(np.int64).view(np.uint64)
-        values = values[np.argsort(links.gray_rank(values))]
+        values = values[np.argsort(gray_rank(values))]
         rows = []
         for n, at in enumerate(range(0, len(values), size)):
             part = values[at : at + size]
@@ -122,8 +122,8 @@ def forest(pairs: DataFrame, bits: int) -> DataFrame:
                 x = np.frombuffer(left, np.uint64)
                 y = None if a == b else np.frombuffer(right, np.uint64)
                 shift = 0 if y is None else len(x)
-                sets = links.Forest(len(x) + (0 if y is None else len(y)))
-                links.close(x, y, bits, lambda i, j: sets.unite(i, j + shift),
+                sets = Forest(len(x) + (0 if y is None else len(y)))
+                close(x, y, bits, lambda i, j: sets.unite(i, j + shift),
                             lambda i, j: sets.of[i] == sets.of[j + shift])
                 both = x if y is None else np.concatenate((x, y))
                 moved = np.flatnonzero(sets.of != np.arange(len(both)))
@@ -145,7 +145,7 @@ def grouped(docs: DataFrame, bits: int = 2, id_column: str = "doc_id", text_colu
         .join(slim.select(F.col("block").alias("b"), F.col("members").alias("right")), "b")
         .repartition("a", "b")
     )
-    found = links.components(forest(pairs, bits), "print-links").select(F.col("id").alias("print"), "component")
+    found = components(forest(pairs, bits), "print-links").select(F.col("id").alias("print"), "component")
     named = distinct.join(found, "print", "left").withColumn("component", F.coalesce("component", "print"))
     named = written(named, "named-prints")
     names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
