@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 import model
 from veilscan.functions import text as tx
 from veilscan.operators import fingerprint as fp
-from veilscan.session import at_most
 
 PROSE = (
     "our northern depot moved nine hundred pallets last quarter while the southern depot stayed closed for repairs "
@@ -93,11 +92,6 @@ def test_pages_join_in_order_and_shingles_cross_breaks(spark):
     texts = {r.job_id: r.text for r in fp.document_text(pages).collect()}
     assert texts[1].split() == words and texts[2] == "alone"
     assert sets(spark, texts[1]) == sets(spark, PROSE)
-    assert [r.job_id for r in fp.document_text(pages, max_bytes=20).collect()] == [2]
-
-
-def test_size_check_reads_no_more_than_it_must(spark):
-    assert at_most(spark.range(10), 10) and not at_most(spark.range(11), 10)
 
 
 def test_hash_choice_does_not_change_containment_of_copies(spark):
@@ -135,3 +129,14 @@ def test_corpus_matches_of_pages_equal_those_of_texts(spark):
     for rows in (0, 10_000):
         got = fp.corpus_matches(pages, registered, fingerprints, broadcast_rows=rows).collect()
         assert [(r.job_id, r.document_id, r.ratio) for r in got] == [(1, 0, 1.0)]
+
+
+def test_overlaps_hold_pairs_below_the_threshold(spark):
+    """All pairs that share anything, whatever the sizes: 30 texts against 30 with 12 common words."""
+    common = " ".join(PROSE.split()[:12])
+    tail = "z{0}a z{0}b z{0}c z{0}d z{0}e z{0}f z{0}g z{0}h z{0}i z{0}j z{0}k z{0}l z{0}m z{0}n z{0}o z{0}p z{0}q z{0}r z{0}s z{0}t"
+    texts = [f"{common} {' '.join(tail.format(n + 60 * k) for k in range(6))}" for n in range(60)]
+    registered, fingerprints = corpus_of(spark, *texts[:30])
+    docs = spark.createDataFrame(list(enumerate(texts[30:])), "job_id bigint, text string")
+    assert fp.overlaps(docs, fingerprints, registered).count() == 900
+    assert fp.corpus_matches(docs, registered, fingerprints, threshold=0.0, broadcast_rows=0).count() == 900

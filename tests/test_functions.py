@@ -97,8 +97,8 @@ def test_plausibility(spark, text, language, thin):
 
 
 @pytest.mark.parametrize("body,expected", [
-    (b"%PDF-1.4", "pdf"), (b"junk" * 9 + b"%PDF", "pdf"), (b"x" * 1021 + b"%PDF", "text"), (b"%!PS", "postscript"), (b"\x1b%-12345X@PJL", "pcl"),
-    (b"\x1bE", "pcl"), (b"a\x00b", "binary"), (b"\xff\xfe", "binary"), (b"a" * 1023 + "é".encode(), "binary"), (b"a" * 1022 + "é".encode(), "text"), (b"", "text"),
+    (b"%PDF-1.4", "pdf"), (b"junk" * 9 + b"%PDF", "pdf"), (b"x" * 1021 + b"%PDF", "pdf"), (b"%!PS", "postscript"), (b"\x1b%-12345X@PJL", "pcl"),
+    (b"\x1bE", "pcl"), (b"a\x00b", "binary"), (b"\xff\xfe", "binary"), (b"a" * 1023 + "é".encode(), "text"), (b"a" * 2000 + b"\x00", "binary"), (b"a" * 2000 + b"\xff", "binary"), (b"a" * 1022 + "é".encode(), "text"), (b"", "text"),
 ])
 def test_formats(spark, body, expected):
     assert value(spark, tx.sniff_format(F.lit(body))) == expected

@@ -138,3 +138,12 @@ def test_rules_survive_the_table_and_duplicates_show(spark):
     assert duplicate_ids(table.union(table.filter("id = 'iban'"))).first().id == "iban"
     with pytest.raises(RuleError):
         active([rules[0], rules[0]])
+
+
+@pytest.mark.parametrize("pattern,text", [("(?i)secret", "my SECRET here"), (r"\x41\d+", "A77"), (r"\pL+", "one two")])
+def test_escapes_and_flags_are_no_literals(spark, pattern, text):
+    from veilscan.functions.dialect import needed_literal, to_java
+
+    literal = needed_literal(pattern, False)
+    assert literal in text
+    assert spark.range(1).select(F.rlike(F.lit(text), F.lit(to_java(pattern, False)))).first()[0]

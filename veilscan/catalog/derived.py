@@ -10,23 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.catalog.registry import Tables
-from veilscan.session import spread
 
 # --- documents -------------------------------------------------------------------------
 
 
 def documents(t: Tables) -> DataFrame:
     """Single-page jobs."""
-    return spread(t.documents.select(F.col("doc_id").alias("job_id"), F.lit(1).alias("page"), "text", F.col("source").alias("queue")))
+    return t.documents.select(F.col("doc_id").alias("job_id"), F.lit(1).alias("page"), "text", F.col("source").alias("queue"))
 
 
 def conversations(t: Tables) -> DataFrame:
-    return spread(t.conversations.select(F.col("conv_id").alias("job_id"), (F.col("turn") + 1).cast("int").alias("page"), "text"))
+    return t.conversations.select(F.col("conv_id").alias("job_id"), (F.col("turn") + 1).cast("int").alias("page"), "text")
 
 
 def garbled(t: Tables) -> DataFrame:
     """Documents of which some carry a text layer that is not language."""
-    return garbled_of(spread(t.documents))
+    return garbled_of(t.documents)
 
 
 def garbled_of(documents: DataFrame) -> DataFrame:
@@ -100,7 +99,7 @@ def planted(t: Tables) -> DataFrame:
         .when(k % 11 == 9, F.concat(F.repeat(F.concat(F.lit("u"), k.cast("string"), F.lit("@mail.example.org, ")), (c % 60 + 1).cast("int")), F.lit("SWIFT BNPAFRPP wire COBADEFF")))
         .otherwise(F.concat(F.lit("STRICTLY  Confidential draft merger memo "), k.cast("string"), F.lit(" under embargo")))
     )
-    return spread(t.orders.select("o_orderkey", "o_custkey")).select(k.alias("job_id"), F.lit(1).alias("page"), text.alias("text"), c.alias("custkey"))
+    return t.orders.select("o_orderkey", "o_custkey").select(k.alias("job_id"), F.lit(1).alias("page"), text.alias("text"), c.alias("custkey"))
 
 
 PLANTED = """

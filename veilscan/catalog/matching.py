@@ -137,11 +137,11 @@ def corpus_matches_large(t):
 
 @query(
     "corpus_matches_ranked",
-    with_(CORPUS_MATCHES) + "SELECT job_id, document_id, round(ratio, 9) AS ratio, round(ratio * 100)::INT || '% overlap' AS label FROM matches ORDER BY ratio DESC, job_id, document_id LIMIT 500",
+    with_(CORPUS_MATCHES) + "SELECT job_id, document_id, round(ratio, 9) AS ratio, round(ratio * 100)::INT || '% overlap' AS label FROM matches",
 )
 def corpus_matches_ranked(t):
-    """Top matches by ratio with their overlap label."""
-    return dv.matches(t).orderBy(F.desc("ratio"), "job_id", "document_id").limit(500).select(
+    """Matches by ratio with their overlap label."""
+    return dv.matches(t).orderBy(F.desc("ratio"), "job_id", "document_id").select(
         "job_id", "document_id", F.round("ratio", 9).alias("ratio"), fp.overlap_label(F.col("ratio")).alias("label")
     )
 
@@ -323,10 +323,10 @@ def thin_pages(t):
 
 @query(
     "ocr_batch",
-    "SELECT job_id, page FROM (SELECT l_orderkey % 100 AS job_id, l_linenumber * 1000 + l_partkey % 1000 AS page FROM lineitem GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY page) <= 40",
+    "SELECT job_id, page FROM (SELECT l_orderkey % 100 AS job_id, l_linenumber * 1000 + l_partkey % 1000 AS page FROM lineitem GROUP BY ALL)",
 )
 def ocr_batch(t):
-    """First 40 pages per job, with many more pages than that in every job."""
+    """All thin pages of every job."""
     thin = t.lineitem.select(
         (F.col("l_orderkey") % 100).alias("job_id"), (F.col("l_linenumber") * 1000 + F.col("l_partkey") % 1000).alias("page")
     ).distinct()

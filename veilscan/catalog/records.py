@@ -426,9 +426,9 @@ def archived(t):
     )
 
 
-@query("retention_batch", with_(JOBS, ARCHIVED) + f"SELECT job_id FROM archived WHERE NOT purged AND purge_after < TIMESTAMP '{NOW}' ORDER BY purge_after, job_id LIMIT 500")
+@query("retention_batch", with_(JOBS, ARCHIVED) + f"SELECT job_id FROM archived WHERE NOT purged AND purge_after < TIMESTAMP '{NOW}' ")
 def retention_batch(t):
-    """One purge batch: the oldest 500 due bodies."""
+    """All bodies that are due."""
     return lc.purge(archived(t), F.lit(NOW).cast("timestamp_ntz"))[1]
 
 
@@ -558,7 +558,7 @@ def job_list(t):
     return job_row(co.list_jobs(dv.jobs(t), state="held", queue="q3", limit=100, offset=20))
 
 
-@query("job_list_of_user", with_(JOBS) + f"SELECT {JOB_ROW} FROM (SELECT * FROM jobs WHERE username = 'user7' ORDER BY created_at DESC, job_id LIMIT 500)")
+@query("job_list_of_user", with_(JOBS) + f"SELECT {JOB_ROW} FROM (SELECT * FROM jobs WHERE username = 'user7' ORDER BY created_at DESC, job_id LIMIT 5000)")
 def job_list_of_user(t):
     return job_row(co.list_jobs(dv.jobs(t), username="user7", limit=5000))
 
@@ -728,8 +728,8 @@ SELECT job_id, '<108>' || strftime(created_at, '%b %d %H:%M:%S') || ' scanner1 v
     [
         ext("rt", "epoch_ms(created_at)::VARCHAR"), ext("suser", "username"), ext("shost", "hostname"), ext("dproc", "queue"), ext("fname", "title"),
         ext("fsize", "byte_size::VARCHAR"), ext("fileHash", "content_sha256"), ext("cs1", "action"), "'cs1Label=action'", ext("cs2", "job_id::VARCHAR"), "'cs2Label=jobId'",
-        ext("cs3", "rule_ids[1:1000]"), "'cs3Label=ruleIds'", ext("cs4", "scan_tier"), "'cs4Label=scanTier'", ext("cn1", "coalesce(match_count, 0)::VARCHAR"), "'cn1Label=matchCount'",
-        ext("cn2", "page_count::VARCHAR"), "'cn2Label=pageCount'", ext("cn3", "inline_ms::VARCHAR"), "'cn3Label=inspectMs'", ext("msg", "reason[1:512]"), ext("cs5", "sample"),
+        ext("cs3", "rule_ids"), "'cs3Label=ruleIds'", ext("cs4", "scan_tier"), "'cs4Label=scanTier'", ext("cn1", "coalesce(match_count, 0)::VARCHAR"), "'cn1Label=matchCount'",
+        ext("cn2", "page_count::VARCHAR"), "'cn2Label=pageCount'", ext("cn3", "inline_ms::VARCHAR"), "'cn3Label=inspectMs'", ext("msg", "reason"), ext("cs5", "sample"),
         "CASE WHEN match_count IS NOT NULL THEN 'cs5Label=maskedSample' END",
     ]
 ) + ") AS line FROM k"

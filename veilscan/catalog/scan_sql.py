@@ -96,7 +96,7 @@ def rule_sql(rule: Rule, position: int, source: str, tags: str | None) -> str:
 SELECT job_id, page, {quoted(rule.id)} AS rule_id, {quoted(rule.name)} AS rule_name, {rule.severity} AS severity,
   {quoted(rule.action)} AS action, {position} AS rule_pos, count(*) FILTER (ok) AS count, max(score) FILTER (ok) AS score,
   first(masked ORDER BY score DESC, i) FILTER (ok) AS sample,
-  array_to_string(list_sort(list_distinct(flatten(list(terms))))[1:5], ',') AS contexts
+  array_to_string(list_sort(list_distinct(flatten(list(terms)))), ',') AS contexts
 FROM (
   SELECT *, score >= {rule.threshold}::DOUBLE AS ok FROM (
     SELECT job_id, page, i, raw, terms, {mask("raw", rule.sample_prefix, rule.sample_suffix)} AS masked,

@@ -31,7 +31,7 @@ def shown(hits):
 @query(
     "intake",
     """
-SELECT doc_id AS job_id, source AS queue, left(repeat('Report ' || doc_id || ' ', 80), 512) AS title,
+SELECT doc_id AS job_id, source AS queue, repeat('Report ' || doc_id || ' ', 80) AS title,
   CASE WHEN doc_id % 3 = 2 THEN '' ELSE 'ws-' || (doc_id % 50) || '.example' END AS hostname,
   octet_length(encode(text)) AS byte_size, sha256(text) AS content_sha256, 'inspecting' AS state,
   strftime(TIMESTAMP '2024-02-25 00:00:00' + to_minutes(doc_id * 7), '%Y/%m/%d') || '/' || doc_id || '.bin' AS archive_key,
@@ -106,7 +106,7 @@ WITH b AS (
     WHEN 4 THEN hex(encode('junk %PDF' || html)) WHEN 5 THEN hex(encode('x')) || '00' || hex(encode(html))
     WHEN 6 THEN hex(encode('abc')) || 'FF' || hex(encode(html)) WHEN 7 THEN hex(encode(repeat('é', (page_id % 2 + 1)::INT) || repeat('a', (1019 + page_id % 4)::INT) || 'é'))
     ELSE hex(encode(html)) END AS x FROM pages),
-h AS (SELECT page_id, x, substring(x, 1, 2048) AS head FROM b)
+h AS (SELECT page_id, x, x AS head FROM b)
 SELECT page_id, CASE WHEN starts_with(head, '25504446') THEN 'pdf' WHEN starts_with(head, '25215053') THEN 'postscript'
     WHEN starts_with(head, '1B252D313233343558') OR starts_with(head, '1B45') THEN 'pcl'
     WHEN regexp_matches(head, '^(..)*25504446') THEN 'pdf' WHEN regexp_matches(head, '^(..)*00') THEN 'binary'
@@ -215,7 +215,7 @@ def dialect_matches(t):
             for n, (p, i) in enumerate(DIALECT)
         ]
     )
-    return dv.spread(t.documents.select("doc_id", "text")).select("doc_id", F.explode_outer(found).alias("f")).select(
+    return t.documents.select("doc_id", "text").select("doc_id", F.explode_outer(found).alias("f")).select(
         "doc_id", "f.pattern_no", F.size("f.m").cast("bigint").alias("found"), F.md5(F.array_join("f.m", "|")).alias("joined")
     )
 

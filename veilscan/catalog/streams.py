@@ -13,7 +13,7 @@ from veilscan.catalog.scan_sql import scan_cte
 from veilscan.operators import lifecycle as lc
 from veilscan.operators import policies as po
 from veilscan.plans import inspect as pl
-from veilscan.session import lookup_side, persist_table, shared_dir
+from veilscan.session import persist_table, shared_dir
 from veilscan.sources.rules import rules_table, shipped_rules
 from veilscan.streaming import feeds
 
@@ -48,7 +48,7 @@ def run_inspection(t, shape, alert_host=None):
     finished(
         feeds.inspection_feed(
             feeds.table_stream(spark, t.folder, "documents.parquet"),
-            lambda rows: rows.join(lookup_side(policies), "queue"),
+            lambda rows: rows.join(policies, "queue"),
             watch.current, out, f"{out}/checkpoint", corpus, alert_host, shape,
         )
     )
@@ -57,7 +57,7 @@ def run_inspection(t, shape, alert_host=None):
 
 def plain(batch):
     k = F.col("doc_id")
-    return dv.spread(batch).select(
+    return batch.select(
         k.alias("job_id"), F.lit(1).alias("page"), "text", F.col("source").alias("queue"), F.lit("u").alias("username"), F.lit("h").alias("hostname"),
         F.lit("t").alias("title"), F.octet_length("text").alias("byte_size"), F.sha2("text", 256).alias("content_sha256"), F.lit(0).alias("inline_ms"),
         F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("alert_at"),
@@ -100,13 +100,13 @@ def stream_alerts(t):
 )
 def stream_deferred(t):
     """A second stream takes up the jobs the first has marked as pending."""
-    out, corpus, policies = run_inspection(t, lambda batch: dv.garbled_of(dv.spread(batch)))
+    out, corpus, policies = run_inspection(t, lambda batch: dv.garbled_of(batch))
     spark, docs = t.spark, dv.garbled(t)
     verdicts = spark.read.parquet(f"{out}/verdicts").drop("batch")
     stored = spark.read.parquet(f"{out}/evidence").drop("batch")
     def step(pending):
         ids = pending.select("job_id")
-        mine = docs.join(ids, "job_id", "left_semi").join(lookup_side(policies), "queue")
+        mine = docs.join(ids, "job_id", "left_semi").join(policies, "queue")
         after, _, _ = pl.deferred(
             verdicts.join(ids, "job_id", "left_semi"), mine.select("job_id", "page", "text", "policy"),
             mine.select("job_id", "page", F.col("original").alias("text")), stored, shipped_rules(), corpus, single_page=True,

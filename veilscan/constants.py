@@ -45,13 +45,8 @@ SHINGLE_WORDS = 5
 WINNOW_WINDOW = 4
 CONTAINMENT_THRESHOLD = 0.35
 RETENTION_DAYS = 90
-PURGE_BATCH = 500
-OCR_MAX_PAGES = 40
 GRANT_TTL_HOURS = 2
 MAX_BODY_BYTES = 200 * 1024 * 1024
-TITLE_CHARS = 512
-JOB_LIST_MAX = 500
-ACCESS_LOG_MAX = 1000
 DASHBOARD_ROWS = 25
 QUEUE_VIEW_ROWS = 200
 AUDIT_VIEW_ROWS = 300

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 PRIORITY = 108
 PROGRAM = "veilscan"
 VENDOR, PRODUCT, VERSION = "Veilscan", "DocumentDLP", "1.0"
-MESSAGE_CHARS = 512
-RULE_LIST_CHARS = 1000
 SIGNATURES = {
     "failed_open": ("INSPECTION_FAILED_OPEN", "Print job released without inspection"),
     "released_then_flagged": ("PRINT_FLAGGED_AFTER_RELEASE", "Sensitive document detected after it printed"),

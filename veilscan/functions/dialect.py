@@ -110,9 +110,15 @@ def to_java(pattern: str, ignore_case: bool = True, boundaries: bool = True) ->
     return lead(pattern, ignore_case) + ("(?diu)" if ignore_case else "(?d)") + "".join(out)
 
 
+# Flags inside the pattern, and escapes that stand for other characters than the one that follows.
+UNSURE = re.compile(r"\(\?(?!:|P?<[A-Za-z])|\\(?:[^bBdDwWsSAz\W]|_)")
+
+
 def needed_literal(pattern: str, ignore_case: bool = True) -> str:
     """The longest plain text every match must hold, or '' where none is evident. Only
     characters outside groups and classes count, and letters only when case matters."""
+    if UNSURE.search(pattern.replace("\\\\", "")):
+        return ""
     runs, run, depth, in_class, plain = [], "", 0, False, True
     in_repeat = False
     tokens = TOKEN.findall(pattern) + [""]
@@ -148,6 +154,8 @@ FOLDED = {"s": "\u017f", "k": "\u212a"}
 def first_letters(pattern: str, ignore_case: bool = True) -> str:
     """All characters a match can begin with, where the pattern starts with plain letters,
     digits or a group of alternatives that do; '' where that is not evident."""
+    if UNSURE.search(pattern.replace("\\\\", "")):
+        return ""
     tokens = [t for t in TOKEN.findall(pattern)]
     while tokens and tokens[0] in ("\\b", "\\B"):
         tokens.pop(0)

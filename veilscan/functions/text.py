@@ -131,9 +131,8 @@ def digest(body: Column) -> Column:
 
 
 def sniff_format(body: Column) -> Column:
-    """Format of a binary body from its first 1024 bytes. A head that cuts a multi-byte
-    character is not valid text and so counts as binary."""
-    head = F.substring(body, 1, 1024)
+    """Format of a binary body from all of it: leading marks first, then a page mark anywhere,
+    then whether it is text (valid UTF-8 without NUL)."""
 
     def kind(h: Column) -> Column:
         def starts(hex_text: str) -> Column:
@@ -152,7 +151,7 @@ def sniff_format(body: Column) -> Column:
             .otherwise(F.lit("text"))
         )
 
-    return let(head, kind)
+    return let(body, kind)
 
 
 def magic(body: Column, length: int = 16) -> Column:

@@ -34,12 +34,12 @@ def alert_lines(jobs: DataFrame, evidence: DataFrame, host: str) -> DataFrame:
         "fileHash": F.col("content_sha256"),
         "cs1": F.col("action"),
         "cs2": F.col("job_id").cast("string"),
-        "cs3": F.substring(F.coalesce("rule_ids", F.lit("")), 1, cef.RULE_LIST_CHARS),
+        "cs3": F.coalesce("rule_ids", F.lit("")),
         "cs4": F.col("scan_tier"),
         "cn1": F.coalesce("match_count", F.lit(0)).cast("string"),
         "cn2": F.col("page_count").cast("string"),
         "cn3": F.col("inline_ms").cast("string"),
-        "msg": F.substring("reason", 1, cef.MESSAGE_CHARS),
+        "msg": F.col("reason"),
         "cs5": F.col("sample"),
     }
     for key, label in cef.LABELS.items():

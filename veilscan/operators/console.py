@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.constants import (
-    ACCESS_LOG_MAX, AUDIT_VIEW_ROWS, DASHBOARD_ROWS, JOB_LIST_MAX, POLICY_REVISION_ROWS, QUEUE_VIEW_ROWS,
+    AUDIT_VIEW_ROWS, DASHBOARD_ROWS, POLICY_REVISION_ROWS, QUEUE_VIEW_ROWS,
     RULE_REVISION_ROWS,
 )
 
@@ -23,7 +23,7 @@ def list_jobs(
     for name, wanted in (("state", state), ("queue", queue), ("username", username)):
         if wanted:
             jobs = jobs.filter(F.col(name) == F.lit(wanted))
-    return _newest(jobs).offset(offset).limit(min(limit, JOB_LIST_MAX))
+    return _newest(jobs).offset(offset).limit(limit)
 
 
 def jobs_per_state(jobs: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def revisions_view(revisions: DataFrame, key: str, wanted=None, rows: int | None
 
 
 def access_log(access: DataFrame, rows: int = AUDIT_VIEW_ROWS) -> DataFrame:
-    return access.orderBy(F.desc("at"), F.asc("access_id")).limit(min(rows, ACCESS_LOG_MAX))
+    return access.orderBy(F.desc("at"), F.asc("access_id")).limit(rows)
 
 
 def corpus_view(registered: DataFrame) -> DataFrame:

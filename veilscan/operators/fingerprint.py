@@ -6,31 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from veilscan.constants import CONTAINMENT_THRESHOLD, MAX_BODY_BYTES, SHINGLE_WORDS, WINNOW_WINDOW
+from veilscan.constants import CONTAINMENT_THRESHOLD, SHINGLE_WORDS, WINNOW_WINDOW
 from veilscan.functions import text as tx
 from veilscan.functions.core import unnest
-from veilscan.session import at_most, persist_table
+from veilscan.session import persist_table
 
-# Corpus fingerprints that may be broadcast (16 bytes a row, so some tens of megabytes).
+# Corpus fingerprints up to which all sharing pairs are counted and then filtered.
 CORPUS_BROADCAST_ROWS = 1_000_000
 
 
-def document_text(pages: DataFrame, max_bytes: int = MAX_BODY_BYTES) -> DataFrame:
+def document_text(pages: DataFrame) -> DataFrame:
     """Pages of a job joined by line feeds in page order: (job_id, text).
 
-    This puts each text into one row, so it is for jobs within the body limit (see
-    ``oversize``) only, which bounds the largest group whatever the skew. Fingerprints do not
-    need it: ``paged_prints`` works page by page and has no limit.
+    This puts each text into one row. Fingerprints do not need it: ``paged_prints`` works page by
+    page.
     """
-    sizes = pages.groupBy("job_id").agg(F.sum(F.octet_length("text") + 1).alias("total"), F.count("*").alias("n"))
-    # Jobs of one page need no gathering.
-    sized = pages.join(sizes.filter(F.col("total") <= max_bytes).select("job_id"), "job_id", "left_semi")
-    return sized.groupBy("job_id").agg(
+    return pages.groupBy("job_id").agg(
         F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]
-            ),
-            "\n",
+            F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n"
         ).alias("text")
     )
 
@@ -154,52 +147,41 @@ def containment(overlap: Column, query_size: Column, reference_size: Column) ->
     )
 
 
-def overlaps(
-    docs: DataFrame,
-    fingerprints: DataFrame,
-    registered: DataFrame,
-    threshold: float = CONTAINMENT_THRESHOLD,
-    hashing: str = "md5",
-    broadcast_rows: int = CORPUS_BROADCAST_ROWS,
-) -> DataFrame:
-    """Shared fingerprints per (job, registered document): (job_id, document_id, overlap,
-    query_n, reference_n). ``docs`` has (job_id, text), or (job_id, page, text) for jobs of
-    many pages.
-
-    A corpus of checked size is broadcast: documents are fingerprinted, probed and counted
-    where they are read, and only pairs that share something are shuffled. A larger corpus
-    is matched by ``candidate_overlaps``, which holds at least all pairs that reach
-    ``threshold``.
-    """
-    corpus = fingerprints.join(
+def enabled_corpus(fingerprints: DataFrame, registered: DataFrame) -> DataFrame:
+    """(document_id, h, reference_n) of the documents that take part."""
+    return fingerprints.join(
         registered.filter("enabled and shingle_count > 0").select("document_id", F.col("shingle_count").alias("reference_n")),
         "document_id",
     )
-    small = at_most(fingerprints, broadcast_rows)
-    if "page" in docs.columns:
-        prints = persist_table(paged_prints(docs, hashing=hashing), "prints")
-        if small:
-            pairs = prints.join(F.broadcast(corpus), "h").groupBy("job_id", "document_id").agg(
-                F.count("*").alias("overlap"), F.first("reference_n").alias("reference_n")
-            )
-            return pairs.join(sizes(prints).withColumnRenamed("n", "query_n"), "job_id")
-        sets = prints.groupBy("job_id").agg(F.collect_list("h").alias("fps"), F.count("*").alias("n"))
-    else:
-        sets = fingerprint_sets(docs, hashing)
-        if small:
-            probed = unnest(sets, F.col("fps"), "h", ("job_id", F.col("n").alias("query_n"))).join(
-                F.broadcast(corpus), "h"
-            )
-            return probed.groupBy("job_id", "document_id").agg(
-                F.count("*").alias("overlap"),
-                F.first("query_n").alias("query_n"),
-                F.first("reference_n").alias("reference_n"),
-            )
-    return candidate_overlaps(
-        persist_table(sets, "sets"), persist_table(corpus, "corpus"), threshold
+
+
+def print_sets(docs: DataFrame, hashing: str) -> DataFrame:
+    """(job_id, fps, n) of ``docs(job_id, text)``, or ``docs(job_id, page, text)`` for many pages."""
+    if "page" not in docs.columns:
+        return fingerprint_sets(docs, hashing)
+    prints = paged_prints(docs, hashing=hashing)
+    return prints.groupBy("job_id").agg(F.collect_list("h").alias("fps"), F.count("*").alias("n"))
+
+
+def shared_prints(sets: DataFrame, corpus: DataFrame) -> DataFrame:
+    """All pairs that share a fingerprint, with their counts, from an inverted-index join."""
+    probed = unnest(sets, F.col("fps"), "h", ("job_id", F.col("n").alias("query_n"))).join(corpus, "h")
+    return probed.groupBy("job_id", "document_id").agg(
+        F.count("*").alias("overlap"), F.first("query_n").alias("query_n"), F.first("reference_n").alias("reference_n")
     )
 
 
+def overlaps(docs: DataFrame, fingerprints: DataFrame, registered: DataFrame, hashing: str = "md5") -> DataFrame:
+    """Shared fingerprints of all pairs that share any, for a corpus of any size:
+    (job_id, document_id, overlap, query_n, reference_n).
+
+    The corpus is written once, so Spark knows its bytes and broadcasts it only below its limit;
+    counts are combined before the shuffle.
+    """
+    corpus = persist_table(enabled_corpus(fingerprints, registered), "corpus")
+    return shared_prints(print_sets(docs, hashing), corpus)
+
+
 def candidate_overlaps(sets: DataFrame, corpus: DataFrame, threshold: float) -> DataFrame:
     """Exact overlaps of all pairs that can reach ``threshold``, for a corpus of any size.
 
@@ -264,12 +246,23 @@ def candidate_overlaps(sets: DataFrame, corpus: DataFrame, threshold: float) ->
 
 def corpus_matches(
     docs: DataFrame, registered: DataFrame, fingerprints: DataFrame,
-    threshold: float = CONTAINMENT_THRESHOLD, **options,
+    threshold: float = CONTAINMENT_THRESHOLD, hashing: str = "md5", broadcast_rows: int = CORPUS_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Registered documents each text is contained in, or contains, at ``threshold`` or more."""
-    found = overlaps(docs, fingerprints, registered, threshold, **options).withColumn(
-        "ratio", containment(F.col("overlap"), F.col("query_n"), F.col("reference_n"))
-    ).filter(F.col("ratio") >= F.lit(threshold))
+    """Registered documents each text is contained in, or contains, at ``threshold`` or more.
+
+    Both ways to count give the same pairs: all pairs that share a fingerprint, filtered, where
+    the corpus is small or there is no threshold; else only pairs that can reach it.
+    """
+    corpus = persist_table(enabled_corpus(fingerprints, registered), "corpus")
+    sets = print_sets(docs, hashing)
+    # The count of a written table comes from its footers.
+    if threshold <= 0 or corpus.count() <= broadcast_rows:
+        found = shared_prints(sets, corpus)
+    else:
+        found = candidate_overlaps(persist_table(sets, "sets"), corpus, threshold)
+    found = found.withColumn("ratio", containment(F.col("overlap"), F.col("query_n"), F.col("reference_n"))).filter(
+        F.col("ratio") >= F.lit(threshold)
+    )
     return found.join(
         registered.select("document_id", F.col("name").alias("document_name"), "severity", "action"), "document_id"
     ).select("job_id", "document_id", "document_name", "severity", "action", "overlap", "ratio")

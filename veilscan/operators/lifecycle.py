@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veilscan.constants import (
-    GRANT_TTL_HOURS, MAX_BODY_BYTES, OCR_MAX_PAGES, PREVIEW_STATES, PRINTED_STATES, PURGE_BATCH,
-    REASON_MAX_CHARS, REASON_MIN_CHARS, RETENTION_DAYS, TITLE_CHARS,
+    GRANT_TTL_HOURS, MAX_BODY_BYTES, PREVIEW_STATES, PRINTED_STATES,
+    REASON_MAX_CHARS, REASON_MIN_CHARS, RETENTION_DAYS,
 )
 from veilscan.functions.core import action_rank, state_of_action
 
@@ -34,10 +34,9 @@ def grant_expiry(at: Column) -> Column:
 
 
 def intake(documents: DataFrame) -> DataFrame:
-    """Submitted documents as new jobs: title cut, host from options, size and digest."""
+    """Submitted documents as new jobs: host from options, size and digest."""
     return documents.withColumns(
         {
-            "title": F.substring("title", 1, TITLE_CHARS),
             "hostname": originating_host(F.col("options")),
             "byte_size": F.octet_length("body").cast("bigint"),
             "content_sha256": F.sha2(F.col("body"), 256),
@@ -142,9 +141,11 @@ def deep_scan_reason(thin_pages: Column) -> Column:
     )
 
 
-def ocr_batch(thin: DataFrame, limit: int = OCR_MAX_PAGES) -> DataFrame:
-    """First ``limit`` thin pages of each job. Spark keeps only the leading rows of each
-    group before the shuffle, so a job with very many pages is cut down where it is read."""
+def ocr_batch(thin: DataFrame, limit: int | None = None) -> DataFrame:
+    """Thin pages to recognise: all of them, or the first ``limit`` of each job (Spark then keeps
+    only the leading rows of each group before the shuffle)."""
+    if limit is None:
+        return thin
     ranked = W.partitionBy("job_id").orderBy("page")
     return thin.withColumn("rn", F.row_number().over(ranked)).filter(F.col("rn") <= limit).drop("rn")
 
@@ -234,9 +235,9 @@ def decide(jobs: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]
     return after, outcomes
 
 
-def purge(jobs: DataFrame, now: Column, limit: int | None = PURGE_BATCH) -> tuple[DataFrame, DataFrame]:
-    """Expire archived bodies: (jobs after, ids purged). Oldest deadlines go first; metadata
-    stays, the key is blanked. ``limit=None`` purges everything that is due."""
+def purge(jobs: DataFrame, now: Column, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Expire archived bodies: (jobs after, ids purged). Metadata stays, the key is
+    blanked. With ``limit`` only that many go, oldest deadlines first."""
     due = jobs.filter(F.col("purged_at").isNull() & (F.col("purge_after") < now)).select("job_id", "purge_after")
     if limit is not None:
         due = due.orderBy("purge_after", "job_id").limit(limit)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from veilscan.constants import DEFAULT_POLICY
 from veilscan.functions.policy import expand_mode, policy_faults, tags_or_all
-from veilscan.session import lookup_side
 
 FIELDS = ("deep_scan_required", "fail_mode", "on_unreadable", "rule_tags")
 SNAPSHOT = ("queue", *FIELDS, "description", "enabled", "shared")
@@ -31,8 +30,8 @@ def with_policy(jobs: DataFrame, stored: DataFrame, from_file: DataFrame) -> Dat
     second = from_file.select("queue", F.struct(*FIELDS).alias("p2"))
     fallback = F.struct(*[default_value(f).alias(f) for f in FIELDS])
     return (
-        jobs.join(lookup_side(first), "queue", "left")
-        .join(lookup_side(second), "queue", "left")
+        jobs.join(first, "queue", "left")
+        .join(second, "queue", "left")
         .withColumn("policy", F.coalesce("p1", "p2", fallback))
         .drop("p1", "p2")
     )

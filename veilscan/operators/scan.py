@@ -19,8 +19,6 @@ from veilscan.functions.core import let, strip, unnest
 from veilscan.functions.dialect import needed_literal, to_java, with_surroundings
 from veilscan.sources.rules import Rule
 
-CONTEXTS_KEPT = 5
-
 HIT_COLUMNS = (
     "rule_id", "rule_name", "severity", "action", "count", "score", "sample", "contexts", "rule_pos",
 )
@@ -116,10 +114,7 @@ def evaluate(text: Column, rule: Rule, position: int) -> Column:
         first_best = let(
             best, lambda b: F.get(F.filter(ks, lambda m: (m["score"] == b) & (b > 0.0)), F.lit(0))["raw"]
         )
-        terms = F.slice(
-            F.array_sort(F.array_distinct(F.flatten(F.transform(ms, lambda m: m["terms"])))),
-            1, CONTEXTS_KEPT,
-        )
+        terms = F.array_sort(F.array_distinct(F.flatten(F.transform(ms, lambda m: m["terms"]))))
         return F.when(
             F.size(ks) >= rule.min_count,
             F.struct(

@@ -1,4 +1,4 @@
-"""Session settings, shared scratch space and size checks used before planning."""
+"""Session settings and shared scratch space."""
 
 from __future__ import annotations
 
@@ -8,14 +8,9 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-# Rows a lookup side may have before it is no longer broadcast.
-BROADCAST_ROWS = 200_000
-
-
 def ship_by_value(module_name: str) -> None:
     """Send the functions of a module to Python workers as code, so that workers need no copy
     of this package."""
@@ -52,26 +47,3 @@ def persist_table(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def at_most(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` has no more than ``rows`` rows; reads no further than needed."""
-    return df.select(F.lit(1).alias("one")).limit(rows + 1).count() <= rows
-
-
-def lookup_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint when its size was checked, else unchanged: the join then
-    shuffles on its keys and adaptive execution splits skewed partitions."""
-    return F.broadcast(df) if at_most(df, rows) else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a scan that has fewer splits than the session has cores.
-
-    Small inputs come as one row group and would run as one task. A large input already has
-    many splits, so it is returned untouched and never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if cores > 1 and df.rdd.getNumPartitions() < 4 * cores:
-        return df.repartition(4 * cores)
-    return df

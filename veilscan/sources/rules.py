@@ -13,12 +13,10 @@ from pyspark.sql import types as T
 from veilscan.constants import ACTION_RANK, SEVERITY_MAX, SEVERITY_MIN
 from veilscan.functions.checks import check_named
 from veilscan.functions.dialect import problems
-from veilscan.session import at_most
 from veilscan.sources.shipped_rules import SHIPPED_RULES
 
 # A rule table is configuration: it is read to the driver to plan the scan, so its size is
 # checked first.
-MAX_RULES = 5_000
 
 RULE_SCHEMA = T.StructType(
     [
@@ -196,8 +194,6 @@ def _as_row(value):
 
 def rules_from_table(table: DataFrame) -> list[Rule]:
     """Rules of a table, read to the driver to plan a scan with literal patterns."""
-    if not at_most(table, MAX_RULES):
-        raise RuleError(f"a rule table may hold at most {MAX_RULES} rules")
     rows = table.filter(F.col("enabled")).collect()
     return active([rule_from(row.asDict(recursive=True)) for row in rows])
 
