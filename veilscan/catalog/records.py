@@ -527,6 +527,18 @@ def content_reads(t):
     return judged_reads(t)[1].select("job_id", "actor", "kind", text_of("at"), "outcome", F.coalesce("request_id", F.lit(-1)).alias("request_id"))
 
 
+@query(
+    "grants_after_reads",
+    with_(*READ_CTES) + f"""SELECT g.request_id, g.job_id, g.requester, g.status, coalesce(strftime(u."at", {SQL_STAMP}), '') AS used_at
+FROM agrants g LEFT JOIN (SELECT request_id, min("at") AS "at" FROM outcome WHERE kind = 'content' AND outcome = 'allowed' AND request_id >= 0 GROUP BY request_id) u ON u.request_id = g.request_id""",
+)
+def grants_after_reads(t):
+    """Grants with the time of the content read that used them up."""
+    approved, judged = judged_reads(t)
+    after = ac.used_up(approved, judged).withColumn("used_at", F.coalesce(text_of("used_at"), F.lit("")))
+    return after.select("request_id", "job_id", "requester", "status", "used_at")
+
+
 @query("access_audit", with_(*READ_CTES) + f"SELECT {sql_text('at')}, job_id, actor, request_id, kind, CASE WHEN kind = 'preview' AND request_id = -1 THEN ' (held-job triage)' ELSE '' END AS detail FROM outcome WHERE outcome = 'allowed'")
 def access_audit(t):
     rows = ac.audit_rows(judged_reads(t)[1])

@@ -140,6 +140,14 @@ def _covered_by_several(asking: DataFrame, grants: DataFrame) -> DataFrame:
     return left.groupBy("job_id", "actor").cogroup(right.groupBy("job_id", "actor")).applyInPandas(walk, schema)
 
 
+def used_up(grants: DataFrame, judged_reads: DataFrame) -> DataFrame:
+    """The grants table after ``judged_reads``: ``used_at`` is set where a content read used a
+    grant, so that later reads find it used. A grant is used once; an earlier use stays."""
+    used = judged_reads.filter("kind = 'content' and outcome = 'allowed' and request_id is not null").groupBy(
+        "request_id").agg(F.min("at").alias("now_used"))
+    return grants.join(used, "request_id", "left").withColumn("used_at", F.coalesce("used_at", "now_used")).drop("now_used")
+
+
 def audit_rows(judged_reads: DataFrame) -> DataFrame:
     """Access-log rows: one per read that was let through."""
     return judged_reads.filter("outcome = 'allowed'").select(
