@@ -147,3 +147,12 @@ def test_escapes_and_flags_are_no_literals(spark, pattern, text):
     literal = needed_literal(pattern, False)
     assert literal in text
     assert spark.range(1).select(F.rlike(F.lit(text), F.lit(to_java(pattern, False)))).first()[0]
+
+
+@pytest.mark.parametrize("pattern", ["confidential", "conf[a-z]dential", "(?:strictly |)confidential"])
+def test_other_letters_i_do_not_fold(spark, pattern):
+    from veilscan.functions.dialect import to_java
+
+    java = F.lit(to_java(pattern))
+    texts = ["confidential", "CONFIDENTIAL", "confıdential", "confİdential"]
+    assert list(spark.range(1).select(*[F.rlike(F.lit(t), java).alias(str(k)) for k, t in enumerate(texts)]).first()) == [True, True, False, False]

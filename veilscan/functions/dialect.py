@@ -69,6 +69,16 @@ def problems(pattern: str) -> list[str]:
     return found
 
 
+NOT_OTHER_I = "(?:(?!(?-iu:[\\u0130\\u0131]))"
+
+
+def class_holds_i(tokens: list[str]) -> bool:
+    """Whether the character class that opens ``tokens`` holds an ASCII i, by letter or range."""
+    body = "".join(tokens[: tokens.index("]", 1) + 1] if "]" in tokens[1:] else tokens)
+    ranges = re.findall(r"([A-Za-z])-([A-Za-z])", body)
+    return "i" in body.lower() or any(a <= c <= b for a, b in ranges for c in "iI")
+
+
 def to_java(pattern: str, ignore_case: bool = True, boundaries: bool = True) -> str:
     """Java form of a pattern. Without ``boundaries`` the word-boundary assertions are left
     out: that form finds something wherever the full one does, and scans several times
@@ -76,8 +86,11 @@ def to_java(pattern: str, ignore_case: bool = True, boundaries: bool = True) ->
     faults = problems(pattern)
     if faults:
         raise PatternError("; ".join(faults))
-    out, in_class, multiline = [], False, False
-    for token in TOKEN.findall(pattern):
+    out, in_class, multiline, closing = [], False, False, "]"
+    # Java folds dotless and dotted capital i to i, the dialect does not.
+    fold = ignore_case and not re.search("[\u0130\u0131]|\\\\[pPxQ]|\\(\\?(?!:)", pattern)
+    tokens = TOKEN.findall(pattern)
+    for at, token in enumerate(tokens):
         if token.startswith("(?") and "m" in token:
             multiline = True
         if token.startswith("[:") and in_class:
@@ -98,9 +111,13 @@ def to_java(pattern: str, ignore_case: bool = True, boundaries: bool = True) ->
                 token = "\\" + token
             else:
                 in_class = True
-                token = token.replace("]", "\\]")
+                guarded = fold and not token.startswith("[^") and class_holds_i(tokens[at:])
+                closing = "])" if guarded else "]"
+                token = (NOT_OTHER_I if guarded else "") + token.replace("]", "\\]")
         elif token == "]":
-            in_class = False
+            token, in_class = (closing if in_class else token), False
+        elif token in ("i", "I") and fold and not in_class:
+            token = f"{NOT_OTHER_I}{token})"
         elif token == "&&" and in_class:
             token = "\\&\\&"
         elif token == "$" and not in_class and not multiline:
