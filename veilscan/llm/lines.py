@@ -360,7 +360,8 @@ def cleaned(docs: DataFrame, bits: int = BITS, least: float = SIMILAR) -> DataFr
     """``docs`` with the removed lines cut out of ``text``, and ``_gone`` (their numbers or null)."""
     gone = written(removals(docs, bits, least), "gone-lines").withColumnRenamed("doc", "_doc")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    found = docs.join(gone, key == F.col("_doc"), "left").withColumnRenamed("gone", "_gone")
+    # The removals grow with the corpus: never broadcast, the same plan at every size.
+    found = docs.join(gone.hint("merge"), key == F.col("_doc"), "left").withColumnRenamed("gone", "_gone")
     return found.withColumn("text", without(F.col("text"), F.col("_gone"))).select(*docs.columns, "_gone")
 
 
