@@ -344,6 +344,7 @@ def removals(docs: DataFrame, bits: int = BITS, least: float = SIMILAR) -> DataF
     some = distinct.join(groups, "line", "left").where("n > 1 or component is not null")
     some = written(some.withColumn("component", F.coalesce("component", "line")), "grouped-lines")
     first = some.groupBy("component").agg(F.min(F.struct("doc", "nth")).alias("first"))
+    first = written(first, "first-of-group")  # the join then sees plain exchanges, whose hot keys are split
     some = written(some.join(first, "component").select("line", "first"), "first-lines")
     gone = all_.select("line", "doc", "nth").join(some, "line").where(F.struct("doc", "nth") != F.col("first"))
     return gone.groupBy("doc").agg(F.collect_set("nth").alias("gone"))

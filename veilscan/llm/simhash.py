@@ -159,7 +159,7 @@ def one_of_each(docs: DataFrame, bits: int = 2) -> DataFrame:
     It is a row of the smallest ``doc_id`` of the group (a null id only where there is no other).
     Only ids that name several rows are looked at again by text.
     """
-    found = grouped(docs, bits)
+    found = written(grouped(docs, bits), "grouped")  # a join of its own, so that hot keys are split
     rows = found.groupBy("doc_id", "print", "component_id").agg(F.count(F.lit(1)).alias("n"))
     per_id = Window.partitionBy("doc_id")
     rows = rows.withColumn("of_id", F.sum("n").over(per_id))
