@@ -11,6 +11,15 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Small inputs: most of the time of these tests is the start of tasks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="session")
 def docs_of(spark):
     """Builds documents from (doc_id, text[, lang[, source]]) rows, with a clashing extra column."""
@@ -18,7 +27,7 @@ def docs_of(spark):
     def build(rows, extra="score double, part string"):
         full = [(*r, *([None] * (4 - len(r)))) for r in rows]
         full = [(r[0], r[1], r[2], r[3], None if r[1] is None else len(r[1]), 0.5, "x") for r in full]
-        return spark.createDataFrame(full, f"{SCHEMA}, {extra}").repartition(3)
+        return spark.createDataFrame(full, f"{SCHEMA}, {extra}").repartition(2)
 
     return build
 
