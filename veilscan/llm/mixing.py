@@ -59,7 +59,8 @@ def filled(nodes: DataFrame, parent: list[str], node: str, budget: str, quota: s
         .withColumn("level", F.max(F.when(F.col("level") < F.col("ratio"), F.col("level"))).over(family))
         .withColumn(
             quota,
-            F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("supply").cast("double"))
+            F.when(F.col("weight") <= 0, 0.0)
+            .when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("supply").cast("double"))
             .otherwise(F.floor(F.col("level") * F.col("weight") + F.lit(1e-6)))
             .cast("long"),
         )
@@ -167,7 +168,7 @@ def sql(documents: str = "documents", share: float = 0.6, epochs: int = 2, seed:
 
     def filling(nodes: str, parent: str, node: str, budget: str, quota: str) -> str:
         return f"""
-  SELECT *, CASE WHEN top IS NULL OR ratio <= top THEN supply
+  SELECT *, CASE WHEN weight <= 0 THEN 0 WHEN top IS NULL OR ratio <= top THEN supply
                  ELSE floor(top * weight + 1e-6)::BIGINT END AS {quota}
   FROM (SELECT *, max(CASE WHEN level < ratio THEN level END) OVER (PARTITION BY {parent}) AS top
     FROM (SELECT *, ({budget} - coalesce(sum(supply) OVER before, 0))::DOUBLE
