@@ -22,7 +22,7 @@ from veilscan.llm.tables import text_of, written
 
 # A chunk ends at the first cut after LEAST characters: a line end, or a word that ends in such a letter or digit and one that
 # has another soon after its begin (one place in a hundred or so, in several scripts).
-LEAST, MOST = 512, 16384
+LEAST, MOST = 256, 16384
 CUT = r"\n|[a-e0-2\u03B1-\u03B3\u0430-\u0434\u0627-\u062A][ ](?=.?[a-c0-2\u03B1\u03B2\u0430-\u0432\u0627\u0628])|[\u7684\u306E\u3002]"
 
 
