@@ -177,9 +177,28 @@ def coded(number: int) -> str:
     return chr(STARTS[0] + number // DIGIT**2) + chr(STARTS[1] + number // DIGIT % DIGIT) + chr(STARTS[2] + number % DIGIT)
 
 
-def numbers(code: str) -> np.ndarray:
-    digits = np.frombuffer(code.encode("utf-32-le"), np.uint32).reshape(-1, 3).astype(np.int64) - np.array(STARTS)
-    return (digits[:, 0] * DIGIT + digits[:, 1]) * DIGIT + digits[:, 2]
+def agreed(a: str, i: int, b: str, j: int, most: int, way: int) -> int:
+    """How many words (``most`` at most) agree from word i of ``a`` and j of ``b`` on, to the right
+    (``way`` 1) or to the left of them (-1): by growing stretches, then by halving the last one."""
+
+    def same(low: int, high: int) -> bool:
+        if way > 0:
+            return a[3 * (i + low) : 3 * (i + high)] == b[3 * (j + low) : 3 * (j + high)]
+        return a[3 * (i - high) : 3 * (i - low)] == b[3 * (j - high) : 3 * (j - low)]
+
+    done, step = 0, 32
+    while done < most:
+        end = min(done + step, most)
+        if not same(done, end):
+            while end - done > 1:
+                middle = (done + end) // 2
+                if same(done, middle):
+                    done = middle
+                else:
+                    end = middle
+            return done
+        done, step = end, 2 * step
+    return done
 
 
 class Shard:
@@ -190,7 +209,6 @@ class Shard:
     def __init__(self):
         self.vocabulary: dict[bytes, str] = {}
         self.codes: list[str] = []
-        self.texts: list[np.ndarray] = []
         self.owners: list[int] = []
         self.automaton = None
 
@@ -201,7 +219,6 @@ class Shard:
             if w not in v:
                 v[w] = coded(len(v) + 1)
         self.codes.append("".join([v[w] for w in own]))
-        self.texts.append(numbers(self.codes[-1]))
         self.owners.append(owner)
 
     def compile(self) -> None:
@@ -218,22 +235,23 @@ class Shard:
         """Ranges of words that repeat a passage of an earlier document over a window or more."""
         v, unknown = self.vocabulary, self.UNKNOWN
         code = "".join([v.get(w, unknown) for w in text.encode().split()])
-        if len(code) < 3 * WINDOW or not self.texts:
+        size = len(code) // 3
+        if size < WINDOW or not self.codes:
             return []
-        own, seen, out = None, set(), []
+        reached: dict[tuple[int, int], int] = {}  # (passage, shift): end of the last run compared there
+        out = []
         for end, spots in self.automaton.iter(code):
+            stop = (end + 1) // 3
             for p, at in spots:
-                shift = (end + 1) // 3 - ANCHOR - at
-                if self.owners[p] >= doc_id or (p, shift) in seen:
+                shift = stop - ANCHOR - at
+                if self.owners[p] >= doc_id or reached.get((p, shift), 0) >= stop:
                     continue
-                seen.add((p, shift))
-                own = numbers(code) if own is None else own
-                passage = self.texts[p]
-                low, high = max(0, shift), min(len(own), shift + len(passage))
-                apart = np.flatnonzero(own[low:high] != passage[low - shift : high - shift])
-                edges = np.concatenate(([-1], apart, [high - low]))
-                for k in np.flatnonzero(np.diff(edges) > WINDOW):
-                    out.append((low + int(edges[k]) + 1, low + int(edges[k + 1])))
+                passage = self.codes[p]
+                right = agreed(code, stop, passage, at + ANCHOR, min(size - stop, len(passage) // 3 - at - ANCHOR), 1)
+                left = agreed(code, stop - ANCHOR, passage, at, min(stop - ANCHOR, at), -1)
+                reached[p, shift] = stop + right
+                if left + ANCHOR + right >= WINDOW:
+                    out.append((stop - ANCHOR - left, stop + right))
         return out
 
 
