@@ -70,6 +70,7 @@ def removed_lines(rows, normalised, takes_part, simhashes) -> list[set[int]]:
     near = [
         (i, j) for i in range(len(lines)) for j in range(i)
         if (prints[i] ^ prints[j]).bit_count() <= 3
+        and min(len(lines[i]), len(lines[j])) >= 0.8 * max(len(lines[i]), len(lines[j]))  # else surely apart
         and 1 - levenshtein(lines[i], lines[j]) / max(len(lines[i]), len(lines[j])) >= 0.8 - 1e-12
     ]
     root = dict(zip(lines, roots(len(lines), near)))

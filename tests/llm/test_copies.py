@@ -166,7 +166,7 @@ def test_repeated_passages_nothing(nothing):
 def line_rows():
     rng, rows = random.Random(8), [r for k, r in enumerate(EDGES) if r[0] not in (5, 7) or EDGES[k - 1][0] != r[0]]
     rows = [r for r in rows if r[0] is not None] + [(None, "A line of six words here.\nshort")]
-    long = prose(61, 90, 3000)
+    long = [w.translate(str.maketrans("0123456789", "abcdefghij")) for w in prose(61, 90, 3000)]
     for k in range(25):
         words = list(long)
         words[rng.randrange(90)] = "edit"
