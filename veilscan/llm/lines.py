@@ -4,7 +4,7 @@ Lines of at least ``MIN_WORDS`` words take part, normalised: lower case, digits
 ASCII signs as one space. Equal normalised lines are one line from then on (128-bit XXH3).
 Two lines are linked when their SimHashes over words and word pairs differ in at most ``BITS``
 bits and their normalised texts are similar: 1 - edit distance / longer length >= ``SIMILAR``.
-Of each connected group the first occurrence by (doc_id, line number) stays; all others are
+Of each connected group the first occurrence by (doc_id, text hash, line number) stays; all others are
 removed from their documents.
 
 Candidates meet on pigeonhole blocks: with at most three differing bits one of four 16-bit blocks
@@ -14,8 +14,9 @@ several tasks, each of which compares two slices of it; inside a task pairs that
 connected are neither compared nor returned.
 
 Defined results: null text stays null, empty text stays empty; white space, short lines and the
-order of lines are kept; null ids come last in the order, and rows that share an id (or have
-none) count as one document, line by line; extra columns are kept; an empty table gives an empty
+order of lines are kept; null ids come last in the order; rows that share an id (or have none)
+are told apart by a hash of their text, which also orders them; of rows with equal id and text one
+counts as first, and every line that takes part goes from the others; extra columns are kept; an empty table gives an empty
 result.
 """
 
@@ -24,10 +25,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veilscan.llm.links import Forest, close, components, gray_rank
 from veilscan.llm.tables import table, written
@@ -96,27 +99,34 @@ def simhashes(lines: list[str]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def row_hash() -> Column:
+    """Tells apart rows that share an id."""
+    return F.xxhash64("text")
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """line binary(16), print long, doc_id long (null as the largest), nth int: lines that take part."""
+    """line binary(16), print long, doc long (null as the largest), row long (hash of the text), nth int:
+    lines that take part."""
 
     def run(batches):
         for batch in batches:
-            ids, kept = batch.column(0).to_pylist(), []
-            for doc, text in zip(ids, batch.column(1).to_pylist()):
+            kept = []
+            for doc, text, row in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 for nth, line in enumerate(normalised(text or "").split("\n")):
                     if takes_part(line):
-                        kept.append((line, LAST if doc is None else doc, nth))
+                        kept.append((line, LAST if doc is None else doc, row, nth))
             for at in range(0, len(kept), 5000):
                 part = kept[at : at + 5000]
                 lines = [k[0] for k in part]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([xxhash.xxh3_128_digest(x.encode()) for x in lines], pa.binary()),
                     pa.array(simhashes(lines).view(np.int64)),
-                    pa.array([k[1] for k in part], pa.int64()), pa.array([k[2] for k in part], pa.int32()),
-                ], ["line", "print", "doc", "nth"])
+                    pa.array([k[1] for k in part], pa.int64()), pa.array([k[2] for k in part], pa.int64()),
+                    pa.array([k[3] for k in part], pa.int32()),
+                ], ["line", "print", "doc", "row", "nth"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(run, "line binary, print long, doc long, nth int")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash().alias("row"))
+    return slim.mapInArrow(run, "line binary, print long, doc long, row long, nth int")
 
 
 def block_key(print_: Column, block: int) -> Column:
@@ -329,11 +339,11 @@ def texts_of(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame, bits: int = BITS, least: float = SIMILAR) -> DataFrame:
-    """doc (null id as the largest), gone array<int>: numbers of the lines that go."""
+    """doc (null id as the largest), row (hash of the text), gone array<int>: numbers of the lines that go."""
     all_ = written(occurrences(docs), "lines")
     distinct = all_.groupBy("line", "print").agg(
-        F.min(F.struct("doc", "nth")).alias("at"), F.count(F.lit(1)).alias("n"))
-    distinct = written(distinct.select("line", "print", "at.doc", "at.nth", "n"), "distinct-lines")
+        F.min(F.struct("doc", "row", "nth")).alias("at"), F.count(F.lit(1)).alias("n"))
+    distinct = written(distinct.select("line", "print", "at.doc", "at.row", "at.nth", "n"), "distinct-lines")
     per_print = distinct.groupBy("print").agg(F.count(F.lit(1)).alias("n"))
     near = with_partner(per_print, bits).union(per_print.where("n > 1").select("print")).distinct()
     near = written(distinct.join(near, "print", "left_semi"), "near-lines")
@@ -343,11 +353,11 @@ def removals(docs: DataFrame, bits: int = BITS, least: float = SIMILAR) -> DataF
     # Lines that occur once and are linked to none are no longer looked at.
     some = distinct.join(groups, "line", "left").where("n > 1 or component is not null")
     some = written(some.withColumn("component", F.coalesce("component", "line")), "grouped-lines")
-    first = some.groupBy("component").agg(F.min(F.struct("doc", "nth")).alias("first"))
+    first = some.groupBy("component").agg(F.min(F.struct("doc", "row", "nth")).alias("first"))
     first = written(first, "first-of-group")  # the join then sees plain exchanges, whose hot keys are split
     some = written(some.join(first, "component").select("line", "first"), "first-lines")
-    gone = all_.select("line", "doc", "nth").join(some, "line").where(F.struct("doc", "nth") != F.col("first"))
-    return gone.groupBy("doc").agg(F.collect_set("nth").alias("gone"))
+    gone = all_.select("line", "doc", "row", "nth").join(some, "line").where(F.struct("doc", "row", "nth") != F.col("first"))
+    return gone.groupBy("doc", "row").agg(F.collect_set("nth").alias("gone"))
 
 
 def without(text: Column, gone: Column) -> Column:
@@ -357,12 +367,31 @@ def without(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull() | text.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
+def all_taking_part(text: Column) -> Column:
+    """Numbers of the lines of a text that take part, null where there are none."""
+
+    @F.pandas_udf("array<int>")
+    def numbers(texts: pd.Series) -> pd.Series:
+        found = [[k for k, x in enumerate(normalised(t).split("\n")) if takes_part(x)] if t else [] for t in texts]
+        return pd.Series([f or None for f in found])
+
+    return numbers(text)
+
+
 def cleaned(docs: DataFrame, bits: int = BITS, least: float = SIMILAR) -> DataFrame:
     """``docs`` with the removed lines cut out of ``text``, and ``_gone`` (their numbers or null)."""
-    gone = written(removals(docs, bits, least), "gone-lines").withColumnRenamed("doc", "_doc")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    gone = written(removals(docs, bits, least), "gone-lines").select(
+        F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_hash", row_hash())
+    copy = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy("_hash"))
+    keyed = keyed.withColumn("_copy", copy)
     # The removals grow with the corpus: never broadcast, the same plan at every size.
-    found = docs.join(gone.hint("merge"), key == F.col("_doc"), "left").withColumnRenamed("gone", "_gone")
+    on = (F.col("_key") == F.col("_doc")) & (F.col("_hash") == F.col("_row"))
+    found = keyed.join(gone.hint("merge"), on, "left").drop("_doc", "_row")
+    again = F.col("_copy") > 1
+    # Python sees the text of further copies only; of the others it gets null.
+    found = found.withColumn("_all", all_taking_part(F.when(again, F.col("text"))))
+    found = found.withColumn("_gone", F.when(again, F.col("_all")).otherwise(F.col("_gone")))
     return found.withColumn("text", without(F.col("text"), F.col("_gone"))).select(*docs.columns, "_gone")
 
 
