@@ -23,3 +23,9 @@ def test_rows_with_equal_id_and_text_keep_one(docs_of):
     rows = [(5, "one line of five words\n\nand another line of words")] * 3 + [(None, "a row without id of words")] * 2
     got = texts(lines.deduplicated(docs_of(rows)))
     assert got == {rows[0][1]: 1, rows[3][1]: 1, "": 3}
+
+
+def test_other_numbers_are_other_lines(docs_of):
+    kept = ["12 34 56 78 90", "98 71 65 43 21", "on 11 12 1987 it cost 4305 and 17 more", "on 25 06 2013 it cost 9981 and 62 more"]
+    rows = [(k, x) for k, x in enumerate(kept)] + [(9, "Page 7 of a very long book of lines"), (10, "Page 12 of a very long book of lines")]
+    assert texts(lines.deduplicated(docs_of(rows))) == Counter([*kept, rows[4][1], ""])

@@ -1,9 +1,10 @@
 """Fuzzy line deduplication.
 
-Lines of at least ``MIN_WORDS`` words take part, normalised: lower case, digits alike, runs of
+Lines of at least ``MIN_WORDS`` words take part, normalised: lower case, runs of
 ASCII signs as one space. Equal normalised lines are one line from then on (128-bit XXH3).
 Two lines are linked when their SimHashes over words and word pairs differ in at most ``BITS``
 bits and their normalised texts are similar: 1 - edit distance / longer length >= ``SIMILAR``.
+Numbers are alike in SimHashes, which only propose, of lines with few digits; they differ in the texts compared.
 Of each connected group the first occurrence by (doc_id, text hash, line number) stays; all others are
 removed from their documents.
 
@@ -22,6 +23,7 @@ result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -48,8 +50,10 @@ SMALL_BLOCK = 256
 TABLE_BITS = 24
 LAST = (1 << 63) - 1
 
-#: ASCII signs as spaces, digits alike; line ends stay.
-PLAIN = bytes(10 if c == 10 else 48 if 48 <= c < 58 else c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
+#: ASCII signs as spaces; line ends stay.
+PLAIN = bytes(c if c == 10 or c > 127 or chr(c).isalnum() else 32 for c in range(256))
+DIGITS = b"0123456789"
+NUMBER = re.compile(rb"[0-9]+")
 
 
 def normalised(text: str) -> str:
@@ -85,10 +89,18 @@ def bit_counts(h: np.ndarray, keep: np.ndarray, first: np.ndarray) -> np.ndarray
     return row_sums(parts.view(np.uint8).reshape(-1, 64).astype(np.int64), np.searchsorted(cuts, first))
 
 
+def numbers_alike(line: str) -> bytes:
+    """The line with one digit for every number, if at most a third of it is digits: tables of numbers
+    would else all be candidates of each other."""
+    plain = line.encode("utf-8", "surrogatepass")
+    digits = len(plain) - len(plain.translate(None, DIGITS))
+    return NUMBER.sub(b"0", plain) if 0 < 3 * digits <= len(plain) else plain
+
+
 def simhashes(lines: list[str]) -> np.ndarray:
-    """SimHash of each line over its words and pairs of neighbours."""
+    """SimHash of each line over its words and pairs of neighbours, numbers alike."""
     out = []
-    for _, _, data, offsets in pieces(pa.array(lines, pa.string()), 1 << 19):
+    for _, _, data, offsets in pieces(pa.array([numbers_alike(x) for x in lines], pa.binary()), 1 << 19):
         words = Words(data, offsets)
         one = words.hashes()
         two, good = words.grams(one, 2)
