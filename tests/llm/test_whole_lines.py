@@ -29,3 +29,10 @@ def test_other_numbers_are_other_lines(docs_of):
     kept = ["12 34 56 78 90", "98 71 65 43 21", "on 11 12 1987 it cost 4305 and 17 more", "on 25 06 2013 it cost 9981 and 62 more"]
     rows = [(k, x) for k, x in enumerate(kept)] + [(9, "Page 7 of a very long book of lines"), (10, "Page 12 of a very long book of lines")]
     assert texts(lines.deduplicated(docs_of(rows))) == Counter([*kept, rows[4][1], ""])
+
+
+def test_short_lines_go_where_equal(docs_of):
+    long = "这是一个没有空格的很长的句子它在两份文件里都出现过一次"
+    rows = [(1, f"Menu\n\nC++\n-----\n{long}"), (2, f"C#\n  Menu\n\n=====\nChapter 1\n{long}"), (3, "Chapter 2\n-----\n \nC++\nmenu")]
+    got = {r.doc_id: r.text for r in lines.deduplicated(docs_of(rows)).collect()}
+    assert got == {1: rows[0][1], 2: "C#\n\n=====\nChapter 1", 3: "Chapter 2\n \nmenu"}

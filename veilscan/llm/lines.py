@@ -1,8 +1,9 @@
 """Fuzzy line deduplication.
 
-Lines of at least ``MIN_WORDS`` words take part, normalised: lower case, runs of
-ASCII signs as one space. Equal normalised lines are one line from then on (128-bit XXH3).
-Two lines are linked when their SimHashes over words and word pairs differ in at most ``BITS``
+All lines that are not blank take part, normalised: lower case, runs of ASCII signs as one space.
+Lines of fewer than ``MIN_CHARS`` characters, or that are mostly signs, only have their white space
+normalised. Equal normalised lines are one line from then on (128-bit XXH3).
+Two lines of at least ``MIN_CHARS`` characters are linked when their SimHashes over words and word pairs differ in at most ``BITS``
 bits and their normalised texts are similar: 1 - edit distance / longer length >= ``SIMILAR``.
 Numbers are alike in SimHashes, which only propose, of lines with few digits; they differ in the texts compared.
 Of each connected group the first occurrence by (doc_id, text hash, line number) stays; all others are
@@ -14,7 +15,7 @@ texts of these lines are fetched and verified. A block that holds many fingerpri
 several tasks, each of which compares two slices of it; inside a task pairs that are already
 connected are neither compared nor returned.
 
-Defined results: null text stays null, empty text stays empty; white space, short lines and the
+Defined results: null text stays null, empty text stays empty; white space, blank lines and the
 order of lines are kept; null ids come last in the order; rows that share an id (or have none)
 are told apart by a hash of their text, which also orders them; of rows with equal id and text one
 counts as first, and every line that takes part goes from the others; extra columns are kept; an empty table gives an empty
@@ -41,7 +42,8 @@ from veilscan.session import ship_by_value
 
 ship_by_value(__name__)
 
-MIN_WORDS = 5
+#: Shorter lines are only removed where they are equal.
+MIN_CHARS = 20
 BITS = 3
 SIMILAR = 0.8
 SLICE = 20_000
@@ -59,11 +61,20 @@ NUMBER = re.compile(rb"[0-9]+")
 def normalised(text: str) -> str:
     """The normalised lines of a text, joined as they were."""
     plain = text.lower().encode("utf-8", "surrogatepass").translate(PLAIN)
-    return b"\n".join([b" ".join(line.split()) for line in plain.split(b"\n")]).decode("utf-8", "surrogatepass")
+    plain = b"\n".join([b" ".join(line.split()) for line in plain.split(b"\n")]).decode("utf-8", "surrogatepass")
+    return "\n".join([
+        x if len(x) >= MIN_CHARS and 5 * len(x) >= 4 * len(line) else form(x, line)
+        for x, line in zip(plain.split("\n"), text.split("\n"))])
+
+
+def form(plain: str, line: str) -> str:
+    """``plain``, or the line itself with single spaces where that is short or lacks a fifth of it."""
+    line = " ".join(line.split())
+    return plain if len(plain) >= MIN_CHARS and 5 * len(plain) >= 4 * len(line) else line
 
 
 def takes_part(line: str) -> bool:
-    return line.count(" ") + 1 >= MIN_WORDS
+    return line != ""
 
 
 #: For each byte a word of eight counters that holds its bits.
@@ -98,7 +109,8 @@ def numbers_alike(line: str) -> bytes:
 
 
 def simhashes(lines: list[str]) -> np.ndarray:
-    """SimHash of each line over its words and pairs of neighbours, numbers alike."""
+    """SimHash of each line over its words and pairs of neighbours, numbers alike; of a short line a hash
+    of the whole, which is near to itself only."""
     out = []
     for _, _, data, offsets in pieces(pa.array([numbers_alike(x) for x in lines], pa.binary()), 1 << 19):
         words = Words(data, offsets)
@@ -108,7 +120,11 @@ def simhashes(lines: list[str]) -> np.ndarray:
         size = np.diff(words.first)
         size = size + np.maximum(size - 1, 0)
         out.append(np.packbits(2 * set_ > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel())
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    prints = np.concatenate(out) if out else np.zeros(0, np.uint64)
+    for k, line in enumerate(lines):
+        if len(line) < MIN_CHARS:
+            prints[k] = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+    return prints
 
 
 def row_hash() -> Column:
@@ -117,8 +133,8 @@ def row_hash() -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """line binary(16), print long, doc long (null as the largest), row long (hash of the text), nth int:
-    lines that take part."""
+    """line binary(16), print long (null of short lines), doc long (null as the largest), row long (hash of
+    the text), nth int: lines that take part."""
 
     def run(batches):
         for batch in batches:
@@ -132,7 +148,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 lines = [k[0] for k in part]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([xxhash.xxh3_128_digest(x.encode()) for x in lines], pa.binary()),
-                    pa.array(simhashes(lines).view(np.int64)),
+                    pa.array(simhashes(lines).view(np.int64), mask=np.array([len(x) < MIN_CHARS for x in lines])),
                     pa.array([k[1] for k in part], pa.int64()), pa.array([k[2] for k in part], pa.int64()),
                     pa.array([k[3] for k in part], pa.int32()),
                 ], ["line", "print", "doc", "row", "nth"])
@@ -356,7 +372,7 @@ def removals(docs: DataFrame, bits: int = BITS, least: float = SIMILAR) -> DataF
     distinct = all_.groupBy("line", "print").agg(
         F.min(F.struct("doc", "row", "nth")).alias("at"), F.count(F.lit(1)).alias("n"))
     distinct = written(distinct.select("line", "print", "at.doc", "at.row", "at.nth", "n"), "distinct-lines")
-    per_print = distinct.groupBy("print").agg(F.count(F.lit(1)).alias("n"))
+    per_print = distinct.where("print is not null").groupBy("print").agg(F.count(F.lit(1)).alias("n"))
     near = with_partner(per_print, bits).union(per_print.where("n > 1").select("print")).distinct()
     near = written(distinct.join(near, "print", "left_semi"), "near-lines")
     texts = written(texts_of(near, docs), "near-texts")
