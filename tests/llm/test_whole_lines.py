@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
+from conftest import prose
+
 from veilscan.llm import lines
 
 
@@ -36,3 +39,19 @@ def test_short_lines_go_where_equal(docs_of):
     rows = [(1, f"Menu\n\nC++\n-----\n{long}"), (2, f"C#\n  Menu\n\n=====\nChapter 1\n{long}"), (3, "Chapter 2\n-----\n \nC++\nmenu")]
     got = {r.doc_id: r.text for r in lines.deduplicated(docs_of(rows)).collect()}
     assert got == {1: rows[0][1], 2: "C#\n\n=====\nChapter 1", 3: "Chapter 2\n \nmenu"}
+
+
+def test_one_word_edits_are_found(docs_of):
+    """Recall against edit similarity alone, of lines in which one word is another."""
+    rng, rows = random.Random(4), []
+    for n in (8, 12, 20, 40, 60):
+        for k in range(40):
+            words = [w.translate(str.maketrans("0123456789", "abcdefghij")) for w in prose(1000 * n + k, n, 90000)]
+            other = list(words)
+            other[rng.randrange(n)] = "edited"
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    pairs = list(zip(rows[::2], rows[1::2]))
+    assert all(lines.similar(a[1], b[1], 0.8) for a, b in pairs)
+    gone = {r.doc_id for r in lines.cleaned(docs_of(rows)).where("_gone is not null").collect()}
+    assert gone <= {b[0] for _, b in pairs}
+    assert len(gone) >= 0.97 * len(pairs)

@@ -3,15 +3,19 @@
 All lines that are not blank take part, normalised: lower case, runs of ASCII signs as one space.
 Lines of fewer than ``MIN_CHARS`` characters, or that are mostly signs, only have their white space
 normalised. Equal normalised lines are one line from then on (128-bit XXH3).
-Two lines of at least ``MIN_CHARS`` characters are linked when their SimHashes over words and word pairs differ in at most ``BITS``
-bits and their normalised texts are similar: 1 - edit distance / longer length >= ``SIMILAR``.
-Numbers are alike in SimHashes, which only propose, of lines with few digits; they differ in the texts compared.
+Two lines of at least ``MIN_CHARS`` characters are linked when they are candidates and similar:
+1 - edit distance / longer length >= ``SIMILAR``, numbers and all.
 Of each connected group the first occurrence by (doc_id, text hash, line number) stays; all others are
 removed from their documents.
 
-Candidates meet on pigeonhole blocks: with at most three differing bits one of four 16-bit blocks
-is equal. A first round moves only fingerprints and finds those that have a partner; only the
-texts of these lines are fetched and verified. A block that holds many fingerprints is dealt over
+Candidates come in two ways. Lines that share many words (a character is a word where the script has
+no spaces) meet in one of ``BANDS`` MinHash bands of ``ROWS`` values each; of these, pairs stay whose
+sketches of 64 one-bit MinHashes differ in at most ``SKETCH_BITS``. Lines whose SimHashes over words
+differ in at most ``BITS`` bits meet on pigeonhole blocks: with at most three differing bits
+one of four 16-bit blocks is equal. In SimHashes numbers are alike if the line has few digits.
+
+A first round moves only fingerprints and finds those that have a partner; only the
+texts of these lines are fetched and verified. A block or band that holds many fingerprints is dealt over
 several tasks, each of which compares two slices of it; inside a task pairs that are already
 connected are neither compared nor returned.
 
@@ -37,7 +41,7 @@ from pyspark.sql.window import Window
 
 from veilscan.llm.links import Forest, close, components, gray_rank
 from veilscan.llm.tables import table, written
-from veilscan.llm.words import Words, pieces, row_sums
+from veilscan.llm.words import Words, mix, pieces, row_sums
 from veilscan.session import ship_by_value
 
 ship_by_value(__name__)
@@ -45,6 +49,9 @@ ship_by_value(__name__)
 #: Shorter lines are only removed where they are equal.
 MIN_CHARS = 20
 BITS = 3
+BANDS = 10
+ROWS = 3
+SKETCH_BITS = 19
 SIMILAR = 0.8
 SLICE = 20_000
 SMALL_BLOCK = 256
@@ -109,16 +116,14 @@ def numbers_alike(line: str) -> bytes:
 
 
 def simhashes(lines: list[str]) -> np.ndarray:
-    """SimHash of each line over its words and pairs of neighbours, numbers alike; of a short line a hash
+    """SimHash of each line over its words (pairs would move more bits), numbers alike; of a short line a hash
     of the whole, which is near to itself only."""
     out = []
     for _, _, data, offsets in pieces(pa.array([numbers_alike(x) for x in lines], pa.binary()), 1 << 19):
         words = Words(data, offsets)
         one = words.hashes()
-        two, good = words.grams(one, 2)
-        set_ = bit_counts(one, np.ones(len(one), bool), words.first) + bit_counts(two, good, words.first)
+        set_ = bit_counts(one, np.ones(len(one), bool), words.first)
         size = np.diff(words.first)
-        size = size + np.maximum(size - 1, 0)
         out.append(np.packbits(2 * set_ > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel())
     prints = np.concatenate(out) if out else np.zeros(0, np.uint64)
     for k, line in enumerate(lines):
@@ -127,14 +132,40 @@ def simhashes(lines: list[str]) -> np.ndarray:
     return prints
 
 
+#: Scripts without spaces: Thai, Lao, Burmese, Khmer, Chinese, Japanese.
+SPACELESS = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+ODD = np.random.default_rng(1).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+
+
+def minhashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(sketch of 64 bits, ``BANDS`` keys of 32 bits) of each line, over its set of words."""
+    plain = [(x if x.isascii() else SPACELESS.sub(r" \1 ", x)).encode("utf-8", "surrogatepass") for x in lines]
+    sketches, keys = [np.zeros(0, np.uint64)], [np.zeros((0, BANDS), np.int32)]
+    for first, end, data, offsets in pieces(pa.array(plain, pa.binary()), 1 << 19):
+        words = Words(data, offsets)
+        h = words.hashes()
+        h ^= h >> np.uint64(29)
+        sketch, key = np.zeros(end - first, np.uint64), np.zeros((end - first, BANDS), np.uint64)
+        for k in range(64):
+            v = h * ODD[k]
+            v ^= v >> np.uint64(32)
+            least = np.minimum.reduceat(v, words.first[:-1])  # a line that takes part has a word
+            sketch |= (least & np.uint64(1)) << np.uint64(k)
+            if k < BANDS * ROWS:
+                key[:, k // ROWS] = key[:, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + least
+        sketches.append(sketch)
+        keys.append(mix(key).astype(np.uint32).view(np.int32))
+    return np.concatenate(sketches), np.concatenate(keys)
+
+
 def row_hash() -> Column:
     """Tells apart rows that share an id."""
     return F.xxhash64("text")
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """line binary(16), print long (null of short lines), doc long (null as the largest), row long (hash of
-    the text), nth int: lines that take part."""
+    """line binary(16), print long, sketch long, keys array<int> (all null of short lines), doc long (null as
+    the largest), row long (hash of the text), nth int: lines that take part."""
 
     def run(batches):
         for batch in batches:
@@ -146,31 +177,53 @@ def occurrences(docs: DataFrame) -> DataFrame:
             for at in range(0, len(kept), 5000):
                 part = kept[at : at + 5000]
                 lines = [k[0] for k in part]
+                short = np.array([len(x) < MIN_CHARS for x in lines])
+                sketch, keys = np.zeros(len(lines), np.uint64), np.zeros(len(lines) + 1, np.int32)
+                sketch[~short], values = minhashes([x for x in lines if len(x) >= MIN_CHARS])
+                np.cumsum(BANDS * ~short, out=keys[1:])
                 yield pa.RecordBatch.from_arrays([
                     pa.array([xxhash.xxh3_128_digest(x.encode()) for x in lines], pa.binary()),
-                    pa.array(simhashes(lines).view(np.int64), mask=np.array([len(x) < MIN_CHARS for x in lines])),
+                    pa.array(simhashes(lines).view(np.int64), mask=short), pa.array(sketch.view(np.int64), mask=short),
+                    pa.ListArray.from_arrays(pa.array(keys), pa.array(values.ravel()), mask=pa.array(short)),
                     pa.array([k[1] for k in part], pa.int64()), pa.array([k[2] for k in part], pa.int64()),
                     pa.array([k[3] for k in part], pa.int32()),
-                ], ["line", "print", "doc", "row", "nth"])
+                ], ["line", "print", "sketch", "keys", "doc", "row", "nth"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash().alias("row"))
-    return slim.mapInArrow(run, "line binary, print long, doc long, row long, nth int")
+    return slim.mapInArrow(run, "line binary, print long, sketch long, keys array<int>, doc long, row long, nth int")
 
 
 def block_key(print_: Column, block: int) -> Column:
     return F.shiftright(print_, 16 * block).bitwiseAND(0xFFFF) + F.lit(block << 16)
 
 
-def dealt(prints: DataFrame) -> DataFrame:
-    """Rows by pigeonhole block: key, part, own (slice of the row), and the columns of ``prints``.
+def by_print(lines: DataFrame) -> DataFrame:
+    """Adds the key of each pigeonhole block."""
+    return lines.withColumn("key", F.explode(F.array(*[block_key(F.col("print"), b).cast("long") for b in range(4)])))
+
+
+def by_sketch(lines: DataFrame) -> DataFrame:
+    """Adds the key of each band (negative), with the sketch as ``print``."""
+    others = [c for c in lines.columns if c not in ("print", "sketch", "keys")]
+    bands = lines.select(*others, F.col("sketch").alias("print"), F.posexplode("keys").alias("band", "key32"))
+    key = -1 - (F.shiftleft(F.col("band").cast("long"), 32) + F.col("key32").cast("long").bitwiseAND(0xFFFFFFFF))
+    return bands.select(*others, "print", key.alias("key"))
+
+
+def dealt(keyed: DataFrame) -> DataFrame:
+    """Rows by key: key, part, own (slice of the row), and the columns of ``keyed``.
 
-    Blocks above ``SLICE`` rows are cut into slices by a hash; a row then goes to every pair of
+    Keys above ``SLICE`` rows are cut into slices by a hash; a row then goes to every pair of
     slices that includes its own.
     """
-    keyed = prints.withColumn("key", F.explode(F.array(*[block_key(F.col("print"), b) for b in range(4)])))
-    sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    # Counted over hashes of keys first, which tasks combine; few of these can hold a large key.
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 16)).cast("int")
+    large = keyed.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SLICE)
+    large = written(large.select("place"), "large-places")  # at most 2^16 rows
+    sizes = keyed.select("key").join(F.broadcast(large), place == F.col("place"), "left_semi").groupBy("key").agg(
+        F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
     sizes = written(sizes.where("slices > 1"), "large-blocks")  # few: each stands for SLICE rows
-    keyed = keyed.join(sizes, "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    keyed = keyed.join(F.broadcast(sizes), "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     own = F.pmod(F.xxhash64("print"), F.col("slices")).cast("int")
     keyed = keyed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     part = F.least("own", "other") * F.col("slices") + F.greatest("own", "other")
@@ -228,8 +281,8 @@ def slabs(batches, rows: int = 1 << 18):
         yield np.concatenate(held, axis=1)
 
 
-def with_partner(prints: DataFrame, bits: int) -> DataFrame:
-    """Distinct prints within ``bits`` of another one."""
+def with_partner(keyed: DataFrame, bits: int) -> DataFrame:
+    """sketched, print: distinct prints within ``bits`` of another one, or sketches within ``SKETCH_BITS``."""
 
     def run(batches):
         for slab in slabs(batches):
@@ -247,7 +300,7 @@ def with_partner(prints: DataFrame, bits: int) -> DataFrame:
             while len(at):
                 at = at[at + step < n]
                 at = at[group[at] == group[at + step]]
-                near = at[np.bitwise_count(values[at] ^ values[at + step]) <= bits]
+                near = at[np.bitwise_count(values[at] ^ values[at + step]) <= np.where(slab[0, at] < 0, SKETCH_BITS, bits)]
                 hit[near] = hit[near + step] = True
                 step += 1
             for g in np.flatnonzero(~small):
@@ -257,11 +310,14 @@ def with_partner(prints: DataFrame, bits: int) -> DataFrame:
                 def found(i, j):
                     hit[order[i]] = hit[order[j]] = True
 
-                close(values[order], None, bits, found, lambda i, j: hit[order[i]] & hit[order[j]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(values[hit]).view(np.int64))], ["print"])
+                most = SKETCH_BITS if slab[0, s] < 0 else bits
+                close(values[order], None, most, found, lambda i, j: hit[order[i]] & hit[order[j]])
+            for sketched in (False, True):
+                near = np.unique(values[hit & ((slab[0] < 0) == sketched)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), sketched)), pa.array(near)], ["sketched", "print"])
 
-    rows = sliced(dealt(prints.select("print"))).select("key", "part", "print")
-    return rows.mapInArrow(run, "print long").distinct()
+    rows = sliced(dealt(keyed.select("key", "print"))).select("key", "part", "print")
+    return rows.mapInArrow(run, "sketched boolean, print long").distinct()
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -302,7 +358,7 @@ def similar(a: str, b: str, least: float) -> bool:
 
 
 def verified(rows: DataFrame, bits: int, least: float) -> DataFrame:
-    """Edges (a, b) of a forest of the linked lines of ``rows(print, line, norm)``."""
+    """Edges (a, b) of a forest of the linked lines of ``rows(key, print, line, norm)``."""
 
     def run(batches):
         for (key, part), parts in by_block(batches, 6):
@@ -318,7 +374,7 @@ def verified(rows: DataFrame, bits: int, least: float) -> DataFrame:
             def found(i, j):
                 # Slices meet in many parts: pairs of one slice only count where it meets itself.
                 slices = len(np.unique(own)) > 1
-                keep = first_shared_block(values[i], values[j], int(key) >> 16)
+                keep = first_shared_block(values[i], values[j], int(key) >> 16) if key >= 0 else np.ones(len(i), bool)
                 if slices:
                     keep &= own[i] != own[j]
                 for x, y in zip(i[keep].tolist(), j[keep].tolist()):
@@ -326,7 +382,7 @@ def verified(rows: DataFrame, bits: int, least: float) -> DataFrame:
                         far.append((x, y))
                         sets.unite(np.array([x]), np.array([y]))
 
-            close(values, None, bits, found, lambda i, j: sets.of[i] == sets.of[j])
+            close(values, None, bits if key >= 0 else SKETCH_BITS, found, lambda i, j: sets.of[i] == sets.of[j])
             if far:
                 ends = [pa.array([lines[int(order[p[k]])].as_py() for p in far], pa.binary()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
@@ -336,7 +392,7 @@ def verified(rows: DataFrame, bits: int, least: float) -> DataFrame:
 
 
 def texts_of(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """print, line, norm of the distinct ``lines(line, print)``.
+    """The distinct ``lines``, with their text as ``norm``.
 
     The documents pass once more and yield the lines whose hash is marked in a bit table of fixed
     size; a join on the lines then drops those marked by chance.
@@ -362,21 +418,31 @@ def texts_of(lines: DataFrame, docs: DataFrame) -> DataFrame:
                                              ["line", "norm"])
 
     texts = docs.select("text").mapInArrow(run, "line binary, norm string")
-    return texts.join(lines.select("line", "print"), "line").groupBy("line", "print").agg(
-        F.first("norm").alias("norm")).select("print", "line", "norm")
+    texts = texts.join(lines.select("line"), "line").groupBy("line").agg(F.first("norm").alias("norm"))
+    return lines.join(texts, "line")
 
 
 def removals(docs: DataFrame, bits: int = BITS, least: float = SIMILAR) -> DataFrame:
     """doc (null id as the largest), row (hash of the text), gone array<int>: numbers of the lines that go."""
     all_ = written(occurrences(docs), "lines")
-    distinct = all_.groupBy("line", "print").agg(
-        F.min(F.struct("doc", "row", "nth")).alias("at"), F.count(F.lit(1)).alias("n"))
-    distinct = written(distinct.select("line", "print", "at.doc", "at.row", "at.nth", "n"), "distinct-lines")
-    per_print = distinct.where("print is not null").groupBy("print").agg(F.count(F.lit(1)).alias("n"))
-    near = with_partner(per_print, bits).union(per_print.where("n > 1").select("print")).distinct()
-    near = written(distinct.join(near, "print", "left_semi"), "near-lines")
+    distinct = all_.groupBy("line").agg(
+        F.min(F.struct("doc", "row", "nth")).alias("at"), F.count(F.lit(1)).alias("n"),
+        *[F.first(c).alias(c) for c in ("print", "sketch", "keys")])  # the same in every row of a line
+    distinct = written(distinct.select("line", "print", "sketch", "keys", "at.doc", "at.row", "at.nth", "n"), "distinct-lines")
+    long = distinct.where("print is not null").select("line", "print", "sketch", "keys")
+    per_print = long.groupBy("print").agg(F.count(F.lit(1)).alias("n"))
+    keyed = by_print(per_print.select("print")).select("key", "print").union(
+        by_sketch(long.select("sketch", "keys")).select("key", "print"))
+    near = written(with_partner(keyed, bits), "near-prints")
+    prints = near.where("not sketched").select("print").union(per_print.where("n > 1").select("print")).distinct()
+    sketches = near.where("sketched").select(F.col("print").alias("sketch"))
+    near = long.join(prints.withColumn("by_print", F.lit(True)), "print", "left").join(
+        sketches.withColumn("by_sketch", F.lit(True)), "sketch", "left").where("by_print or by_sketch")
+    near = written(near, "near-lines")
     texts = written(texts_of(near, docs), "near-texts")
-    groups = components(verified(texts, bits, least), "line-links")
+    columns = ["key", "print", "line", "norm"]
+    keyed = by_print(texts.where("by_print")).select(columns).union(by_sketch(texts.where("by_sketch")).select(columns))
+    groups = components(verified(keyed, bits, least), "line-links")
     groups = groups.select(F.col("id").alias("line"), "component")
     # Lines that occur once and are linked to none are no longer looked at.
     some = distinct.join(groups, "line", "left").where("n > 1 or component is not null")
