@@ -39,11 +39,16 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": "+"}
+TITLE = "(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)"
+#: A capitalised word, after initials if any.
+NAME = r"(?:\x20\p{Lu}\.){0,3}\x20\p{Lu}(?:['’]\p{Lu})?\p{L}++(?:['’-]\p{L}++)*+"
 LOOSE = "|".join((
-    r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+",
+    # Groups of four and what is left over; left over after a space it ends with a digit, unlike a word.
+    r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:(?:\x20?[A-Z0-9]{4}){3,7}(?:[A-Z0-9]{1,3}|\x20[A-Z0-9]{0,2}[0-9])?"
+    r"|(?:\x20?[A-Z0-9]{4}){2}\x20?[A-Z0-9]{0,2}[0-9])(?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+",
     r"(?<![0-9.+(-])\(?[0-9]{1,4}\)?(?:[\x20./-][0-9]{2,4}){2,3}(?![0-9])",
-    r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.?\x20\p{Lu}\p{L}++",
+    rf"(?<![A-Za-z]){TITLE}\.?{NAME}(?:{NAME}){{0,5}}",
 ))
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
@@ -102,7 +107,7 @@ def candidates(hits: DataFrame) -> DataFrame:
     shape = (
         F.when(F.col("kind") != "loose", F.col("kind"))
         .when(hit.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9\x20]+$"), "account")
-        .when(hit.rlike(r"\x20\p{Lu}\p{L}+$"), "name")
+        .when(hit.rlike(rf"^{TITLE}\.?\x20"), "name")
         .when(hit.rlike(r"^[0-9]{1,4}[-/.][0-9]{2}[-/.][0-9]{2,4}$"), "date")
         .when(hit.rlike("[A-Za-z]"), "secret")
         .otherwise("digits")
