@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from veilscan.llm import (
-    decontam, exact, langid, lines, mixing, pii, quality, simhash, substrings, templates,
+    decontam, exact, langid, lines, mixing, pii, quality, resampling, simhash, substrings, templates,
 )
 
 QUERIES = {
@@ -17,9 +17,11 @@ QUERIES = {
     "op8_substrings": substrings.query,
     "op9_html": templates.query,
     "op10_lines": lines.query,
+    "op11_resampling": resampling.query,
 }
 
 SQL = {
     "op3_exact_dedup": exact.SQL,
     "op4_mixing": mixing.SQL,
+    "op11_resampling": resampling.SQL,
 }
