@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from veilscan.llm import (
-    decontam, exact, langid, lines, mixing, pii, quality, resampling, simhash, substrings, templates,
+    decontam, exact, langid, lines, mixing, pii, quality, repair, resampling, simhash, substrings, templates,
+    topk,
 )
 
 QUERIES = {
@@ -18,10 +19,14 @@ QUERIES = {
     "op9_html": templates.query,
     "op10_lines": lines.query,
     "op11_resampling": resampling.query,
+    "op12_topk": topk.query,
+    "op13_repair": repair.query,
 }
 
 SQL = {
     "op3_exact_dedup": exact.SQL,
     "op4_mixing": mixing.SQL,
     "op11_resampling": resampling.SQL,
+    "op12_topk": topk.SQL,
+    "op13_repair": repair.SQL,
 }
