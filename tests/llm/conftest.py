@@ -8,6 +8,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+LOWER_AZ = {c: c + 32 for c in range(65, 91)}
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
