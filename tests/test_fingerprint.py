@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import model
 from veilscan.functions import text as tx
 from veilscan.operators import fingerprint as fp
+from veilscan.operators import set_overlap as so
 
 PROSE = (
     "our northern depot moved nine hundred pallets last quarter while the southern depot stayed closed for repairs "
@@ -46,7 +47,7 @@ def corpus_of(spark, *texts):
     return fp.register(df)
 
 
-def test_both_paths_find_all_pairs_with_hot_copies_and_hot_text(spark):
+def test_all_pairs_are_found_with_hot_copies_and_hot_text(spark):
     """A third of the documents are one text and every registered text shares a common part."""
     rng = random.Random(9)
     vocabulary = [f"w{n}" for n in range(60)]
@@ -71,7 +72,8 @@ def test_both_paths_find_all_pairs_with_hot_copies_and_hot_text(spark):
                 expected.add((n, m, len(q & d), round(min(1.0, ratio(q, d)), 12)))
     assert len(expected) > 200
     assert pairs() == expected
-    assert pairs(broadcast_rows=0) == expected
+    for hot_pairs in (0, 1, 50):
+        assert pairs(hot_pairs=hot_pairs) == expected
 
 
 def test_disabled_and_removed_documents_do_not_match(spark):
@@ -126,8 +128,8 @@ def test_corpus_matches_of_pages_equal_those_of_texts(spark):
     words = PROSE.split()
     registered, fingerprints = corpus_of(spark, PROSE, "unrelated words only in this one here and there")
     pages = spark.createDataFrame([(1, n + 1, w) for n, w in enumerate(words)] + [(2, 1, "nothing in common")], "job_id bigint, page int, text string")
-    for rows in (0, 10_000):
-        got = fp.corpus_matches(pages, registered, fingerprints, broadcast_rows=rows).collect()
+    for hot in (0, 10_000):
+        got = fp.corpus_matches(pages, registered, fingerprints, hot_pairs=hot).collect()
         assert [(r.job_id, r.document_id, r.ratio) for r in got] == [(1, 0, 1.0)]
 
 
@@ -139,4 +141,64 @@ def test_overlaps_hold_pairs_below_the_threshold(spark):
     registered, fingerprints = corpus_of(spark, *texts[:30])
     docs = spark.createDataFrame(list(enumerate(texts[30:])), "job_id bigint, text string")
     assert fp.overlaps(docs, fingerprints, registered).count() == 900
-    assert fp.corpus_matches(docs, registered, fingerprints, threshold=0.0, broadcast_rows=0).count() == 900
+    assert fp.corpus_matches(docs, registered, fingerprints, threshold=0.0, hot_pairs=0).count() == 900
+
+
+def random_sets(rng, n, common):
+    """Sets of which many are equal, and many share most of a common part."""
+    made = []
+    for k in range(n):
+        kind = k % 4
+        if kind == 0 and made:
+            made.append(set(rng.choice(made)))
+        elif kind == 1:
+            made.append(set(rng.sample(common, rng.randint(len(common) // 2, len(common)))) | set(rng.sample(range(900), rng.randint(0, 9))))
+        elif kind == 2:
+            made.append(set(common))
+        else:
+            made.append(set(rng.sample(range(300), rng.randint(1, 100))))
+    return made
+
+
+def test_overlaps_of_random_sets_at_many_thresholds(spark):
+    rng = random.Random(21)
+    common = list(range(5000, 5040))
+    left, right = random_sets(rng, 60, common), random_sets(rng, 60, common)
+    right.append(set(range(100)))
+    left.append(set(range(45, 300)))  # 55 of 100 shared
+    frames = [
+        spark.createDataFrame([(k, h) for k, s in enumerate(sets_) for h in sorted(s)], "id bigint, h bigint") for sets_ in (left, right)
+    ]
+    for threshold, hot in ((0.0, 30), (0.55, 30), (0.55, 10**9), (0.28, 0), (1.0, 100)):
+        found = so.overlaps(*frames, threshold, hot)
+        got = {(r.job_id, r.document_id, r.overlap, r.query_n, r.reference_n) for r in fp.members(found).collect()}
+        expected = {
+            (i, j, len(a & b), len(a), len(b)) for i, a in enumerate(left) for j, b in enumerate(right)
+            if a & b and max(len(a & b) / len(a), len(a & b) / len(b)) >= threshold
+        }
+        assert got == expected, threshold
+        assert found.pairs.count() < len(expected)
+
+
+def test_least_shared_is_the_comparison_itself(spark):
+    rows = spark.range(1, 1200).select(F.col("id").alias("n"))
+    for t in (0.05, 0.07, 0.1, 0.28, 0.29, 0.35, 0.55, 0.56, 0.57, 0.7, 0.99, 1.0):
+        for n, k in rows.select("n", so.least_shared(F.col("n"), t)).collect():
+            assert k / n >= t and (k == 1 or (k - 1) / n < t)
+
+
+def test_a_passage_of_all_documents_makes_no_pairs_of_its_own(spark):
+    """3,000 sets share 40 elements and have 300 of their own: the join makes no row a pair."""
+    left = spark.range(3000).select("id", F.explode(F.concat(
+        F.sequence(F.lit(-40), F.lit(-1)), F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.col("id") * 1000 + k))).alias("h"))
+    found = so.overlaps(left, left, 0.35)
+    assert found.pairs.count() == 3000
+    counted = found.pairs._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in counted and "BroadcastNestedLoopJoin" not in counted
+
+
+def test_copy_groups(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "job_id bigint, text string")
+    registered = spark.createDataFrame([(7, "a"), (8, "a"), (9, "c")], "document_id bigint, text string").select(
+        "document_id", tx.digest(F.col("text")).alias("exact_sha256"), F.lit(True).alias("enabled"))
+    assert [tuple(r)[1:] for r in fp.copy_groups(docs, registered).collect()] == [(1, 2, 7, 2)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from veilscan.catalog import derived as dv
@@ -15,7 +17,9 @@ from veilscan.operators import evidence as ev
 from veilscan.operators import fingerprint as fp
 from veilscan.operators import lifecycle as lc
 from veilscan.operators import policies as po
+from veilscan.operators.set_overlap import overlaps
 from veilscan.plans import inspect as pl
+from veilscan.session import persist_table
 from veilscan.sources.rules import shipped_rules
 
 RULES = shipped_rules()
@@ -118,21 +122,78 @@ OWN = """
 corpus AS (SELECT doc_id AS document_id, 'doc-' || doc_id AS name, 7 AS severity, 'hold' AS action, true AS enabled, text FROM documents WHERE doc_id % 3 = 0)"""
 
 
+THRESHOLDS = (0.05, 0.55, 1.0)
+
+
+@query(
+    "corpus_matches_threshold",
+    with_(*D) + " UNION ALL ".join(
+        f"SELECT job_id, document_id, {x}::DOUBLE AS threshold, overlap FROM found WHERE ratio >= {x}::DOUBLE" for x in THRESHOLDS),
+)
+def corpus_matches_threshold(t):
+    """Matches at several thresholds, each with its own whole-number bounds on what must be shared."""
+    c = dv.corpus(t)
+    prints = persist_table(fp.print_rows(single(t), "md5").withColumnRenamed("job_id", "id"), "prints")
+    corpus = persist_table(fp.enabled_corpus(c.fingerprints, c.registered).withColumnRenamed("document_id", "id"), "corpus")
+    return reduce(lambda a, b: a.unionByName(b), [
+        fp.members(overlaps(prints, corpus, x)).select("job_id", "document_id", F.lit(x).alias("threshold"), "overlap")
+        for x in THRESHOLDS
+    ])
+
+
+ALL_OWN = """
+corpus AS (SELECT doc_id AS document_id, 'doc-' || doc_id AS name, 7 AS severity, 'hold' AS action, true AS enabled, text FROM documents)"""
+
+
+def register_own(docs):
+    return fp.register(docs.select(
+        F.col("job_id").alias("document_id"), F.concat(F.lit("doc-"), F.col("job_id").cast("string")).alias("name"),
+        F.lit("o").alias("owner"), F.lit(7).alias("severity"), F.lit("hold").alias("action"), "text",
+    ))
+
+
+@query(
+    "corpus_match_classes",
+    with_(DOCS, fingerprint_ctes("d", "job_id", "d"),
+          """classes AS (SELECT min(job_id) AS class, count(*) AS members, list_sort(fps) AS fps FROM d_f WHERE len(fps) > 0 GROUP BY list_sort(fps)),
+prints AS (SELECT class, members, len(fps) AS n, unnest(fps) AS h FROM classes),
+pairs AS (SELECT a.class AS job_class, b.class AS document_class, any_value(a.members) AS jobs, any_value(b.members) AS documents, count(*) AS overlap,
+  least(1.0::DOUBLE, greatest(count(*)::DOUBLE / any_value(a.n), count(*)::DOUBLE / any_value(b.n))) AS ratio FROM prints a JOIN prints b USING (h) GROUP BY ALL)""")
+    + "SELECT job_class, document_class, jobs, documents, overlap, round(ratio, 9) AS ratio FROM pairs WHERE ratio >= 0.35::DOUBLE",
+)
+def corpus_match_classes(t):
+    """All documents registered and matched with each other, copies counted and not expanded."""
+    docs = single(t)
+    pairs, _, _ = fp.match_classes(docs, *register_own(docs))
+    return pairs.withColumn("ratio", F.round("ratio", 9))
+
+
+@query(
+    "copy_groups",
+    "SELECT sha256(text) AS exact_sha256, min(doc_id) AS first_job, count(*) AS jobs, min(doc_id) AS first_document, count(*) AS documents FROM documents GROUP BY 1",
+)
+def copy_groups(t):
+    """Exact copies among all documents, registered as they are, as one row per body."""
+    docs = dv.documents(t)
+    registered = docs.select(
+        F.col("job_id").alias("document_id"), tx.digest(F.col("text")).alias("exact_sha256"), F.lit(True).alias("enabled"))
+    return fp.copy_groups(docs, registered)
+
+
 @query(
     "corpus_matches_large",
     with_(DOCS, fingerprint_ctes("d", "job_id", "d"), OWN, fingerprint_ctes("corpus", "document_id", "c"), OVERLAP_CTES)
     + "SELECT job_id, document_id, document_name, severity, action, overlap, round(ratio, 9) AS ratio FROM matches",
 )
 def corpus_matches_large(t):
-    """A third of the documents registered and matched without any broadcast: rare-first
-    prefixes meet, candidates are verified on whole sets."""
+    """A third of the documents registered."""
     docs = single(t)
     own = docs.filter("job_id % 3 = 0").select(
         F.col("job_id").alias("document_id"), F.concat(F.lit("doc-"), F.col("job_id").cast("string")).alias("name"),
         F.lit("o").alias("owner"), F.lit(7).alias("severity"), F.lit("hold").alias("action"), "text",
     )
     registered, fingerprints = fp.register(own)
-    return fp.corpus_matches(docs, registered, fingerprints, broadcast_rows=0).withColumn("ratio", F.round("ratio", 9))
+    return fp.corpus_matches(docs, registered, fingerprints).withColumn("ratio", F.round("ratio", 9))
 
 
 @query(

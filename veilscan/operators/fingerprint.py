@@ -9,11 +9,10 @@ from pyspark.sql import Window as W
 from veilscan.constants import CONTAINMENT_THRESHOLD, SHINGLE_WORDS, WINNOW_WINDOW
 from veilscan.functions import text as tx
 from veilscan.functions.core import unnest
+from veilscan.operators.set_overlap import HOT_PAIRS, Overlaps
+from veilscan.operators.set_overlap import overlaps as set_overlaps
 from veilscan.session import persist_table
 
-# Corpus fingerprints up to which all sharing pairs are counted and then filtered.
-CORPUS_BROADCAST_ROWS = 1_000_000
-
 
 def document_text(pages: DataFrame) -> DataFrame:
     """Pages of a job joined by line feeds in page order: (job_id, text).
@@ -148,126 +147,75 @@ def containment(overlap: Column, query_size: Column, reference_size: Column) ->
 
 
 def enabled_corpus(fingerprints: DataFrame, registered: DataFrame) -> DataFrame:
-    """(document_id, h, reference_n) of the documents that take part."""
+    """(document_id, h) of the documents that take part."""
     return fingerprints.join(
-        registered.filter("enabled and shingle_count > 0").select("document_id", F.col("shingle_count").alias("reference_n")),
-        "document_id",
-    )
-
-
-def print_sets(docs: DataFrame, hashing: str) -> DataFrame:
-    """(job_id, fps, n) of ``docs(job_id, text)``, or ``docs(job_id, page, text)`` for many pages."""
-    if "page" not in docs.columns:
-        return fingerprint_sets(docs, hashing)
-    prints = paged_prints(docs, hashing=hashing)
-    return prints.groupBy("job_id").agg(F.collect_list("h").alias("fps"), F.count("*").alias("n"))
+        registered.filter("enabled and shingle_count > 0").select("document_id"), "document_id", "left_semi"
+    ).select("document_id", "h")
 
 
-def shared_prints(sets: DataFrame, corpus: DataFrame) -> DataFrame:
-    """All pairs that share a fingerprint, with their counts, from an inverted-index join."""
-    probed = unnest(sets, F.col("fps"), "h", ("job_id", F.col("n").alias("query_n"))).join(corpus, "h")
-    return probed.groupBy("job_id", "document_id").agg(
-        F.count("*").alias("overlap"), F.first("query_n").alias("query_n"), F.first("reference_n").alias("reference_n")
-    )
-
+def print_rows(docs: DataFrame, hashing: str) -> DataFrame:
+    """Distinct (job_id, h) of ``docs(job_id, text)``, or ``docs(job_id, page, text)`` for many pages."""
+    if "page" in docs.columns:
+        return paged_prints(docs, hashing=hashing)
+    return unnest(docs, tx.fingerprint(F.col("text"), hashing=hashing), "h", ("job_id",))
 
-def overlaps(docs: DataFrame, fingerprints: DataFrame, registered: DataFrame, hashing: str = "md5") -> DataFrame:
-    """Shared fingerprints of all pairs that share any, for a corpus of any size:
-    (job_id, document_id, overlap, query_n, reference_n).
 
-    The corpus is written once, so Spark knows its bytes and broadcasts it only below its limit;
-    counts are combined before the shuffle.
-    """
-    corpus = persist_table(enabled_corpus(fingerprints, registered), "corpus")
-    return shared_prints(print_sets(docs, hashing), corpus)
+def class_overlaps(
+    docs: DataFrame, fingerprints: DataFrame, registered: DataFrame, threshold: float = 0.0, hashing: str = "md5",
+    hot_pairs: int = HOT_PAIRS,
+) -> Overlaps:
+    """Overlaps of classes of equal fingerprint sets, texts on the left, registered documents on the right."""
+    prints = persist_table(print_rows(docs, hashing).select(F.col("job_id").alias("id"), "h"), "prints")
+    corpus = persist_table(enabled_corpus(fingerprints, registered).withColumnRenamed("document_id", "id"), "corpus")
+    return set_overlaps(prints, corpus, threshold, hot_pairs)
 
 
-def candidate_overlaps(sets: DataFrame, corpus: DataFrame, threshold: float) -> DataFrame:
-    """Exact overlaps of all pairs that can reach ``threshold``, for a corpus of any size.
-
-    A pair qualifies when it shares at least t*|Q| or at least t*|D| fingerprints. Order all
-    fingerprints by how many registered documents hold them, rarest first. A pair sharing
-    t*|D| then shares one of the first |D| - ceil(t*|D|) + 1 of D, and likewise for Q. So only
-    these prefixes are joined: fingerprints that half the corpus has in common fall out of
-    them and never meet, and no qualifying pair is lost. Candidates are then verified on
-    whole sets. Texts that are exact copies have one set and are matched once.
-    """
-    t = F.lit(threshold)
-
-    def prefix_length(size: Column) -> Column:
-        return size - F.ceil(t * size.cast("double")) + 1
-
-    # One representative per distinct set on either side.
-    q_keyed = sets.withColumn("set_key", F.sha2(F.to_json(F.array_sort("fps")), 256)).filter("n > 0")
-    q_sets = q_keyed.groupBy("set_key").agg(F.first("fps").alias("q_fps"), F.first("n").alias("query_n"))
-    d_sets = corpus.groupBy("document_id").agg(
-        F.collect_list("h").alias("d_fps"), F.first("reference_n").alias("reference_n")
+def members(found: Overlaps) -> DataFrame:
+    """All pairs of ids from those of classes: (job_id, document_id, overlap, query_n, reference_n)."""
+    return (
+        found.pairs
+        .join(found.left.select(F.col("id").alias("job_id"), F.col("class").alias("left")), "left")
+        .join(found.right.select(F.col("id").alias("document_id"), F.col("class").alias("right")), "right")
+        .select("job_id", "document_id", "overlap", F.col("left_n").alias("query_n"), F.col("right_n").alias("reference_n"))
     )
-    spread = corpus.groupBy("h").agg(F.count("*").alias("df"))
 
-    d_ranked = (
-        corpus.join(spread, "h")
-        .groupBy("document_id", "reference_n")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("ranked"))
-    )
-    d_prefix = d_ranked.select(
-        "document_id",
-        F.explode(F.slice("ranked", F.lit(1), prefix_length(F.col("reference_n")).cast("int"))).alias("r"),
-    ).select("document_id", F.col("r.h").alias("h"))
 
-    q_known = (
-        q_sets.select("set_key", "query_n", F.explode("q_fps").alias("h")).join(spread, "h")
-    )
-    # Fingerprints no registered document holds come first in the order and meet nothing.
-    q_prefix = (
-        q_known.groupBy("set_key", "query_n")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("ranked"))
-        .select(
-            "set_key",
-            (F.size("ranked") - F.ceil(t * F.col("query_n").cast("double")) + 1).cast("int").alias("take"),
-            "ranked",
-        )
-        .filter("take > 0")
-        .select("set_key", F.explode(F.slice("ranked", F.lit(1), F.col("take"))).alias("r"))
-        .select("set_key", F.col("r.h").alias("h"))
-    )
-    candidates = (
-        q_known.select("set_key", "h").join(d_prefix, "h").select("set_key", "document_id")
-        .union(q_prefix.join(corpus.select("h", "document_id"), "h").select("set_key", "document_id"))
-        .distinct()
-    )
-    verified = (
-        candidates.join(q_sets, "set_key").join(d_sets, "document_id")
-        .withColumn("overlap", F.size(F.array_intersect("q_fps", "d_fps")).cast("bigint"))
-        .select("set_key", "document_id", "overlap", "query_n", "reference_n")
-    )
-    return q_keyed.select("job_id", "set_key").join(verified, "set_key").drop("set_key")
+def overlaps(docs: DataFrame, fingerprints: DataFrame, registered: DataFrame, hashing: str = "md5") -> DataFrame:
+    """Shared fingerprints of all pairs that share any: (job_id, document_id, overlap, query_n, reference_n)."""
+    return members(class_overlaps(docs, fingerprints, registered, hashing=hashing))
 
 
 def corpus_matches(
     docs: DataFrame, registered: DataFrame, fingerprints: DataFrame,
-    threshold: float = CONTAINMENT_THRESHOLD, hashing: str = "md5", broadcast_rows: int = CORPUS_BROADCAST_ROWS,
+    threshold: float = CONTAINMENT_THRESHOLD, hashing: str = "md5", hot_pairs: int = HOT_PAIRS,
 ) -> DataFrame:
-    """Registered documents each text is contained in, or contains, at ``threshold`` or more.
-
-    Both ways to count give the same pairs: all pairs that share a fingerprint, filtered, where
-    the corpus is small or there is no threshold; else only pairs that can reach it.
-    """
-    corpus = persist_table(enabled_corpus(fingerprints, registered), "corpus")
-    sets = print_sets(docs, hashing)
-    # The count of a written table comes from its footers.
-    if threshold <= 0 or corpus.count() <= broadcast_rows:
-        found = shared_prints(sets, corpus)
-    else:
-        found = candidate_overlaps(persist_table(sets, "sets"), corpus, threshold)
-    found = found.withColumn("ratio", containment(F.col("overlap"), F.col("query_n"), F.col("reference_n"))).filter(
-        F.col("ratio") >= F.lit(threshold)
-    )
-    return found.join(
+    """Registered documents each text is contained in, or contains, at ``threshold`` or more."""
+    found = members(class_overlaps(docs, fingerprints, registered, threshold, hashing, hot_pairs))
+    found = found.withColumn("ratio", containment(F.col("overlap"), F.col("query_n"), F.col("reference_n")))
+    return found.filter(F.col("ratio") >= F.lit(threshold)).join(
         registered.select("document_id", F.col("name").alias("document_name"), "severity", "action"), "document_id"
     ).select("job_id", "document_id", "document_name", "severity", "action", "overlap", "ratio")
 
 
+def match_classes(
+    docs: DataFrame, registered: DataFrame, fingerprints: DataFrame, threshold: float = CONTAINMENT_THRESHOLD,
+    hashing: str = "md5",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Matches without their copies: (one row per pair of classes with the members on both sides counted,
+    the class of each text, the class of each registered document)."""
+    found = class_overlaps(docs, fingerprints, registered, threshold, hashing)
+    jobs = found.left.groupBy("class").agg(F.count("*").alias("jobs")).withColumnRenamed("class", "left")
+    documents = found.right.groupBy("class").agg(F.count("*").alias("documents")).withColumnRenamed("class", "right")
+    pairs = found.pairs.join(jobs, "left").join(documents, "right").select(
+        F.col("left").alias("job_class"), F.col("right").alias("document_class"), "jobs", "documents", "overlap",
+        containment(F.col("overlap"), F.col("left_n"), F.col("right_n")).alias("ratio"),
+    )
+    return (
+        pairs, found.left.select(F.col("id").alias("job_id"), F.col("class").alias("job_class")),
+        found.right.select(F.col("id").alias("document_id"), F.col("class").alias("document_class")),
+    )
+
+
 def exact_copies(docs: DataFrame, registered: DataFrame) -> DataFrame:
     """Documents whose body equals a registered one byte for byte."""
     return docs.select("job_id", tx.digest(F.col("text")).alias("exact_sha256")).join(
@@ -275,5 +223,15 @@ def exact_copies(docs: DataFrame, registered: DataFrame) -> DataFrame:
     )
 
 
+def copy_groups(docs: DataFrame, registered: DataFrame) -> DataFrame:
+    """Exact copies as groups: (exact_sha256, first_job, jobs, first_document, documents). Each side is
+    counted before they meet, so a body that many jobs and many documents have makes one row."""
+    jobs = docs.select("job_id", tx.digest(F.col("text")).alias("exact_sha256")).groupBy("exact_sha256").agg(
+        F.min("job_id").alias("first_job"), F.count("*").alias("jobs"))
+    documents = registered.filter("enabled").groupBy("exact_sha256").agg(
+        F.min("document_id").alias("first_document"), F.count("*").alias("documents"))
+    return jobs.join(documents, "exact_sha256")
+
+
 def overlap_label(ratio: Column) -> Column:
     return F.format_string("%d%% overlap", F.bround(ratio * 100).cast("int"))
