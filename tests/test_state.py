@@ -1,5 +1,6 @@
 """State tables: one case per branch."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,6 +10,7 @@ from veilscan.operators import access as ac
 from veilscan.operators import evidence as ev
 from veilscan.operators import lifecycle as lc
 from veilscan.operators import policies as po
+from veilscan.operators import rule_admin as ra
 from veilscan.operators import scoring as sc
 from veilscan.plans import inspect as pl
 from veilscan.sources.documents import load_manifest, load_policies, paged
@@ -131,3 +133,44 @@ def test_sources(spark, tmp_path):
     assert load_manifest(spark, str(tmp_path / "m.json")).count() == 2
     pages = paged(spark.createDataFrame([(1, "a\fb\f\fc")], "job_id int, text string"))
     assert [(r.page, r.text) for r in pages.orderBy("page").collect()] == [(1, "a"), (2, "b"), (3, ""), (4, "c")]
+
+
+def replayed(stored, log):
+    """One rule after another, the plain way."""
+    table, outcomes = {k: dict(v) for k, v in stored.items()}, []
+    for at, rule, change, name, severity in sorted(log, key=lambda x: x[0]):
+        here = rule in table
+        if change == "create" and here or change != "create" and not here:
+            outcomes.append((at, "exists" if here else "unknown rule"))
+        elif change in ("create", "update") and severity is not None and not 0 <= severity <= 10:
+            outcomes.append((at, "bad severity"))
+        else:
+            outcomes.append((at, "applied"))
+            if change == "delete":
+                del table[rule]
+                continue
+            row = table.setdefault(rule, {"name": None, "severity": None, "enabled": True})
+            if change in ("enable", "disable"):
+                row["enabled"] = change == "enable"
+            else:
+                row["name"] = row["name"] if name is None else name
+                row["severity"] = row["severity"] if severity is None else severity
+                row["enabled"] = True if row["enabled"] is None else row["enabled"]
+    return table, sorted(outcomes)
+
+
+def test_rule_changes_are_folded_in_the_order_of_time(spark):
+    rng = random.Random(4)
+    stored = {f"r{k}": {"name": f"n{k}", "severity": k, "enabled": k % 2 == 0} for k in range(6)}
+    log = [
+        (n, f"r{rng.randrange(9)}", rng.choice(["create", "update", "enable", "disable", "delete"]),
+         rng.choice([None, f"new {n}"]), rng.choice([None, 3, 99])) for n in range(300)
+    ]
+    rules = spark.createDataFrame([(k, v["name"], v["severity"], v["enabled"]) for k, v in stored.items()], "id string, name string, severity int, enabled boolean")
+    rng.shuffle(log)
+    changes = spark.createDataFrame(log, "at int, id string, change string, name string, severity int").withColumns(
+        {"actor": F.lit("a"), "enabled": F.lit(None).cast("boolean")}).repartition(4)
+    after, revisions = ra.apply_changes(rules, changes, ("name", "severity", "enabled"))
+    table, outcomes = replayed(stored, log)
+    assert {r.id: {"name": r.name, "severity": r.severity, "enabled": r.enabled} for r in after.collect()} == table
+    assert sorted((r.at, r.outcome) for r in revisions.collect()) == outcomes

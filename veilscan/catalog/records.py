@@ -299,6 +299,126 @@ def rules_after_changes(t):
     return after
 
 
+# A log with many changes of every rule or queue: users stand in for them, events for changes.
+CHANGE_OF_EVENT = "CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'update' WHEN 'click' THEN '{}' WHEN 'error' THEN '{}' ELSE CASE WHEN event_id % 3 = 0 THEN 'delete' ELSE 'update' END END"
+
+
+def change_of_event(click: str, error: str):
+    e = F.col("event_type")
+    return (
+        F.when(e == "signup", "create").when(e == "view", "update").when(e == "click", click).when(e == "error", error)
+        .otherwise(F.when(F.col("event_id") % 3 == 0, "delete").otherwise("update"))
+    )
+
+
+RULE_LOG = f"""
+log AS (
+  SELECT 'rule-' || user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id, {CHANGE_OF_EVENT.format('enable', 'disable')} AS change,
+    CASE WHEN event_id % 5 < 2 THEN 'name ' || event_id END AS name, CASE WHEN event_id % 4 = 1 THEN (event_id % 12)::INT END AS severity,
+    CASE WHEN event_id % 3 = 1 THEN 'new+' END AS pattern FROM events),
+states AS (
+  SELECT l.id, 0::BIGINT AS i, any_value(r.id) IS NOT NULL AS here, any_value(name) AS name, any_value(severity) AS severity, any_value(pattern) AS pattern,
+    any_value(enabled) AS enabled, any_value(threshold) AS threshold, '' AS outcome, 0::BIGINT AS event_id FROM (SELECT DISTINCT id FROM log) l LEFT JOIN rules r ON r.id = l.id GROUP BY l.id
+  UNION ALL
+  SELECT id, i, CASE WHEN outcome = 'applied' AND change IN ('create', 'delete') THEN change = 'create' ELSE here END,
+    CASE WHEN outcome <> 'applied' OR change NOT IN ('create', 'update') THEN o_name ELSE coalesce(name, CASE WHEN here THEN o_name END) END,
+    CASE WHEN outcome <> 'applied' OR change NOT IN ('create', 'update') THEN o_severity ELSE coalesce(severity, CASE WHEN here THEN o_severity END) END,
+    CASE WHEN outcome <> 'applied' OR change NOT IN ('create', 'update') THEN o_pattern ELSE coalesce(pattern, CASE WHEN here THEN o_pattern END) END,
+    CASE WHEN outcome <> 'applied' THEN o_enabled WHEN change = 'enable' THEN true WHEN change = 'disable' THEN false WHEN change = 'create' THEN true ELSE coalesce(o_enabled, true) END,
+    CASE WHEN outcome = 'applied' AND change = 'create' THEN NULL ELSE o_threshold END, outcome, event_id
+  FROM (SELECT l.*, s.here, s.name AS o_name, s.severity AS o_severity, s.pattern AS o_pattern, s.enabled AS o_enabled, s.threshold AS o_threshold,
+      CASE WHEN change = 'create' AND here THEN 'exists' WHEN change <> 'create' AND NOT here THEN 'unknown rule'
+        WHEN change IN ('create', 'update') AND coalesce(l.severity, 0) NOT BETWEEN 0 AND 10 THEN 'bad severity' ELSE 'applied' END AS outcome
+    FROM states s JOIN log l ON l.id = s.id AND l.i = s.i + 1))"""
+
+
+def rule_log(t):
+    n = F.col("event_id")
+    return t.events.select(
+        F.concat(F.lit("rule-"), F.col("user_id").cast("string")).alias("id"), F.col("ts").alias("at"), n, F.lit("admin").alias("actor"),
+        change_of_event("enable", "disable").alias("change"), F.when(n % 5 < 2, F.concat(F.lit("name "), n.cast("string"))).alias("name"),
+        F.when(n % 4 == 1, (n % 12).cast("int")).alias("severity"), F.when(n % 3 == 1, "new+").alias("pattern"),
+        F.lit(None).cast("boolean").alias("enabled"), F.lit(None).cast("double").alias("threshold"),
+    )
+
+
+def recursive(*ctes: str) -> str:
+    return with_(*ctes).replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("rule_log_outcomes", recursive(RULE_TABLE, RULE_LOG) + "SELECT id, event_id, outcome FROM states WHERE i > 0")
+def rule_log_outcomes(t):
+    """Outcome of every change of a log in which rules come and go many times."""
+    return ra.apply_changes(rule_table(t), rule_log(t), RULE_FIELDS, ("at", "event_id"))[1].select("id", "event_id", "outcome")
+
+
+@query(
+    "rules_after_log",
+    recursive(RULE_TABLE, RULE_LOG)
+    + """, final AS (SELECT * FROM states QUALIFY row_number() OVER (PARTITION BY id ORDER BY i DESC) = 1)
+SELECT id, name, severity, pattern, enabled, threshold FROM final WHERE here UNION ALL SELECT * FROM rules ANTI JOIN final USING (id)""",
+)
+def rules_after_log(t):
+    """The rules table after that log, folded in the order of time."""
+    return ra.apply_changes(rule_table(t), rule_log(t), RULE_FIELDS, ("at", "event_id"))[0]
+
+
+POLICY_LOG = f"""
+busy AS (SELECT 'queue-' || o_custkey AS queue, count(*) AS held FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL),
+log AS (
+  SELECT 'queue-' || user_id AS queue, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id, {CHANGE_OF_EVENT.format('update', 'delete')} AS change,
+    CASE event_id % 6 WHEN 2 THEN 'enforce' WHEN 3 THEN 'monitor' WHEN 4 THEN 'custom' WHEN 0 THEN 'weird' END AS mode, CASE WHEN event_id % 11 = 0 THEN true END AS deep_scan_required,
+    CASE event_id % 9 WHEN 1 THEN 'closed' WHEN 2 THEN 'ajar' END AS fail_mode, CASE event_id % 8 WHEN 1 THEN 'allow' WHEN 2 THEN 'explode' END AS on_unreadable FROM events),
+states AS (
+  SELECT l.queue, 0::BIGINT AS i, any_value(s.queue) IS NOT NULL AS here, any_value(deep_scan_required) AS deep_scan_required, any_value(fail_mode) AS fail_mode,
+    any_value(on_unreadable) AS on_unreadable, coalesce(any_value(held), 0) AS held, '' AS outcome, 0::BIGINT AS event_id
+  FROM (SELECT DISTINCT queue FROM log) l LEFT JOIN stored s USING (queue) LEFT JOIN busy USING (queue) GROUP BY l.queue
+  UNION ALL
+  SELECT queue, i, CASE WHEN outcome = 'applied' AND change IN ('create', 'delete') THEN change = 'create' ELSE here END,
+    CASE WHEN outcome <> 'applied' OR change = 'delete' THEN o_deep ELSE coalesce(deep_scan_required, CASE mode WHEN 'enforce' THEN true WHEN 'monitor' THEN false END, CASE WHEN here THEN o_deep END, false) END,
+    CASE WHEN outcome <> 'applied' OR change = 'delete' THEN o_fail ELSE coalesce(fail_mode, CASE WHEN here THEN o_fail END, 'open') END,
+    CASE WHEN outcome <> 'applied' OR change = 'delete' THEN o_unr ELSE coalesce(on_unreadable, CASE mode WHEN 'enforce' THEN 'hold' WHEN 'monitor' THEN 'log' END, CASE WHEN here THEN o_unr END, 'log') END,
+    held, outcome, event_id
+  FROM (SELECT l.*, s.here, s.held, s.deep_scan_required AS o_deep, s.fail_mode AS o_fail, s.on_unreadable AS o_unr,
+      CASE WHEN change = 'create' AND here THEN 'exists' WHEN change <> 'create' AND NOT here THEN 'unknown queue' WHEN change = 'delete' AND held > 0 THEN 'jobs held'
+        WHEN change <> 'delete' AND faults <> '' THEN 'bad ' || faults ELSE 'applied' END AS outcome
+    FROM (SELECT *, concat_ws(',', CASE WHEN mode = 'weird' THEN 'mode' END, CASE WHEN fail_mode = 'ajar' THEN 'fail_mode' END, CASE WHEN on_unreadable = 'explode' THEN 'on_unreadable' END) AS faults FROM log) l
+    JOIN states s ON l.queue = s.queue AND l.i = s.i + 1))"""
+
+
+def policy_log(t):
+    n = F.col("event_id")
+    return t.events.select(
+        F.concat(F.lit("queue-"), F.col("user_id").cast("string")).alias("queue"), change_of_event("update", "delete").alias("change"),
+        F.lit("admin").alias("actor"), F.col("ts").alias("at"), n,
+        F.when(n % 6 == 2, "enforce").when(n % 6 == 3, "monitor").when(n % 6 == 4, "custom").when(n % 6 == 0, "weird").alias("mode"),
+        F.when(n % 11 == 0, True).alias("deep_scan_required"), F.when(n % 9 == 1, "closed").when(n % 9 == 2, "ajar").alias("fail_mode"),
+        F.when(n % 8 == 1, "allow").when(n % 8 == 2, "explode").alias("on_unreadable"), F.lit(None).cast("array<string>").alias("rule_tags"),
+    )
+
+
+def open_jobs(t):
+    return t.orders.filter("o_orderstatus = 'O'").select(F.concat(F.lit("queue-"), F.col("o_custkey").cast("string")).alias("queue"), F.lit("held").alias("state"))
+
+
+@query("policy_log_outcomes", recursive(QUEUES, POLICY_LOG) + "SELECT queue, event_id, outcome FROM states WHERE i > 0")
+def policy_log_outcomes(t):
+    """Outcome of every change of a log in which queues come and go many times."""
+    return po.apply_changes(stored_queues(t), policy_log(t), open_jobs(t), ("at", "event_id"))[1].select("queue", "event_id", "outcome")
+
+
+@query(
+    "policies_after_log",
+    recursive(QUEUES, POLICY_LOG)
+    + """, final AS (SELECT * FROM states QUALIFY row_number() OVER (PARTITION BY queue ORDER BY i DESC) = 1)
+SELECT queue, deep_scan_required, fail_mode, on_unreadable FROM final WHERE here
+UNION ALL SELECT queue, deep_scan_required, fail_mode, on_unreadable FROM stored ANTI JOIN final USING (queue)""",
+)
+def policies_after_log(t):
+    """The stored policies after that log, folded in the order of time."""
+    return po.apply_changes(stored_queues(t), policy_log(t), open_jobs(t), ("at", "event_id"))[0].drop("rule_tags")
+
+
 @query("rules_seeded", with_(RULE_TABLE) + "SELECT c.id, c.name FROM (SELECT 'rule-' || (s_suppkey * 31) AS id, s_name AS name FROM supplier) c ANTI JOIN rules USING (id)")
 def rules_seeded(t):
     incoming = t.supplier.select(F.concat(F.lit("rule-"), (F.col("s_suppkey") * 31).cast("string")).alias("id"), F.col("s_name").alias("name"))

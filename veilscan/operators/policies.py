@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilscan.constants import DEFAULT_POLICY
 from veilscan.functions.policy import expand_mode, policy_faults, tags_or_all
+from veilscan.operators.changelog import folded
 
 FIELDS = ("deep_scan_required", "fail_mode", "on_unreadable", "rule_tags")
 SNAPSHOT = ("queue", *FIELDS, "description", "enabled", "shared")
@@ -79,8 +80,10 @@ def held_per_queue(jobs: DataFrame) -> DataFrame:
     return jobs.filter(F.col("state") == "held").groupBy("queue").agg(F.count("*").alias("held"))
 
 
-def apply_changes(stored: DataFrame, changes: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply one round of policy changes, at most one per queue, to the stored table.
+def apply_changes(
+    stored: DataFrame, changes: DataFrame, jobs: DataFrame, order: tuple[str, ...] = ("at",)
+) -> tuple[DataFrame, DataFrame]:
+    """Policy changes in the order of time, any number per queue, applied to the stored table.
 
     ``changes(queue, change, actor, at, mode, deep_scan_required, fail_mode, on_unreadable,
     rule_tags)``: create needs an unknown queue, update and delete a known one, and a queue
@@ -88,40 +91,34 @@ def apply_changes(stored: DataFrame, changes: DataFrame, jobs: DataFrame) -> tup
     over old values, while explicit fields win over the mode. Returns the new table and an
     outcome row per change, which doubles as its revision when the outcome is ``applied``.
     """
-    held = held_per_queue(jobs)
-    old = stored.select("queue", F.struct(*FIELDS).alias("old"))
-    judged = (
-        changes.join(old, "queue", "left").join(held, "queue", "left")
-        .withColumn("faults", policy_faults(F.col("mode"), F.col("fail_mode"), F.col("on_unreadable")))
-        .withColumn(
-            "outcome",
-            F.when((F.col("change") == "create") & F.col("old").isNotNull(), "exists")
-            .when((F.col("change") != "create") & F.col("old").isNull(), "unknown queue")
-            .when((F.col("change") == "delete") & (F.coalesce("held", F.lit(0)) > 0), "jobs held")
-            .when((F.col("change") != "delete") & (F.size("faults") > 0), F.concat(F.lit("bad "), F.array_join("faults", ",")))
-            .otherwise("applied"),
+    change = F.col("change")
+    judged = changes.join(held_per_queue(jobs), "queue", "left").withColumns({
+        "held": F.coalesce("held", F.lit(0)),
+        "faults": F.array_join(policy_faults(F.col("mode"), F.col("fail_mode"), F.col("on_unreadable")), ","),
+    })
+    good = F.col("faults") == ""
+    writes = change != "delete"
+
+    def outcome(exists):
+        return (
+            F.when((change == "create") & exists, "exists")
+            .when((change != "create") & ~exists, "unknown queue")
+            .when((change == "delete") & (F.col("held") > 0), "jobs held")
+            .when(writes & ~good, F.concat(F.lit("bad "), F.col("faults")))
+            .otherwise("applied")
         )
-    )
+
     asked = {
         "deep_scan_required": expand_mode(F.col("mode"), "deep_scan_required", F.col("deep_scan_required")),
         "fail_mode": F.col("fail_mode"),
         "on_unreadable": expand_mode(F.col("mode"), "on_unreadable", F.col("on_unreadable")),
         "rule_tags": F.when(F.size("rule_tags") > 0, F.col("rule_tags")),
     }
-    revisions = judged.select(
-        "queue", "at", "actor", "change", "outcome",
-        *[
-            F.when(F.col("change") == "delete", F.col(f"old.{f}"))
-            .otherwise(F.coalesce(asked[f], F.col(f"old.{f}"), default_value(f))).alias(f)
-            for f in FIELDS
-        ],
-    )
-    applied = revisions.filter("outcome = 'applied'")
-    after = (
-        stored.select("queue", *FIELDS).join(applied.select("queue"), "queue", "left_anti")
-        .unionByName(applied.filter("change <> 'delete'").select("queue", *FIELDS))
+    after, log = folded(
+        stored, judged, "queue", FIELDS, (change == "create") & good, (change == "delete") & (F.col("held") == 0), outcome,
+        {f: F.when(writes, value) for f, value in asked.items()}, {f: default_value(f) for f in FIELDS}, order,
     )
-    return after, revisions
+    return after, log.select("queue", *[c for c in order if c != "at"], "at", "actor", "change", "outcome", *FIELDS)
 
 
 def latest(revisions: DataFrame, key: str, order: tuple[str, ...] = ("at",)) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.constants import SEVERITY_MAX, SEVERITY_MIN
+from veilscan.operators.changelog import folded
 from veilscan.operators.scan import scan_pages
 from veilscan.sources.rules import RULE_SCHEMA, Rule
 
@@ -17,44 +18,37 @@ CHANGES = ("create", "update", "enable", "disable", "delete")
 RECORDED = {"create": "created", "update": "updated", "enable": "enabled", "disable": "disabled", "delete": "deleted"}
 
 
-def apply_changes(rules: DataFrame, changes: DataFrame, fields: Sequence[str] = tuple(FIELDS)) -> tuple[DataFrame, DataFrame]:
-    """One round of rule changes, at most one per id: (new table, revisions).
+def apply_changes(
+    rules: DataFrame, changes: DataFrame, fields: Sequence[str] = tuple(FIELDS), order: Sequence[str] = ("at",),
+) -> tuple[DataFrame, DataFrame]:
+    """Rule changes in the order of time, any number per id: (new table, revisions).
 
     An update sets only the fields it carries (nulls keep the old value) and cannot change
     the id; enable and disable touch one flag; a deletion leaves only its revision. A change
-    that does not fit the table (create of a known id, any other of an unknown one) has an
-    ``outcome`` that says so and no effect.
+    that does not fit the table as the changes before it left it (create of a known id, any
+    other of an unknown one) has an ``outcome`` that says so and no effect.
     """
-    old = rules.select("id", F.struct(*fields).alias("old"))
-    joined = changes.join(old, "id", "left").withColumn(
-        "outcome",
-        F.when(F.coalesce("id", F.lit("")) == "", "id is required")
-        .when((F.col("change") == "create") & F.col("old").isNotNull(), "exists")
-        .when((F.col("change") != "create") & F.col("old").isNull(), "unknown rule")
-        .when(
-            F.col("change").isin("create", "update")
-            & ~F.coalesce(F.col("severity"), F.lit(SEVERITY_MIN)).between(SEVERITY_MIN, SEVERITY_MAX),
-            "bad severity",
+    change = F.col("change")
+    writes = change.isin("create", "update")
+    good = F.coalesce(F.col("severity"), F.lit(SEVERITY_MIN)).between(SEVERITY_MIN, SEVERITY_MAX)
+    named = F.coalesce("id", F.lit("")) != ""
+    asked = {f: F.when(writes, F.col(f)) for f in fields}
+    if "enabled" in asked:
+        asked["enabled"] = F.when(change == "enable", True).when(change == "disable", False).otherwise(asked["enabled"])
+
+    def outcome(exists):
+        return (
+            F.when(~named, "id is required")
+            .when((change == "create") & exists, "exists")
+            .when((change != "create") & ~exists, "unknown rule")
+            .when(writes & ~good, "bad severity")
+            .otherwise("applied")
         )
-        .otherwise("applied"),
-    )
-
-    def value(name: str):
-        merged = F.when(F.col("change").isin("create", "update"), F.coalesce(F.col(name), F.col(f"old.{name}"))).otherwise(F.col(f"old.{name}"))
-        if name == "enabled":
-            merged = (
-                F.when(F.col("change") == "enable", True).when(F.col("change") == "disable", False)
-                .otherwise(F.coalesce(merged, F.lit(True)))
-            )
-        return merged.alias(name)
 
-    revisions = joined.select("id", "at", "actor", "change", "outcome", *[value(f) for f in fields])
-    applied = revisions.filter("outcome = 'applied'")
-    after = (
-        rules.select("id", *fields).join(applied.select("id"), "id", "left_anti")
-        .unionByName(applied.filter("change <> 'delete'").select("id", *fields))
+    return folded(
+        rules, changes, "id", fields, (change == "create") & good & named, (change == "delete") & named, outcome, asked,
+        {"enabled": F.lit(True)}, order,
     )
-    return after, revisions
 
 
 def snapshot(table: DataFrame, fields: Sequence[str]) -> DataFrame:
