@@ -135,3 +135,41 @@ def test_rounding_and_modes(spark):
     assert value(spark, expand_mode(F.lit("enforce"), "on_unreadable", F.lit("block"))) == "block"
     assert value(spark, expand_mode(F.lit("monitor"), "deep_scan_required", F.lit(None))) is False
     assert value(spark, lc.oversize(F.lit(11), F.lit("closed"), 10)) == "hold" and value(spark, lc.oversize(F.lit(10), F.lit("closed"), 10)) is None
+
+
+def re2_matches(pattern, text):
+    """What an engine of the dialect itself finds."""
+    import duckdb
+
+    return duckdb.execute("SELECT regexp_extract_all(?, " + "'" + pattern.replace("'", "''") + "')", [text]).fetchall()[0][0]
+
+
+I_TEXT = "confidential CONFIDENTIAL conf\u0131dential CONF\u0130DENTIAL in \u0131n \u0130N xn 4n a.b A.B aab aaab\nline end\nbob"
+
+
+@pytest.mark.parametrize("pattern,ignore", [
+    ("confidential", True), ("(?i)confidential", False), (r"conf\x69dential", True), ("(?P<n>confidential)", True), ("[^i]n", True), ("[g-k]n", True),
+    ("[^g-k]n", True), ("\u0131n", True), (r"\Qa.b\E", True), (r"(?U)a+b", False), ("a+?b", False), ("(?U)a+?b", False), ("a(?i)A", False), ("(?m)^\\w+$", False),
+    ("(?m:^line) end$|b$", False), (r"\x{61}{2}", False), ("(?i:I)n", False), ("(?-i:i)n", True),
+])
+def test_flags_codes_and_the_other_i(spark, pattern, ignore):
+    got = value(spark, F.regexp_extract_all(F.lit(I_TEXT), F.lit(to_java(pattern, ignore)), F.lit(0)))
+    assert got == re2_matches(("(?i)" if ignore else "") + pattern, I_TEXT)
+
+
+@pytest.mark.parametrize("pattern", ["(?:a|aa)+$", "((?:a+))+$", r"(\w+\s?)*$", "(a|b|ab)*c", "(a*)*b", "(a?a?)*b", "(.*,)*x", "(x+x+)+y"])
+def test_exponential_patterns_are_refused(pattern):
+    assert "exponential" in problems(pattern)[0]
+
+
+@pytest.mark.parametrize("pattern", ["(?:a|b)*c", r"(?:[a-z]{1,9}, ?)*end", r"(?:\d{4}[ -]?){3}\d{4}", "(ab*c)*d", r"\b(?:[A-Z]+, )*[A-Z]+\b"])
+def test_harmless_repeats_pass(pattern):
+    assert problems(pattern) == []
+
+
+def test_a_rule_java_cannot_compile_is_refused_on_loading(spark):
+    from veilscan.sources.rules import RuleError, java_fault, rule_from
+
+    assert java_fault("(?<a_b>x)") and java_fault("x") is None
+    with pytest.raises(RuleError):
+        rule_from({"id": "x", "name": "n", "pattern": r"\p{NoSuchScript}+"})

@@ -430,6 +430,32 @@ def rule_value_faults(t):
     return ra.value_faults(rule_table(t))
 
 
+# Patterns that loading accepts, and ones it refuses: outside the dialect, invalid, or exponential.
+FINE = (r"(?P<word>confidential)", r"\Qa.b\E", r"\x{41}", r"(?U)a+", r"a(?i)b", r"(?:a|b)*c")
+REFUSED = (r"(?:a|aa)+$", r"((?:a+))+$", r"(\w+\s?)*$", r"(a|b|ab)*c", r"(a*)*b", r"a(?=b)", r"(x)\1", r"(?P<x>a)(?P<x>b)", r"(unclosed", r"a++")
+PATTERNS = FINE + REFUSED
+
+
+def quoted_pattern(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+@query(
+    "rule_pattern_faults",
+    "SELECT 'rule-' || p_partkey AS id, p.pattern FROM part JOIN (VALUES "
+    + ", ".join(f"({n}, {quoted_pattern(p)})" for n, p in enumerate(PATTERNS) if p in REFUSED)
+    + f") p(n, pattern) ON p_partkey % {len(PATTERNS)} = p.n",
+)
+def rule_pattern_faults(t):
+    """Rules whose pattern loading refuses, each part with one of a list of patterns."""
+    n = F.col("p_partkey") % len(PATTERNS)
+    table = t.part.select(
+        F.concat(F.lit("rule-"), F.col("p_partkey").cast("string")).alias("id"), F.lit(5).alias("severity"),
+        F.element_at(F.array(*[F.lit(p) for p in PATTERNS]), (n + 1).cast("int")).alias("pattern"),
+    )
+    return ra.value_faults(table).join(table, "id").select("id", "pattern")
+
+
 @query("rules_view", with_(RULE_TABLE) + "SELECT id, name, severity, enabled FROM rules ORDER BY enabled DESC, severity DESC, id")
 def rules_view(t):
     return co.rules_view(rule_table(t)).select("id", "name", "severity", "enabled")

@@ -197,6 +197,8 @@ DIALECT = (
     (r"\b[a-z]{2,4}\b", False), (r"\bth\w*", True), (r"\w+\s\w+\s", False), (r"[^\s,]+[.,]", False),
     (r"\Bou\B", True), (r"[[:upper:]][[:lower:]]+", False), (r"\S+$", False), (r"^\w+", False), (r"e.t", True),
     (r"(?:é|è)\b", False), (r"[A-Z&&]+", False), (r"\pL{9,}", False), (r"st", True),
+    (r"(?P<head>th)\w", True), (r"\Q.\E\s", False), (r"\x{65}.|\x61n", False), (r"(?U)\w+a{1,2} ", False), (r"a(?i)N", False),
+    (r"(?i)[^i]n", False), (r"(?m)^\w+$", False), (r"(?U:e\w+)n|\w+s$", False),
 )
 
 

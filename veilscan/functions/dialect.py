@@ -9,6 +9,11 @@ from __future__ import annotations
 import re
 import warnings
 
+from veilscan.functions.ambiguity import ambiguous
+from veilscan.session import ship_by_value
+
+ship_by_value(__name__)
+
 WORD = "[0-9A-Za-z_]"
 BOUNDARY = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
 INNER = f"(?:(?<={WORD})(?={WORD})|(?<!{WORD})(?!{WORD}))"
@@ -20,7 +25,7 @@ TOKEN = re.compile(
     r"|\\[pP]\{[^}]*\}"
     r"|\\."                 # any escape
     r"|\[:\^?[a-z]+:\]"     # named class
-    r"|\(\?[a-zA-Z-]*m[a-zA-Z-]*[:)]"  # flags that switch on multi-line
+    r"|\(\?:|\(\?[a-zA-Z-]+[:)]"  # plain group, flags
     r"|\[\^?\]?"            # start of a class; a first ] is literal
     r"|\]|&&|\$|.",
     re.DOTALL,
@@ -42,7 +47,7 @@ FORBIDDEN = (
 )
 BACKREFERENCE = re.compile(r"\\[1-9]")
 POSSESSIVE = re.compile(r"(?<!\\)[*+?}]\+")
-# A repeated group whose body ends in an unbounded repeat, such as (a+)+.
+# A repeated group whose body ends in an unbounded repeat, such as (,a+)+: Java calls itself for every round.
 NESTED_REPEAT = re.compile(r"(?<!\\)[*+]\)(?:[*+]|\{\d+,\})")
 
 
@@ -50,35 +55,95 @@ class PatternError(ValueError):
     """The pattern is outside the supported dialect."""
 
 
+# Constructs that ``spelled_out`` replaces; a class comes first, as most of them are plain inside.
+SPELLED = re.compile(
+    r"\[\^?\]?(?:\\.|\[:\^?[a-z]+:\]|[^\]\\])*\]"
+    r"|\\Q(?P<quoted>.*?)(?:\\E|$)|\\x\{(?P<long>[0-9A-Fa-f]+)\}|\\x(?P<short>[0-9A-Fa-f]{2})"
+    r"|\(\?P?<(?P<name>[A-Za-z_]\w*)>|\\.",
+    re.DOTALL,
+)
+CODE = re.compile(r"\\x\{([0-9A-Fa-f]+)\}|\\x([0-9A-Fa-f]{2})|\\.", re.DOTALL)
+FLAGS = re.compile(r"(?<!\\)\(\?([a-zA-Z-]+)([:)])")
+
+
+def literal(char: str) -> str:
+    return "\\" + char if char.isascii() and char.isprintable() and not char.isalnum() and char != " " else char
+
+
+def spelled_out(pattern: str) -> str:
+    """The pattern with quoted stretches and character codes as the characters they stand for, and named
+    groups as plain ones: only whole matches are used."""
+
+    def code(found: re.Match) -> str:
+        number = found[1] or found[2]
+        return literal(chr(int(number, 16))) if number else found[0]
+
+    def plain(found: re.Match) -> str:
+        if found["quoted"] is not None:
+            return "".join(literal(c) for c in found["quoted"])
+        if found["name"]:
+            return "("
+        return CODE.sub(code, found[0])
+
+    return SPELLED.sub(plain, pattern)
+
+
 def problems(pattern: str) -> list[str]:
     """Constructs of ``pattern`` that rules may not use; empty when it is fine."""
-    found = [f"{label} is not supported" for mark, label in FORBIDDEN if mark in pattern]
-    if BACKREFERENCE.search(pattern):
+    try:
+        plain = spelled_out(pattern)
+    except (ValueError, OverflowError) as err:
+        return [f"invalid character code: {err}"]
+    found = [f"{label} is not supported" for mark, label in FORBIDDEN if mark in plain]
+    if BACKREFERENCE.search(plain):
         found.append("backreference is not supported")
-    if POSSESSIVE.search(pattern):
+    if POSSESSIVE.search(plain):
         found.append("possessive quantifier is not supported")
-    if NESTED_REPEAT.search(pattern):
-        found.append("nested unbounded repeat is not supported: it can take exponential time")
+    if NESTED_REPEAT.search(plain):
+        found.append("nested unbounded repeat is not supported: it can take exponential time or any depth of stack")
+    if any(set(flags) - set("imsU-") for flags, _ in FLAGS.findall(plain)):
+        found.append("invalid regular expression: unknown flag")
+    names = [m["name"] for m in SPELLED.finditer(pattern) if m["name"]]
+    if len(names) > len(set(names)):
+        found.append("invalid regular expression: a group name occurs twice")
     if not found:
         try:
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore", FutureWarning)
-                re.compile(re.sub(r"\\[pP](?:\{[^}]*\}|[A-Z])", "x", pattern).replace("\\z", "$"))
+                bare = FLAGS.sub(lambda m: "(?:" if m[2] == ":" else "", plain)
+                tree = re.compile(re.sub(r"\\[pP](?:\{[^}]*\}|[A-Z])", "x", bare).replace("\\z", "$"))
         except re.error as err:
             found.append(f"invalid regular expression: {err}")
+        else:
+            if ambiguous(tree.pattern):
+                found.append("a repeat that can match one text in many ways is not supported: it can take exponential time")
     return found
 
 
-NOT_OTHER_I = "(?:(?!(?-iu:[\\u0130\\u0131]))"
+OTHER_I = "(?-iu:[\\u0130\\u0131])"
+NOT_OTHER_I = f"(?:(?!{OTHER_I})"
 
 
 def class_holds_i(tokens: list[str]) -> bool:
-    """Whether the character class that opens ``tokens`` holds an ASCII i, by letter or range."""
+    """Whether the character class that opens ``tokens`` holds an ASCII i, by letter or range, and no
+    other i of its own."""
     body = "".join(tokens[: tokens.index("]", 1) + 1] if "]" in tokens[1:] else tokens)
+    if "\u0130" in body or "\u0131" in body:
+        return False
+    body = re.sub(r"\\.|\[:\^?[a-z]+:\]", "", body)
     ranges = re.findall(r"([A-Za-z])-([A-Za-z])", body)
     return "i" in body.lower() or any(a <= c <= b for a, b in ranges for c in "iI")
 
 
+def set_flags(token: str, now: dict[str, bool]) -> tuple[dict[str, bool], str]:
+    """(flags after a flags token, the token without those that are worked into the pattern)."""
+    on, _, off = token[2:-1].partition("-")
+    after = {**now, **{f: True for f in on}, **{f: False for f in off}}
+    on, off = on.replace("U", ""), off.replace("U", "")
+    inner = on + (f"-{off}" if off else "")
+    return after, f"(?{inner}{token[-1]}" if inner or token[-1] == ":" else ""
+
+
 def to_java(pattern: str, ignore_case: bool = True, boundaries: bool = True) -> str:
     """Java form of a pattern. Without ``boundaries`` the word-boundary assertions are left
     out: that form finds something wherever the full one does, and scans several times
@@ -86,13 +151,19 @@ def to_java(pattern: str, ignore_case: bool = True, boundaries: bool = True) ->
     faults = problems(pattern)
     if faults:
         raise PatternError("; ".join(faults))
-    out, in_class, multiline, closing = [], False, False, "]"
-    # Java folds dotless and dotted capital i to i, the dialect does not.
-    fold = ignore_case and not re.search("[\u0130\u0131]|\\\\[pPxQ]|\\(\\?(?!:)", pattern)
+    pattern = spelled_out(pattern)
+    out, in_class, closing = [], False, "]"
+    # Java folds dotless and dotted capital i to i, the dialect does not. Where case counts the guard
+    # changes nothing, so flags inside the pattern need no tracking for it.
+    folds = ignore_case or any("i" in flags.partition("-")[0] for flags, _ in FLAGS.findall(pattern))
+    now, outer = {"m": False, "U": False}, []
     tokens = TOKEN.findall(pattern)
+    skip = False
     for at, token in enumerate(tokens):
-        if token.startswith("(?") and "m" in token:
-            multiline = True
+        if skip:
+            skip = False
+            continue
+        after = tokens[at + 1] if at + 1 < len(tokens) else ""
         if token.startswith("[:") and in_class:
             negated, name = token[2] == "^", token.strip("[:^]")
             token = f"[^{NAMED[name]}]" if negated else NAMED[name]
@@ -110,21 +181,39 @@ def to_java(pattern: str, ignore_case: bool = True, boundaries: bool = True) ->
             if in_class:
                 token = "\\" + token
             else:
-                in_class = True
-                guarded = fold and not token.startswith("[^") and class_holds_i(tokens[at:])
-                closing = "])" if guarded else "]"
-                token = (NOT_OTHER_I if guarded else "") + token.replace("]", "\\]")
+                in_class, closing, negated = True, "]", token.startswith("[^")
+                guarded = folds and class_holds_i(tokens[at:])
+                if guarded:
+                    closing = f"]|{OTHER_I})" if negated else "])"
+                token = (("(?:" if negated else NOT_OTHER_I) if guarded else "") + token.replace("]", "\\]")
         elif token == "]":
             token, in_class = (closing if in_class else token), False
-        elif token in ("i", "I") and fold and not in_class:
+        elif token in ("i", "I") and folds and not in_class:
             token = f"{NOT_OTHER_I}{token})"
+        elif token in ("\u0130", "\u0131") and folds and not in_class:
+            token = f"(?-iu:{token})"
         elif token == "&&" and in_class:
             token = "\\&\\&"
-        elif token == "$" and not in_class and not multiline:
-            token = "\\z"
+        elif not in_class:
+            if FLAGS.fullmatch(token):
+                changed, token = set_flags(token, now)
+                if token.endswith(":"):
+                    outer.append(now)
+                now = changed
+            elif token.startswith("("):
+                outer.append(now)
+            elif token == ")":
+                now = outer.pop()
+            elif token == "$" and not now["m"]:
+                token = "\\z"
+            elif now["U"] and (token in ("*", "+", "?") or token == "}" and REPEAT_END.search("".join(tokens[: at + 1]))):
+                token, skip = (token, True) if after == "?" else (token + "?", False)
         out.append(token)
     # (?d): only a line feed ends a line; (?iu): case folding beyond ASCII.
-    return lead(pattern, ignore_case) + ("(?diu)" if ignore_case else "(?d)") + "".join(out)
+    return lead(pattern, ignore_case) + ("(?diu)" if ignore_case else "(?du)" if folds else "(?d)") + "".join(out)
+
+
+REPEAT_END = re.compile(r"\{\d+(?:,\d*)?\}$")
 
 
 # Flags inside the pattern, and escapes that stand for other characters than the one that follows.
@@ -177,8 +266,8 @@ def first_letters(pattern: str, ignore_case: bool = True) -> str:
     while tokens and tokens[0] in ("\\b", "\\B"):
         tokens.pop(0)
     starts, depth, opening = [], 0, False
-    if tokens[:3] == ["(", "?", ":"]:
-        tokens, depth, opening = tokens[3:], 1, True
+    if tokens[:1] == ["(?:"]:
+        tokens, depth, opening = tokens[1:], 1, True
     simple = "|" not in tokens and re.match(r"\[([A-Za-z0-9-]+)\](?![*?]|\{0)", "".join(tokens))
     if simple and not opening and not ignore_case:
         return simple.group(1)
@@ -196,7 +285,7 @@ def first_letters(pattern: str, ignore_case: bool = True) -> str:
         opening = token == "|" and depth <= 1
         if depth == 0 and token == "|":
             return ""
-        depth += (token == "(") - (token == ")")
+        depth += token.startswith("(") - (token == ")")
         if depth == 0 and starts and token == ")":
             if any(t == "|" for t in tokens[at:]) or (tokens[at + 1 : at + 2] or [""])[0] in ("*", "?", "{"):
                 return ""
@@ -218,7 +307,7 @@ def with_surroundings(java_pattern: str, window: int) -> str:
     """Pattern whose groups 1, 2, 3 are up to ``window`` characters before a match, the
     match, and up to ``window`` characters after it. The look-arounds consume nothing, so the
     matches are those of the plain pattern; the look-behind is tried only where one starts."""
-    ahead, flags, body = re.match(r"(\(\?=\[[\w-]+\]\))?(\(\?[a-z]+\))(.*)", java_pattern, re.DOTALL).groups()
+    ahead, flags, body = re.match(r"(\(\?=\[[\w-]+\]\))?(\(\?d[iu]*\))(.*)", java_pattern, re.DOTALL).groups()
     before = f"(?s:\\A.{{0,{max(window - 1, 0)}}}|.{{{window}}})"
     body = capture_free(body)
     return f"{ahead or ''}{flags}(?=(?:{body}))(?<=({before}))((?:{body}))(?=((?s:.{{0,{window}}})))"

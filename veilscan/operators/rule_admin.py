@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from veilscan.constants import SEVERITY_MAX, SEVERITY_MIN
+from veilscan.functions.dialect import problems
 from veilscan.operators.changelog import folded
 from veilscan.operators.scan import scan_pages
+from veilscan.session import ship_by_value
 from veilscan.sources.rules import RULE_SCHEMA, Rule
 
+ship_by_value(__name__)
+
 FIELDS = [f.name for f in RULE_SCHEMA.fields if f.name != "id"]
 CHANGES = ("create", "update", "enable", "disable", "delete")
 # Past tense written to the revision log.
@@ -65,21 +71,16 @@ def restore(snapshots: DataFrame, schema: str, defaults: dict) -> DataFrame:
     )
 
 
+@F.pandas_udf(BooleanType())
+def bad_pattern(patterns: pd.Series) -> pd.Series:
+    return pd.Series([p is None or bool(problems(p)) for p in patterns])
+
+
 def value_faults(rules: DataFrame) -> DataFrame:
-    """Rows that break a value constraint: (id, fault)."""
-    return rules.select(
-        "id",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.when(~F.col("severity").between(SEVERITY_MIN, SEVERITY_MAX), F.lit("severity")),
-                    F.when(
-                        F.rlike("pattern", F.lit(r"\(\?=|\(\?!|\(\?<=|\(\?<!|\\[1-9]")), F.lit("pattern")
-                    ),
-                )
-            )
-        ).alias("fault"),
-    )
+    """Rows that loading would refuse for a value: (id, fault), by the same checks of the pattern."""
+    severity = F.col("severity").between(SEVERITY_MIN, SEVERITY_MAX)
+    faults = F.array(F.when(~severity, F.lit("severity")), F.when(bad_pattern("pattern"), F.lit("pattern")))
+    return rules.select("id", F.explode(F.array_compact(faults)).alias("fault"))
 
 
 def fixture_rows(table: DataFrame) -> DataFrame:

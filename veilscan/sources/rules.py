@@ -6,13 +6,16 @@ import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilscan.constants import ACTION_RANK, SEVERITY_MAX, SEVERITY_MIN
 from veilscan.functions.checks import check_named
-from veilscan.functions.dialect import problems
+from veilscan.functions.dialect import problems, to_java
 from veilscan.sources.shipped_rules import SHIPPED_RULES
 
 # A rule table is configuration: it is read to the driver to plan the scan, so its size is
@@ -115,8 +118,25 @@ def rule_from(entry: dict) -> Rule:
     return rule
 
 
+def java_fault(pattern: str) -> str | None:
+    """What Java says against a rewritten pattern, if a session runs: such a rule must fail on loading,
+    not in the tasks of a scan."""
+    context = SparkContext._active_spark_context
+    jvm = getattr(context, "_jvm", None)
+    if jvm is None:
+        return None
+    try:
+        jvm.java.util.regex.Pattern.compile(pattern)
+    except (IllegalArgumentException, Py4JJavaError) as err:
+        return f"invalid regular expression: {str(err).splitlines()[0]}"
+    return None
+
+
 def rule_problems(rule: Rule) -> list[str]:
     faults = problems(rule.pattern)
+    if not faults:
+        fault = java_fault(to_java(rule.pattern, rule.ignore_case))
+        faults = [fault] if fault else []
     if not SEVERITY_MIN <= rule.severity <= SEVERITY_MAX:
         faults.append(f"severity must be {SEVERITY_MIN}-{SEVERITY_MAX}")
     if rule.action not in ACTION_RANK:
