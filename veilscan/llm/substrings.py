@@ -11,9 +11,10 @@ start somewhere in a document with a smaller id.
 3. Passages are dealt into shards by their first document. A document is sent to the shards that
    hold one of its anchors; shards that many documents need are dealt over several tasks.
 4. A task compiles its passages' aligned 25-word blocks into one automaton and streams its
-   documents through. A hit fixes a diagonal, on which words are compared one by one, so what
-   is removed has been checked word by word; hashes only choose where to look. Each window of
-   a passage holds an aligned block, so none is missed.
+   documents through. The windows of the text around a hit are looked up among those of the
+   passages, each of which knows its first owner, and compared by their words; hashes only choose
+   where to look. Each window of a passage holds an aligned block, so none is missed, and a
+   passage that all documents hold costs each of them once, whatever it is surrounded by.
 
 64-bit window hashes could hide a repeat only if two different windows that hold recurring
 anchors share a hash; equal hashes never remove anything by themselves.
@@ -177,39 +178,17 @@ def coded(number: int) -> str:
     return chr(STARTS[0] + number // DIGIT**2) + chr(STARTS[1] + number // DIGIT % DIGIT) + chr(STARTS[2] + number % DIGIT)
 
 
-def agreed(a: str, i: int, b: str, j: int, most: int, way: int) -> int:
-    """How many words (``most`` at most) agree from word i of ``a`` and j of ``b`` on, to the right
-    (``way`` 1) or to the left of them (-1): by growing stretches, then by halving the last one."""
-
-    def same(low: int, high: int) -> bool:
-        if way > 0:
-            return a[3 * (i + low) : 3 * (i + high)] == b[3 * (j + low) : 3 * (j + high)]
-        return a[3 * (i - high) : 3 * (i - low)] == b[3 * (j - high) : 3 * (j - low)]
-
-    done, step = 0, 32
-    while done < most:
-        end = min(done + step, most)
-        if not same(done, end):
-            while end - done > 1:
-                middle = (done + end) // 2
-                if same(done, middle):
-                    done = middle
-                else:
-                    end = middle
-            return done
-        done, step = end, 2 * step
-    return done
-
-
 class Shard:
-    """Passages of one shard and the automaton over their aligned blocks."""
+    """Passages of one shard, the automaton over their aligned blocks, and the least owner of each of their
+    windows. A hit of the automaton says which windows of a text to look up; however many owners a block
+    has, a window of the text is looked up once and its words compared with those of one passage."""
 
     UNKNOWN = coded(0)
 
     def __init__(self):
         self.vocabulary: dict[bytes, str] = {}
-        self.codes: list[str] = []
-        self.owners: list[int] = []
+        self.passages: list[tuple[int, str]] = []
+        self.windows: dict[int, list[tuple[int, int]]] = {}
         self.automaton = None
 
     def add(self, owner: int, words: str) -> None:
@@ -218,41 +197,48 @@ class Shard:
         for w in own:
             if w not in v:
                 v[w] = coded(len(v) + 1)
-        self.codes.append("".join([v[w] for w in own]))
-        self.owners.append(owner)
+        self.passages.append((owner, "".join([v[w] for w in own])))
 
     def compile(self) -> None:
         self.automaton = ahocorasick.Automaton()
-        blocks: dict[str, list] = {}
-        for p, code in enumerate(self.codes):
-            for at in range(0, len(code) // 3 - ANCHOR + 1, ANCHOR):
-                blocks.setdefault(code[3 * at : 3 * (at + ANCHOR)], []).append((p, at))
-        for block, spots in blocks.items():
-            self.automaton.add_word(block, spots)
+        self.passages.sort(key=lambda p: p[0])  # the first to bring a window is its least owner
+        blocks = set()
+        for p, (_, code) in enumerate(self.passages):
+            size = len(code) // 3
+            blocks.update(code[3 * at : 3 * (at + ANCHOR)] for at in range(0, size - ANCHOR + 1, ANCHOR))
+            for at in range(size - WINDOW + 1):
+                words = code[3 * at : 3 * (at + WINDOW)]
+                spots = self.windows.setdefault(hash(words), [])
+                if all(self.window(spot) != words for spot in spots):  # one spot, but for equal hashes
+                    spots.append((p, at))
+        for block in blocks:
+            self.automaton.add_word(block, 1)
         self.automaton.make_automaton()
 
+    def window(self, spot: tuple[int, int]) -> str:
+        return self.passages[spot[0]][1][3 * spot[1] : 3 * (spot[1] + WINDOW)]
+
     def repeats(self, doc_id: int, text: str) -> list[tuple[int, int]]:
-        """Ranges of words that repeat a passage of an earlier document over a window or more."""
+        """Ranges of words that lie in windows of a passage of an earlier document."""
         v, unknown = self.vocabulary, self.UNKNOWN
         code = "".join([v.get(w, unknown) for w in text.encode().split()])
         size = len(code) // 3
-        if size < WINDOW or not self.codes:
+        if size < WINDOW or not self.windows:
             return []
-        reached: dict[tuple[int, int], int] = {}  # (passage, shift): end of the last run compared there
-        out = []
-        for end, spots in self.automaton.iter(code):
+        out: list[list[int]] = []
+        done = 0  # windows before this one have been looked up
+        for end, _ in self.automaton.iter(code):
             stop = (end + 1) // 3
-            for p, at in spots:
-                shift = stop - ANCHOR - at
-                if self.owners[p] >= doc_id or reached.get((p, shift), 0) >= stop:
-                    continue
-                passage = self.codes[p]
-                right = agreed(code, stop, passage, at + ANCHOR, min(size - stop, len(passage) // 3 - at - ANCHOR), 1)
-                left = agreed(code, stop - ANCHOR, passage, at, min(stop - ANCHOR, at), -1)
-                reached[p, shift] = stop + right
-                if left + ANCHOR + right >= WINDOW:
-                    out.append((stop - ANCHOR - left, stop + right))
-        return out
+            for at in range(max(done, stop - WINDOW), min(stop - ANCHOR, size - WINDOW) + 1):
+                words = code[3 * at : 3 * (at + WINDOW)]
+                for spot in self.windows.get(hash(words), ()):
+                    if self.passages[spot[0]][0] < doc_id and self.window(spot) == words:
+                        if out and at <= out[-1][1]:
+                            out[-1][1] = at + WINDOW
+                        else:
+                            out.append([at, at + WINDOW])
+            done = max(done, min(stop - ANCHOR, size - WINDOW) + 1)
+        return [tuple(r) for r in out]
 
 
 def located(shards: DataFrame, routed: DataFrame) -> DataFrame:
