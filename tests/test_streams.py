@@ -1,3 +1,6 @@
+import random
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from veilscan.session import shared_dir
@@ -37,3 +40,45 @@ def test_transitions():
                            ("allow", "released"), ("flag", "released_then_flagged"), ("block", "blocked")):
         walk = feeds.next_state(walk, kind)
         assert walk == expected
+
+
+def run(stream, mode, out):
+    stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{out}/checkpoint").foreachBatch(
+        lambda rows, n: feeds.write_batch(rows, f"{out}/rows", n)).start().awaitTermination()
+
+
+def test_lifecycle_does_not_depend_on_the_cut_into_batches(spark, tmp_path):
+    rng, start = random.Random(7), datetime(2024, 1, 1)
+    kinds = ["allow", "log", "hold", "block", "release", "deny", "flag", "read"]
+    events = [(n % 12, start + timedelta(seconds=rng.randrange(3000)), n, rng.choice(kinds)) for n in range(400)]
+    expected = {}
+    for job, _, _, kind in sorted(events, key=lambda e: (e[1], e[2])):
+        state, seen = expected.get(job, ("inspecting", 0))
+        expected[job] = (feeds.next_state(state, kind), seen + 1)
+    schema = "job_id bigint, at timestamp, event_id bigint, kind string"
+    for cut, files in enumerate((1, 6)):
+        rng.shuffle(events)
+        folder, out = str(tmp_path / f"in{cut}"), shared_dir(spark, "test-lifecycle")
+        for k in range(files):
+            spark.createDataFrame(events[k::files], schema).coalesce(1).write.mode("append").parquet(folder)
+        run(feeds.lifecycle_states(feeds.table_stream(spark, folder, "*.parquet", 1)), "update", out)
+        updates = spark.read.parquet(f"{out}/rows")
+        assert {r.job_id: (r.state, r.events) for r in feeds.latest_states(updates).collect()} == expected
+
+
+def test_purges_fire_once_when_their_deadline_has_passed(spark, tmp_path):
+    """Jobs arrive in three batches, two of them after the clock has moved on."""
+    start = datetime(2024, 1, 1)
+    folder, clock, out = str(tmp_path / "jobs"), str(tmp_path / "clock"), shared_dir(spark, "test-purge")
+
+    def step(jobs, now):
+        rows = [(j, start + timedelta(hours=due), purged) for j, due, purged in jobs]
+        spark.createDataFrame(rows, "job_id bigint, purge_after timestamp, purged boolean").coalesce(1).write.mode("append").parquet(folder)
+        spark.createDataFrame([(start + timedelta(hours=now),)], "at timestamp").coalesce(1).write.mode("append").parquet(clock)
+        due = feeds.purges_due(feeds.table_stream(spark, folder, "*.parquet"), feeds.table_stream(spark, clock, "*.parquet"))
+        run(due, "append", out)
+        return sorted(r.job_id for r in spark.read.parquet(f"{out}/rows").collect())
+
+    assert step([(1, 2, False), (2, 9, False), (3, 1, True)], 3) == [1]
+    assert step([(4, 1, False), (5, 30, False)], 4) == [1, 4]
+    assert step([(6, 40, False)], 20) == [1, 2, 4]

@@ -515,6 +515,55 @@ def reinspection_hits_kept(t):
     return reinspected(t)[1].groupBy("job_id").agg(F.count("*").alias("n"))
 
 
+# Events as submissions: many of one document within the batch, some of stored documents, some without a full key.
+BATCH = """
+unpurged AS (SELECT * FROM jobs WHERE NOT purged QUALIFY row_number() OVER (PARTITION BY queue, cups_job_id, content_sha256 ORDER BY created_at DESC, job_id DESC) = 1),
+subs AS (SELECT event_id AS submission, 1000000000 + event_id AS job_id, ts AS "at", 'q' || (user_id % 9) AS queue, CASE WHEN event_id % 13 <> 0 THEN (user_id % 97)::VARCHAR END AS cups_job_id,
+    'body-' || (CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'error' THEN 5 ELSE 6 END) AS content_sha256, 'user' || user_id AS username FROM events),
+firsts AS (SELECT queue, cups_job_id, content_sha256, submission AS first_sub, job_id AS first_job FROM subs WHERE cups_job_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY queue, cups_job_id, content_sha256 ORDER BY "at", submission) = 1),
+merged AS (SELECT s.*, coalesce(u.job_id, f.first_job, s.job_id) AS target, u.job_id IS NULL AND coalesce(first_sub, submission) = submission AS makes
+  FROM subs s LEFT JOIN unpurged u USING (queue, cups_job_id, content_sha256) LEFT JOIN firsts f USING (queue, cups_job_id, content_sha256))"""
+
+
+def merged_batch(t):
+    e = F.col("event_type")
+    subs = t.events.select(
+        F.col("event_id").alias("submission"), (F.col("event_id") + 1000000000).alias("job_id"), F.col("ts").alias("at"),
+        F.concat(F.lit("q"), (F.col("user_id") % 9).cast("string")).alias("queue"),
+        F.when(F.col("event_id") % 13 != 0, (F.col("user_id") % 97).cast("string")).alias("cups_job_id"),
+        F.concat(F.lit("body-"), F.when(e == "view", "0").when(e == "click", "1").when(e == "error", "5").otherwise("6")).alias("content_sha256"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"),
+    )
+    jobs = dv.jobs(t).withColumn("purged_at", F.when(F.col("purged"), F.col("created_at")))
+    return lc.merge_submissions(jobs, dv.hits(t).select("job_id", "page"), dv.hits(t), subs)
+
+
+@query(
+    "jobs_after_reinspection",
+    with_(JOBS, BATCH)
+    + """SELECT job_id, queue, cups_job_id, content_sha256, username, CASE WHEN job_id IN (SELECT target FROM merged WHERE NOT makes) THEN 'inspecting' ELSE state END AS state FROM jobs
+UNION ALL SELECT job_id, queue, cups_job_id, content_sha256, username, 'inspecting' FROM merged WHERE makes""",
+)
+def jobs_after_reinspection(t):
+    """The jobs after a batch in which documents come again, some of them several times."""
+    return merged_batch(t).jobs.select("job_id", "queue", "cups_job_id", "content_sha256", "username", "state")
+
+
+@query("reinspection_batch_events", with_(JOBS, BATCH) + "SELECT target AS job_id, submission, 'CUPS re-ran the backend for this job' AS detail FROM merged WHERE NOT makes")
+def reinspection_batch_events(t):
+    return merged_batch(t).events.select("job_id", "submission", "detail")
+
+
+@query(
+    "pages_after_reinspection",
+    with_(JOBS, HITS, BATCH) + "SELECT job_id, count(*) AS pages FROM hits ANTI JOIN (SELECT target AS job_id FROM merged WHERE NOT makes) USING (job_id) GROUP BY job_id",
+)
+def pages_after_reinspection(t):
+    """Stored pages (those of hits stand in for them) after the same batch: old text of repeated jobs is gone."""
+    return merged_batch(t).pages.groupBy("job_id").agg(F.count("*").alias("pages"))
+
+
 @query(
     "preflight",
     with_(JOBS, "cleared AS (SELECT queue, cups_job_id, job_id, verdict_reason FROM jobs WHERE state = 'released_by_analyst' QUALIFY row_number() OVER (PARTITION BY queue, cups_job_id ORDER BY created_at DESC, job_id DESC) = 1)")

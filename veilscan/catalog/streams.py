@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from veilscan.catalog import derived as dv
@@ -10,7 +12,6 @@ from veilscan.catalog import records as rc
 from veilscan.catalog.derived import CORPUS, JOBS, OVERLAP_CTES, STORED_POLICIES, fingerprint_ctes, with_
 from veilscan.catalog.registry import query
 from veilscan.catalog.scan_sql import scan_cte
-from veilscan.operators import lifecycle as lc
 from veilscan.operators import policies as po
 from veilscan.plans import inspect as pl
 from veilscan.session import persist_table, shared_dir
@@ -147,7 +148,7 @@ def stream_lifecycle(t):
     out = shared_dir(t.spark, "lifecycle")
     e, kind = F.col("event_id"), F.col("event_type")
     stream = feeds.table_stream(t.spark, t.folder, "events.parquet").select(
-        F.col("user_id").alias("job_id"), F.col("ts").alias("at"), "event_id",
+        F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("at"), "event_id",
         F.when(kind == "signup", F.when(e % 4 == 0, "allow").when(e % 4 == 1, "log").when(e % 4 == 2, "hold").otherwise("block"))
         .when(kind == "view", "release").when(kind == "click", "deny").when(kind == "error", "flag").otherwise("read").alias("kind"),
     )
@@ -161,12 +162,15 @@ def stream_lifecycle(t):
 
 @query("stream_retention", with_(JOBS, rc.ARCHIVED) + f"SELECT job_id FROM archived WHERE NOT purged AND purge_after < TIMESTAMP '{rc.NOW}'")
 def stream_retention(t):
-    """The retention run as a triggered job over arriving orders."""
-    out = shared_dir(t.spark, "retention")
-
-    def purge_now():
-        gone = lc.purge(rc.archived(t), F.lit(rc.NOW).cast("timestamp_ntz"), limit=None)[1]
-        gone.write.mode("overwrite").parquet(f"{out}/gone")
-
-    finished(feeds.retention_feed(feeds.table_stream(t.spark, t.folder, "orders.parquet"), purge_now, f"{out}/checkpoint"))
-    return t.spark.read.parquet(f"{out}/gone")
+    """Deadlines of arriving orders as timers, fired by a clock; each trigger reads what has arrived."""
+    out, spark = shared_dir(t.spark, "retention"), t.spark
+    spark.range(1).select(F.lit(rc.NOW).cast("timestamp").alias("at")).write.parquet(f"{out}/clock")
+    arriving = SimpleNamespace(orders=feeds.table_stream(spark, t.folder, "orders.parquet"))
+    jobs = rc.archived(arriving).select(
+        "job_id", F.col("purge_after").cast("timestamp").alias("purge_after"), F.col("purged_at").isNotNull().alias("purged"))
+    clock = spark.readStream.schema("at timestamp").parquet(f"{out}/clock")
+    finished(
+        feeds.purges_due(jobs, clock).writeStream.format("parquet").option("path", f"{out}/gone")
+        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    )
+    return spark.read.schema("job_id bigint, purge_after timestamp").parquet(f"{out}/gone").select("job_id")

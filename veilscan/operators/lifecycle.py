@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -64,6 +66,9 @@ def newest_per(jobs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     ).select(*keys, "row.*")
 
 
+# Fixed value: what the event of a repeated submission says.
+REINSPECTED = "CUPS re-ran the backend for this job"
+
 SAME_DOCUMENT = ["queue", "cups_job_id", "content_sha256"]
 
 
@@ -84,6 +89,54 @@ def reinspect(jobs: DataFrame, hits: DataFrame, submissions: DataFrame) -> tuple
     return routed, kept, events
 
 
+@dataclass
+class Merged:
+    """Tables after a batch of submissions: all jobs, pages and hits still stored, events written."""
+
+    jobs: DataFrame
+    pages: DataFrame
+    hits: DataFrame
+    events: DataFrame
+    targets: DataFrame  # submission, job_id it is inspected under, whether that job was there before
+
+
+def merge_submissions(jobs: DataFrame, pages: DataFrame, hits: DataFrame, submissions: DataFrame) -> Merged:
+    """A batch of ``submissions(submission, job_id, at, queue, cups_job_id, content_sha256, ...)`` merged into
+    the stored tables; ``job_id`` is the id a submission gets if it becomes a job of its own.
+
+    Submissions of one document go to one job: the newest unpurged stored one, else the job of the first
+    of them in the batch. Such a job is under inspection again, its pages and hits are gone, and every
+    submission that did not make its job leaves a ``reinspected`` event. A document without a full key is
+    like no other. Only keys and ids are shuffled; text is left where it is but for the join that drops it.
+    """
+    stored = newest_per(
+        jobs.filter("purged_at is null").select(*SAME_DOCUMENT, F.col("job_id").alias("stored_id"), "created_at"),
+        SAME_DOCUMENT, ["created_at", "stored_id"],
+    ).drop("created_at")
+    first = submissions.groupBy(*SAME_DOCUMENT).agg(
+        F.min_by(F.struct("submission", "job_id"), F.struct("at", "submission")).alias("first"))
+    routed = submissions.join(stored, SAME_DOCUMENT, "left").join(first, SAME_DOCUMENT, "left").withColumn(
+        "target", F.coalesce("stored_id", "first.job_id", "job_id"))
+    makes = F.col("stored_id").isNull() & (F.coalesce("first.submission", "submission") == F.col("submission"))
+    routed = routed.withColumn("makes", makes)
+    again = routed.filter("not makes").select(F.col("target").alias("job_id"))
+    known = again.distinct()
+    kept = [c for c in jobs.columns if c in submissions.columns and c != "state"]
+    empty = [c for c in jobs.columns if c not in kept and c != "state"]
+    new = routed.filter("makes").select(
+        *kept, F.lit("inspecting").alias("state"), *[F.lit(None).cast(jobs.schema[c].dataType).alias(c) for c in empty]
+    )
+    after = jobs.join(known.withColumn("again", F.lit(True)), "job_id", "left").withColumn(
+        "state", F.when(F.col("again"), "inspecting").otherwise(F.col("state"))
+    ).select(jobs.columns).unionByName(new)
+    events = routed.filter("not makes").select(
+        F.col("target").alias("job_id"), "submission", "at", F.lit("reinspected").alias("kind"), F.lit(REINSPECTED).alias("detail"))
+    return Merged(
+        after, pages.join(known, "job_id", "left_anti"), hits.join(known, "job_id", "left_anti"), events,
+        routed.select("submission", F.col("target").alias("job_id"), (~F.col("makes")).alias("known")),
+    )
+
+
 def preflight(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     """Whether an analyst already released this very job, with the newest such reason."""
     cleared = newest_per(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,31 +112,62 @@ def next_state(state: str, kind: str) -> str:
     return state
 
 
-def lifecycle_states(events: DataFrame) -> DataFrame:
-    """Current state per job over a stream of ``(job_id, at, event_id, kind)``: one updated
-    row per job and batch. State per job is one word and a counter."""
+#: All states a job can be in; a kind of event is a map over them, and maps chain to maps.
+STATES = ("inspecting", "released", "held", "blocked", "released_by_analyst", "denied_by_analyst", "failed_open", "released_then_flagged")
+
+
+def chained(kinds: Iterable[str]) -> tuple[int, ...]:
+    """What a sequence of events does to each state, as places in ``STATES``."""
+    now = list(STATES)
+    for kind in kinds:
+        now = [next_state(s, kind) for s in now]
+    return tuple(STATES.index(s) for s in now)
+
+
+def lifecycle_states(events: DataFrame, delay: str = "1 hour", idle_ms: int = 30 * 24 * 3600 * 1000) -> DataFrame:
+    """State per job over a stream of ``(job_id, at timestamp, event_id, kind)``: a row per job and batch,
+    with the events counted so far and the latest time applied.
+
+    Events may come in any order within ``delay``. They wait in the job's state until the watermark has
+    passed them and are then applied in the order of (at, event_id), so the result does not depend on how
+    the stream is cut into batches. Once all of a job's events are applied its state is one word, a counter
+    and a time, dropped after ``idle_ms`` without events; an event that comes back later than that finds a
+    row it has already written and counts anew. Before the watermark moves at the end of a finished stream
+    the events still waiting are shown as if applied (``settled`` is false): the last row is the state by
+    all events seen.
+    """
 
     def advance(key: tuple, parts: Iterable, state: GroupState) -> Iterator:
         import pandas as pd
 
-        word, seen = state.get if state.exists else ("inspecting", 0)
-        rows = sorted(
-            (row for part in parts for row in zip(part["at"], part["event_id"], part["kind"]))
-        )
-        for _, _, kind in rows:
-            word, seen = next_state(word, kind), seen + 1
-        state.update((word, seen))
-        yield pd.DataFrame({"job_id": [key[0]], "state": [word], "events": [seen]})
-
-    return events.groupBy("job_id").applyInPandasWithState(
-        advance, "job_id bigint, state string, events bigint", "state string, events bigint",
-        "update", GroupStateTimeout.NoTimeout,
+        if state.hasTimedOut and not json.loads(state.get[2]):
+            state.remove()
+            return
+        word, seen, waiting, last = state.get if state.exists else ("inspecting", 0, "[]", 0)
+        rows = json.loads(waiting)
+        if not state.hasTimedOut:
+            for part in parts:
+                rows += [[int(at.value // 1000), int(n), kind] for at, n, kind in zip(part["at"], part["event_id"], part["kind"])]
+        rows.sort()
+        mark = state.getCurrentWatermarkMs()
+        ripe = [r for r in rows if r[0] // 1000 < mark]
+        rows = rows[len(ripe):]
+        if ripe:
+            word, seen, last = STATES[chained(r[2] for r in ripe)[STATES.index(word)]], seen + len(ripe), max(last, ripe[-1][0])
+        state.update((word, seen, json.dumps(rows), last))
+        state.setTimeoutTimestamp(max(mark + 1, (rows[0][0] // 1000 + 1) if rows else last // 1000 + idle_ms))
+        shown = STATES[chained(r[2] for r in rows)[STATES.index(word)]]
+        yield pd.DataFrame({"job_id": [key[0]], "state": [shown], "events": [seen + len(rows)], "settled": [not rows]})
+
+    return events.withWatermark("at", delay).groupBy("job_id").applyInPandasWithState(
+        advance, "job_id bigint, state string, events bigint, settled boolean", "state string, events bigint, waiting string, last bigint",
+        "update", GroupStateTimeout.EventTimeTimeout,
     )
 
 
 def latest_states(updates: DataFrame) -> DataFrame:
     """Final state per job out of the update rows a lifecycle stream has written."""
-    return updates.groupBy("job_id").agg(F.max_by("state", "events").alias("state"), F.max("events").alias("events"))
+    return updates.groupBy("job_id").agg(F.max_by("state", F.struct("events", "settled")).alias("state"), F.max("events").alias("events"))
 
 
 def deferred_feed(
@@ -146,9 +178,41 @@ def deferred_feed(
     return start(pending, lambda batch, n: write_batch(step(batch), out, n), checkpoint, available_now)
 
 
-def retention_feed(
-    ticks: DataFrame, purge_now: Callable[[], None], checkpoint: str, every: str | None = None
-) -> StreamingQuery:
-    """Run ``purge_now`` once per trigger of ``ticks``."""
-    writer = ticks.writeStream.foreachBatch(lambda _batch, _n: purge_now()).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+def purges_due(jobs: DataFrame, clock: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Ids of ``jobs(job_id, purge_after timestamp, purged)`` whose deadline the watermark of ``clock(at
+    timestamp)`` has passed, each once, as a stream of (job_id, purge_after).
+
+    A job's deadline is a timer in its state: a batch reads the jobs that arrive in it and nothing that
+    came before, and a job leaves its state when its timer fires. Clock rows carry no job. A job that was
+    purged before has no timer.
+    """
+
+    def wait(key: tuple, parts: Iterable, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        if state.hasTimedOut:
+            due = state.get[0]
+            state.remove()
+            yield pd.DataFrame({"job_id": [key[0]], "purge_after": [pd.Timestamp(due * 1000)]})
+            return
+        due = state.get[0] if state.exists else None
+        for part in parts:
+            times = [int(x.value // 1000) for x in part["due"].dropna()]
+            due = min([*times, *([due] if due is not None else [])], default=None)
+        if due is None:
+            return
+        if due // 1000 < state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"job_id": [key[0]], "purge_after": [pd.Timestamp(due * 1000)]})
+            return
+        state.update((due,))
+        state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs() + 1))
+
+    ticks = clock.select("at", F.lit(None).cast("bigint").alias("job_id"), F.lit(None).cast("timestamp").alias("due"))
+    # Without a time of their own, jobs neither move the watermark nor come too late for it.
+    timers = jobs.filter("not purged").select(F.lit(None).cast("timestamp").alias("at"), "job_id", F.col("purge_after").alias("due"))
+    both = ticks.union(timers).withWatermark("at", delay)
+    return both.groupBy("job_id").applyInPandasWithState(
+        wait, "job_id bigint, purge_after timestamp", "due bigint", "append", GroupStateTimeout.EventTimeTimeout,
+    )
