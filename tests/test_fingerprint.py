@@ -202,3 +202,11 @@ def test_copy_groups(spark):
     registered = spark.createDataFrame([(7, "a"), (8, "a"), (9, "c")], "document_id bigint, text string").select(
         "document_id", tx.digest(F.col("text")).alias("exact_sha256"), F.lit(True).alias("enabled"))
     assert [tuple(r)[1:] for r in fp.copy_groups(docs, registered).collect()] == [(1, 2, 7, 2)]
+
+
+def test_no_text_is_shuffled_for_paged_prints(spark):
+    pages = spark.createDataFrame([(1, 1, "a b c"), (1, 2, "d e f g h i j k")], "job_id bigint, page int, text string")
+    plan = fp.paged_prints(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in plan  # the pages were read once and written as words and prints
+    parts = fp.page_parts(pages, 5, 4, "md5")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in parts

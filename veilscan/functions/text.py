@@ -79,6 +79,11 @@ HASHES = {"md5": md5_63, "xxhash64": xx_63}
 
 def shingle_hashes(text: Column, k: int = SHINGLE_WORDS, hashing: str = "md5") -> Column:
     """Hash of every run of ``k`` words; a shorter text has one shingle, an empty one none."""
+    return let(words(text), lambda ws: word_shingles(ws, k, hashing))
+
+
+def word_shingles(ws: Column, k: int = SHINGLE_WORDS, hashing: str = "md5") -> Column:
+    """The same of an array of words, which is used several times."""
     hashed = HASHES[hashing]
 
     def rolled(ws: Column) -> Column:
@@ -91,7 +96,7 @@ def shingle_hashes(text: Column, k: int = SHINGLE_WORDS, hashing: str = "md5") -
             ),
         ).otherwise(F.array().cast("array<bigint>"))
 
-    return let(words(text), rolled)
+    return rolled(ws)
 
 
 def paired_with(hop: int):

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from veilscan.constants import CONTAINMENT_THRESHOLD, SHINGLE_WORDS, WINNOW_WINDOW
 from veilscan.functions import text as tx
-from veilscan.functions.core import unnest
+from veilscan.functions.core import let, unnest
 from veilscan.operators.set_overlap import HOT_PAIRS, Overlaps
 from veilscan.operators.set_overlap import overlaps as set_overlaps
 from veilscan.session import persist_table
@@ -44,19 +44,33 @@ def fingerprint_rows(docs: DataFrame, hashing: str = "md5") -> DataFrame:
 PAGE_GROUP = 1024
 
 
-def following_words(pages: DataFrame, count: int) -> DataFrame:
-    """(job_id, page, head, after): the first ``count`` words of each page that has words, and
-    the first ``count - 1`` words that come after it in its job.
+def page_parts(pages: DataFrame, k: int, window: int, hashing: str) -> DataFrame:
+    """(job_id, page, n, head, tail, inside): what of a page its job's fingerprint needs, in one pass over
+    the text: number of words, the first words (one full window), the last (one less), and the prints of
+    the windows that lie within the page."""
+    span = k + window - 1
+
+    def parts(ws: Column) -> Column:
+        n = F.size(ws)
+        return F.struct(
+            n.alias("n"), F.slice(ws, F.lit(1), F.lit(span)).alias("head"),
+            F.slice(ws, F.greatest(n - span + 2, F.lit(1)), F.lit(span - 1)).alias("tail"),
+            F.when(n >= span, tx.winnow(tx.word_shingles(ws, k, hashing), window)).alias("inside"),
+        )
+
+    return pages.select("job_id", "page", let(tx.words(F.col("text")), parts).alias("p")).select("job_id", "page", "p.*")
+
+
+def following_words(parts: DataFrame, count: int) -> DataFrame:
+    """(job_id, page, head, tail, after): pages that have words, and the first ``count - 1`` words that come
+    after each in its job.
 
     Pages of a job are numbered over fixed-size groups, and the first few of each group are
     also handed to the group before. So no task ever holds a whole job, however large it is,
     and only a few words per page move.
     """
     size = max(PAGE_GROUP, count)
-    heads = pages.filter(tx.has_words(F.col("text"))).select(
-        "job_id", "page", tx.first_words(F.col("text"), count).alias("head"),
-        F.floor(F.col("page") / size).alias("part"),
-    )
+    heads = parts.filter("n > 0").select("job_id", "page", "head", "tail", F.floor(F.col("page") / size).alias("part"))
     before = heads.groupBy("job_id", "part").agg(F.count("*").alias("n")).withColumn(
         "before", F.sum("n").over(W.partitionBy("job_id").orderBy("part")) - F.col("n")
     ).drop("n")
@@ -65,11 +79,11 @@ def following_words(pages: DataFrame, count: int) -> DataFrame:
     )
     group = F.floor(F.col("at") / size)
     handed = F.when((F.col("at") % size < count) & (group > 0), F.array(group, group - 1)).otherwise(F.array(group))
-    placed = numbered.select("job_id", "page", "head", "at", F.explode(handed).alias("group"))
+    placed = numbered.select("job_id", "page", "head", "tail", "at", F.explode(handed).alias("group"))
     ahead = W.partitionBy("job_id", "group").orderBy("at").rowsBetween(1, count)
     return placed.withColumn(
         "after", F.slice(F.flatten(F.collect_list("head").over(ahead)), 1, count - 1)
-    ).filter(F.col("group") == group).select("job_id", "page", "head", "after")
+    ).filter(F.col("group") == group).select("job_id", "page", "head", "tail", "after")
 
 
 def paged_prints(
@@ -77,25 +91,27 @@ def paged_prints(
 ) -> DataFrame:
     """Distinct (job_id, h) of jobs of many pages; shingles cross page breaks.
 
-    A page plus the few words after it yields exactly the windows that start on it, so the
-    text of a job is never put together. Jobs with fewer words than one full window are put
-    together, which is at most that many words.
+    Windows within a page are made in its row. A window that begins on a page and ends behind it lies in
+    the last words of the page and the first that follow, one word short of a window each, so these words
+    are all that moves. Jobs with fewer words than one full window are put together, which is at most that
+    many words.
     """
     span = k + window - 1
-    ahead = following_words(pages, span)
-    tiny = ahead.groupBy("job_id").agg(F.sum(F.size("head")).alias("words")).filter(F.col("words") < span).select("job_id")
-    full = F.concat_ws(" ", "text", F.array_join("after", " "))
-    pieces = pages.join(ahead.select("job_id", "page", "after"), ["job_id", "page"]).select(
-        "job_id", full.alias("text")
-    ).filter(tx.has_at_least(F.col("text"), span))
-    small = ahead.join(tiny, "job_id", "left_semi").groupBy("job_id").agg(
-        F.array_join(
-            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", "head"))), lambda p: p["head"])), " "
-        ).alias("text")
+    parts = persist_table(page_parts(pages, k, window, hashing), "page-parts")
+    ahead = following_words(parts, span)
+
+    def prints(ws: Column) -> Column:
+        return let(ws, lambda x: tx.winnow(tx.word_shingles(x, k, hashing), window))
+
+    inside = unnest(parts.filter("inside is not null"), F.col("inside"), "h", ("job_id",))
+    across = unnest(
+        ahead.select("job_id", F.concat("tail", "after").alias("ws")).filter(F.size("ws") >= span), prints(F.col("ws")), "h", ("job_id",)
+    )
+    tiny = parts.groupBy("job_id").agg(F.sum("n").alias("words")).filter(F.col("words").between(1, span - 1)).select("job_id")
+    short = parts.filter("n > 0").join(tiny, "job_id", "left_semi").groupBy("job_id").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", "head"))), lambda p: p["head"])).alias("ws")
     )
-    return unnest(
-        pieces.unionByName(small), tx.fingerprint(F.col("text"), k, window, hashing), "h", ("job_id",)
-    ).distinct()
+    return inside.unionByName(across).unionByName(unnest(short, prints(F.col("ws")), "h", ("job_id",))).distinct()
 
 
 def sizes(prints: DataFrame) -> DataFrame:

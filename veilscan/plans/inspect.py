@@ -128,7 +128,9 @@ def deferred(
     if corpus is None:
         best = None
     else:
-        again = after.join(looked.select("job_id"), "job_id", "left_semi")
+        # Only jobs with a thin page are looked at again: their pages are chosen before anything is joined.
+        mine = pages.select("job_id", "page", "text").join(looked.select("job_id"), "job_id", "left_semi")
+        again = lc.recognised_pages(mine, usable)
         texts = again.select("job_id", "text") if single_page else again
         best = ev.decide_corpus(corpus_matches(texts, corpus.registered, corpus.fingerprints))
     known = jobs.select("job_id", "state", "action", "score", "reason").join(looked, "job_id", "left")
