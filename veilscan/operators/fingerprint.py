@@ -48,6 +48,10 @@ def page_parts(pages: DataFrame, k: int, window: int, hashing: str) -> DataFrame
     """(job_id, page, n, head, tail, inside): what of a page its job's fingerprint needs, in one pass over
     the text: number of words, the first words (one full window), the last (one less), and the prints of
     the windows that lie within the page."""
+    return pages.select("job_id", "page", parts_of(F.col("text"), k, window, hashing).alias("p")).select("job_id", "page", "p.*")
+
+
+def parts_of(text: Column, k: int = SHINGLE_WORDS, window: int = WINNOW_WINDOW, hashing: str = "md5") -> Column:
     span = k + window - 1
 
     def parts(ws: Column) -> Column:
@@ -58,7 +62,7 @@ def page_parts(pages: DataFrame, k: int, window: int, hashing: str) -> DataFrame
             F.when(n >= span, tx.winnow(tx.word_shingles(ws, k, hashing), window)).alias("inside"),
         )
 
-    return pages.select("job_id", "page", let(tx.words(F.col("text")), parts).alias("p")).select("job_id", "page", "p.*")
+    return let(tx.words(text), parts)
 
 
 def following_words(parts: DataFrame, count: int) -> DataFrame:
@@ -96,8 +100,14 @@ def paged_prints(
     are all that moves. Jobs with fewer words than one full window are put together, which is at most that
     many words.
     """
+    return joined_parts(persist_table(page_parts(pages, k, window, hashing), "page-parts"), k, window, hashing)
+
+
+def joined_parts(
+    parts: DataFrame, k: int = SHINGLE_WORDS, window: int = WINNOW_WINDOW, hashing: str = "md5"
+) -> DataFrame:
+    """The prints of jobs from the parts of their pages, which are read several times."""
     span = k + window - 1
-    parts = persist_table(page_parts(pages, k, window, hashing), "page-parts")
     ahead = following_words(parts, span)
 
     def prints(ws: Column) -> Column:
@@ -177,11 +187,11 @@ def print_rows(docs: DataFrame, hashing: str) -> DataFrame:
 
 
 def class_overlaps(
-    docs: DataFrame, fingerprints: DataFrame, registered: DataFrame, threshold: float = 0.0, hashing: str = "md5",
-    hot_pairs: int = HOT_PAIRS,
+    prints: DataFrame, fingerprints: DataFrame, registered: DataFrame, threshold: float = 0.0, hot_pairs: int = HOT_PAIRS,
 ) -> Overlaps:
-    """Overlaps of classes of equal fingerprint sets, texts on the left, registered documents on the right."""
-    prints = persist_table(print_rows(docs, hashing).select(F.col("job_id").alias("id"), "h"), "prints")
+    """Overlaps of classes of equal fingerprint sets: those of ``prints(job_id, h)`` on the left, registered
+    documents on the right."""
+    prints = persist_table(prints.select(F.col("job_id").alias("id"), "h"), "prints")
     corpus = persist_table(enabled_corpus(fingerprints, registered).withColumnRenamed("document_id", "id"), "corpus")
     return set_overlaps(prints, corpus, threshold, hot_pairs)
 
@@ -198,7 +208,7 @@ def members(found: Overlaps) -> DataFrame:
 
 def overlaps(docs: DataFrame, fingerprints: DataFrame, registered: DataFrame, hashing: str = "md5") -> DataFrame:
     """Shared fingerprints of all pairs that share any: (job_id, document_id, overlap, query_n, reference_n)."""
-    return members(class_overlaps(docs, fingerprints, registered, hashing=hashing))
+    return members(class_overlaps(print_rows(docs, hashing), fingerprints, registered))
 
 
 def corpus_matches(
@@ -206,7 +216,15 @@ def corpus_matches(
     threshold: float = CONTAINMENT_THRESHOLD, hashing: str = "md5", hot_pairs: int = HOT_PAIRS,
 ) -> DataFrame:
     """Registered documents each text is contained in, or contains, at ``threshold`` or more."""
-    found = members(class_overlaps(docs, fingerprints, registered, threshold, hashing, hot_pairs))
+    return matches_of_prints(print_rows(docs, hashing), registered, fingerprints, threshold, hot_pairs)
+
+
+def matches_of_prints(
+    prints: DataFrame, registered: DataFrame, fingerprints: DataFrame, threshold: float = CONTAINMENT_THRESHOLD,
+    hot_pairs: int = HOT_PAIRS,
+) -> DataFrame:
+    """The same of texts whose ``prints(job_id, h)`` are known."""
+    found = members(class_overlaps(prints, fingerprints, registered, threshold, hot_pairs))
     found = found.withColumn("ratio", containment(F.col("overlap"), F.col("query_n"), F.col("reference_n")))
     return found.filter(F.col("ratio") >= F.lit(threshold)).join(
         registered.select("document_id", F.col("name").alias("document_name"), "severity", "action"), "document_id"
@@ -219,7 +237,7 @@ def match_classes(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Matches without their copies: (one row per pair of classes with the members on both sides counted,
     the class of each text, the class of each registered document)."""
-    found = class_overlaps(docs, fingerprints, registered, threshold, hashing)
+    found = class_overlaps(print_rows(docs, hashing), fingerprints, registered, threshold)
     jobs = found.left.groupBy("class").agg(F.count("*").alias("jobs")).withColumnRenamed("class", "left")
     documents = found.right.groupBy("class").agg(F.count("*").alias("documents")).withColumnRenamed("class", "right")
     pairs = found.pairs.join(jobs, "left").join(documents, "right").select(

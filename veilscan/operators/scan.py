@@ -203,7 +203,9 @@ def scan_pages(
     ``tags`` names a column with the tags a page is scanned for, ``only`` a column with the
     one rule id to try. Both are decided per row before any pattern runs.
     """
-    return (
-        unnest(pages, page_hits(pages, rules, tags, only), "hit", keep)
-        .select(*keep, *[F.col(f"hit.{c}") for c in HIT_COLUMNS], F.lit(tier).alias("tier"))
-    )
+    return hit_rows(pages, page_hits(pages, rules, tags, only), tier, keep)
+
+
+def hit_rows(pages: DataFrame, found: Column, tier: str = "text", keep: Sequence[str] = ("job_id", "page")) -> DataFrame:
+    """One row per hit of an array of them."""
+    return unnest(pages, found, "hit", keep).select(*keep, *[F.col(f"hit.{c}") for c in HIT_COLUMNS], F.lit(tier).alias("tier"))

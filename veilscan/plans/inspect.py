@@ -1,4 +1,4 @@
-"""Document in, verdict out: the batch pipeline as one lazy graph.
+"""Document in, verdict out: the batch pipeline, one pass over the text and one lazy graph behind it.
 
 documents -> pages -> rule hits and fingerprint matches -> merged with the queue's policy
 -> verdict, evidence rows, events, alert lines.
@@ -12,12 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.functions.core import two_decimals
-from veilscan.functions.text import is_thin
+from veilscan.functions.core import two_decimals, unnest
+from veilscan.functions.text import fingerprint, is_thin
 from veilscan.operators import evidence as ev
 from veilscan.operators import lifecycle as lc
-from veilscan.operators.fingerprint import corpus_matches
-from veilscan.operators.scan import page_hits, scan_pages
+from veilscan.operators.fingerprint import corpus_matches, joined_parts, matches_of_prints, parts_of
+from veilscan.operators.scan import hit_rows, page_hits, scan_pages
+from veilscan.session import persist_table
 from veilscan.sources.rules import Rule
 
 
@@ -38,11 +39,14 @@ class Inspection:
 
 def page_facts(pages: DataFrame) -> DataFrame:
     """Per job: pages, characters and thin pages, counted where the pages are read."""
-    carried = [F.any_value("policy").alias("policy")] if "policy" in pages.columns else []
-    return pages.select(
-        *[c for c in pages.columns if c in ("job_id", "policy")],
-        F.length("text").alias("chars"), is_thin(F.col("text")).alias("thin"),
-    ).groupBy("job_id").agg(
+    carried = [c for c in pages.columns if c in ("job_id", "policy")]
+    return job_facts(pages.select(*carried, F.length("text").alias("chars"), is_thin(F.col("text")).alias("thin")))
+
+
+def job_facts(read: DataFrame) -> DataFrame:
+    """The same from pages whose characters are counted and judged."""
+    carried = [F.any_value("policy").alias("policy")] if "policy" in read.columns else []
+    return read.groupBy("job_id").agg(
         F.count("*").alias("page_count"),
         F.sum("chars").alias("chars"),
         F.count_if("thin").alias("pages_without_text"),
@@ -61,25 +65,35 @@ def inspect(
 ) -> Inspection:
     """Verdicts for ``pages(job_id, page, text, policy)``.
 
-    ``policy`` comes from a lookup by queue, so pages are not shuffled to get it.
-    ``single_page`` says that every job is one page: its facts, hits and rule decision are
-    then made in its own row, and no text and no hit is shuffled.
+    ``policy`` comes from a lookup by queue, so pages are not shuffled to get it. One pass over the text
+    yields everything that is asked of it: hits, characters, whether a page is thin, and fingerprints
+    (of pages: the parts they are joined from). That is written, and all results come from there.
+    ``single_page`` says that every job is one page: its facts, hits and rule decision then stay in its
+    row, and no hit is shuffled.
     """
     tagged = pages.withColumn("tags", F.col("policy.rule_tags"))
-    hits = scan_pages(tagged, rules, tags="tags")
-    texts = pages.select("job_id", "text") if single_page else pages.select("job_id", "page", "text")
-    matches = no_matches(pages.sparkSession) if corpus is None else corpus_matches(texts, corpus.registered, corpus.fingerprints)
+    prints = [] if corpus is None else [
+        (fingerprint(F.col("text")) if single_page else parts_of(F.col("text"))).alias("prints")]
+    read = persist_table(tagged.select(
+        "job_id", "page", "policy", page_hits(tagged, rules, tags="tags").alias("found"),
+        F.length("text").cast("bigint").alias("chars"), is_thin(F.col("text")).alias("thin"), *prints,
+    ), "inspected-pages")
+    hits = hit_rows(read, F.col("found"))
+    if corpus is None:
+        matches = no_matches(pages.sparkSession)
+    else:
+        rows = (unnest(read, F.col("prints"), "h", ("job_id",)) if single_page
+                else joined_parts(read.select("job_id", "page", "prints.*")))
+        matches = matches_of_prints(rows, corpus.registered, corpus.fingerprints)
     if single_page:
-        rows = tagged.select(
-            "job_id", F.struct("policy.deep_scan_required").alias("policy"),
-            F.lit(1).cast("bigint").alias("page_count"),
-            F.length("text").cast("bigint").alias("chars"),
-            is_thin(F.col("text")).cast("bigint").alias("pages_without_text"),
-            F.transform(page_hits(tagged, rules, tags="tags"), lambda h: h.withField("page", F.lit(1))).alias("found"),
+        rows = read.select(
+            "job_id", F.struct("policy.deep_scan_required").alias("policy"), F.lit(1).cast("bigint").alias("page_count"),
+            "chars", F.col("thin").cast("bigint").alias("pages_without_text"),
+            F.transform("found", lambda h: h.withField("page", F.lit(1))).alias("found"),
         )
         judged = ev.decide_in_row(rows, "found", ("job_id", "policy", "page_count", "chars", "pages_without_text"))
     else:
-        judged = page_facts(pages).join(ev.decide_rules(hits), "job_id", "left")
+        judged = job_facts(read).join(ev.decide_rules(hits), "job_id", "left")
     verdicts, events = finish(ev.merged(judged, ev.decide_corpus(matches)))
     return Inspection(hits, matches, ev.evidence(hits, matches), verdicts, events)
 

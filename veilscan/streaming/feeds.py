@@ -67,25 +67,17 @@ def inspection_feed(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         rows = shape(batch) if shape else batch
-        rows.persist()
-        try:
-            result = inspect(
-                with_policy(rows).select("job_id", "page", "text", "policy"), rules(), corpus, single_page=True
-            )
-            write_batch(result.verdicts, f"{out}/verdicts", batch_id)
-            write_batch(result.evidence, f"{out}/evidence", batch_id)
-            done = batch.sparkSession.read.parquet(f"{out}/verdicts/batch={batch_id}")
-            write_batch(
-                done.filter("scan_tier = 'ocr_pending'").select("job_id"), f"{out}/pending", batch_id
-            )
-            if alert_host is not None:
-                stored = batch.sparkSession.read.parquet(f"{out}/evidence/batch={batch_id}")
-                meta = rows.select("job_id", "username", "hostname", "queue", "title", "byte_size", "content_sha256",
-                                   "inline_ms", "created_at", "alert_at")
-                lines = alert_lines(meta.join(done, "job_id"), stored, alert_host)
-                lines.select("line").write.mode("overwrite").text(f"{out}/alerts/batch={batch_id}")
-        finally:
-            rows.unpersist()
+        result = inspect(with_policy(rows).select("job_id", "page", "text", "policy"), rules(), corpus, single_page=True)
+        write_batch(result.verdicts, f"{out}/verdicts", batch_id)
+        write_batch(result.evidence, f"{out}/evidence", batch_id)
+        done = batch.sparkSession.read.parquet(f"{out}/verdicts/batch={batch_id}")
+        write_batch(done.filter("scan_tier = 'ocr_pending'").select("job_id"), f"{out}/pending", batch_id)
+        if alert_host is not None:
+            stored = batch.sparkSession.read.parquet(f"{out}/evidence/batch={batch_id}")
+            meta = rows.select("job_id", "username", "hostname", "queue", "title", "byte_size", "content_sha256",
+                               "inline_ms", "created_at", "alert_at")
+            lines = alert_lines(meta.join(done, "job_id"), stored, alert_host)
+            lines.select("line").write.mode("overwrite").text(f"{out}/alerts/batch={batch_id}")
 
     return start(pages, step, checkpoint, available_now)
 
