@@ -306,12 +306,12 @@ def try_candidate_rule(t):
 FIXTURES = """
 fixtures AS (
   SELECT CASE job_id % 3 WHEN 0 THEN 'pan-loose' WHEN 1 THEN 'us-ssn' ELSE 'generic-secret-assignment' END AS rule_id,
-    CASE WHEN custkey % 2 = 0 THEN 'positive' ELSE 'negative' END AS kind, text, job_id, 1 AS page FROM planted WHERE custkey % 10 < 3)"""
+    CASE WHEN custkey % 2 = 0 THEN 'positive' ELSE 'negative' END AS kind, text, job_id, 1 AS page FROM planted)"""
 
 
 def planted_fixtures(t):
     k, c = F.col("job_id"), F.col("custkey")
-    return dv.planted(t).filter(c % 10 < 3).select(
+    return dv.planted(t).select(
         F.when(k % 3 == 0, "pan-loose").when(k % 3 == 1, "us-ssn").otherwise("generic-secret-assignment").alias("rule_id"),
         F.when(c % 2 == 0, "positive").otherwise("negative").alias("kind"), "text",
     )
