@@ -13,8 +13,8 @@ tasks are sent is bounded whatever its size. For each block:
 Documents are never shuffled; blocks are chained row by row. Words are compared in lower case
 without punctuation.
 
-Defined results: null or empty text is not contaminated, with score 0 and no items; items without
-words or null items match nothing; among equal scores the smallest item id is the best; items
+Defined results: null or empty text is not contaminated, with score 0 and no items; items of
+fewer than three words, which have no seed and would mark clean text, and null items match nothing; among equal scores the smallest item id is the best; items
 that repeat an id are all compared; an empty table on either side gives no matches; extra columns
 are kept.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from veilscan.llm.tables import table
+from veilscan.llm.tables import set_aside, table
 from veilscan.llm.words import LOWER, Words, pieces
 from veilscan.session import ship_by_value
 
@@ -232,8 +232,10 @@ def matched(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Data
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """Documents without a benchmark item; same columns."""
-    return matched(docs, benchmark, least).where(F.size("items") == 0).select(*docs.columns)
+    """Documents without a benchmark item; same columns, with their values."""
+    apart, restored = set_aside(docs, *[o[0] for o in OUT])
+    found = matched(apart, benchmark, least).where(F.size("items") == 0)
+    return found.select(restored(found))
 
 
 def query(spark, sf_dir):

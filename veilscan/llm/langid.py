@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from veilscan.llm.tables import table
+from veilscan.llm.tables import set_aside, table
 from veilscan.llm.words import LOWER, mix, pieces
 from veilscan.session import ship_by_value
 
@@ -222,9 +222,11 @@ def identify(docs: DataFrame, model: Model, ambiguous: float = 0.02) -> DataFram
 
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Documents in a learned language: ``und`` and ambiguous ones go. Same columns."""
-    found = identify(docs, model or fit(docs))
-    return found.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*docs.columns)
+    """Documents in a learned language: ``und`` and ambiguous ones go. Same columns, with their values."""
+    apart, restored = set_aside(docs, "lang_pred", "score", "ambiguous")
+    found = identify(apart, model or fit(docs))
+    found = found.where((F.col("lang_pred") != "und") & ~F.col("ambiguous"))
+    return found.select(restored(found))
 
 
 def query(spark, sf_dir):

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilscan.llm.links import Forest, close, components, gray_rank
-from veilscan.llm.tables import table, written
+from veilscan.llm.tables import set_aside, table, written
 from veilscan.llm.words import Words, mix, pieces, row_sums
 from veilscan.session import ship_by_value
 
@@ -491,11 +491,12 @@ def cleaned(docs: DataFrame, bits: int = BITS, least: float = SIMILAR) -> DataFr
 
 def deduplicated(docs: DataFrame, bits: int = BITS, least: float = SIMILAR) -> DataFrame:
     """``docs`` with its columns; ``n_chars``, where there is one, follows the text."""
-    found = cleaned(docs, bits, least).drop("_gone")
+    apart, restored = set_aside(docs, "_gone", "_doc", "_row", "_key", "_hash", "_copy", "_all")
+    found = cleaned(apart, bits, least).drop("_gone")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         found = found.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(kind)))
-    return found.select(*docs.columns)
+    return found.select(restored(found))
 
 
 def query(spark, sf_dir):

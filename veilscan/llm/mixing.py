@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilscan.llm.tables import table, text_of, written
+from veilscan.llm.tables import free_name, set_aside, table, text_of, written
 
 LEVELS = ("domain", "lang_leaf", "source_leaf")
 RANGES = 4096
@@ -152,10 +152,12 @@ def mixed(
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mixture: ``docs`` with each row as often as it was taken, and ``epoch``."""
-    columns = [c for c in docs.columns if c != "epoch"]
-    taken = mixed(docs, **options).where("n_copies > 0")
-    return taken.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("epoch"))
+    """The rows of the mixture: ``docs`` with each row as often as it was taken, and ``epoch`` (with
+    underscores in front where ``docs`` has such a column)."""
+    apart, restored = set_aside(docs, *LEVELS, "n_tokens", "n_copies", "_whole", "_last")
+    taken = mixed(apart, **options).where("n_copies > 0")
+    epoch = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias(free_name(docs, "epoch"))
+    return taken.select(*restored(taken), epoch)
 
 
 def query(spark, sf_dir):

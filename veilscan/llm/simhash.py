@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilscan.llm.links import Forest, close, components, gray_rank, gray_rank_column
-from veilscan.llm.tables import table, written
+from veilscan.llm.tables import set_aside, table, written
 from veilscan.session import ship_by_value
 
 ship_by_value(__name__)
@@ -159,6 +159,7 @@ def one_of_each(docs: DataFrame, bits: int = 2) -> DataFrame:
     It is a row of the smallest ``doc_id`` of the group (a null id only where there is no other).
     Only ids that name several rows are looked at again by text.
     """
+    docs, restored = set_aside(docs, "_id", "_print", "_repeated", "_nth")
     found = written(grouped(docs, bits), "grouped")  # a join of its own, so that hot keys are split
     rows = found.groupBy("doc_id", "print", "component_id").agg(F.count(F.lit(1)).alias("n"))
     per_id = Window.partitionBy("doc_id")
@@ -180,7 +181,8 @@ def one_of_each(docs: DataFrame, bits: int = 2) -> DataFrame:
 
     again = again.mapInArrow(with_print, again.schema)
     again = again.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_print").orderBy(F.xxhash64("text"))))
-    return joined.where("not _repeated").select(*docs.columns).union(again.where("_nth = 1").select(*docs.columns))
+    joined, again = joined.where("not _repeated"), again.where("_nth = 1")
+    return joined.select(restored(joined)).union(again.select(restored(again)))
 
 
 def query(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +31,24 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = f"_{wanted}"
     return wanted
+
+
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], list[Column]]]:
+    """``df`` with its columns of these names renamed out of the way of an operator that makes its own, and
+    a function that gives the input's columns, under their own names, from what the operator returns."""
+    wanted = {n.lower() for n in names}
+    taken = {c.lower() for c in df.columns} | wanted
+    away = {}
+    for column in df.columns:
+        if column.lower() in wanted:
+            name = f"_{column}"
+            while name.lower() in taken:
+                name = f"_{name}"
+            taken.add(name.lower())
+            away[column] = name
+    columns = df.columns
+
+    def restored(found: DataFrame) -> list[Column]:
+        return [found[away.get(c, c)].alias(c) for c in columns]
+
+    return df.withColumnsRenamed(away), restored
