@@ -12,6 +12,7 @@ from veilscan.operators import lifecycle as lc
 from veilscan.operators import policies as po
 from veilscan.operators import rule_admin as ra
 from veilscan.operators import scoring as sc
+from veilscan.operators.rank import value_at
 from veilscan.plans import inspect as pl
 from veilscan.sources.documents import load_manifest, load_policies, paged
 from veilscan.sources.rules import Rule
@@ -174,3 +175,23 @@ def test_rule_changes_are_folded_in_the_order_of_time(spark):
     table, outcomes = replayed(stored, log)
     assert {r.id: {"name": r.name, "severity": r.severity, "enabled": r.enabled} for r in after.collect()} == table
     assert sorted((r.at, r.outcome) for r in revisions.collect()) == outcomes
+
+
+def test_value_at_any_rank(spark):
+    rng = random.Random(6)
+    for span in (1, 40, 10**6, 2**62):
+        values = [rng.randrange(-span, span) for _ in range(300)] + [0] * 50
+        df = spark.createDataFrame([(v,) for v in values], "v bigint").repartition(3)
+        for k in (0, 175, 349):
+            assert value_at(df, "v", k, min(values), max(values)) == sorted(values)[k]
+    none = spark.createDataFrame([(None,)], "inline_ms bigint")
+    assert tuple(sc.latency(none).first()) == (None, None)
+
+
+def test_stems_meet_titles_by_the_run_fewest_titles_have(spark):
+    """Every title has the run ``document``, which only one stem has; the newest job wins."""
+    jobs = spark.createDataFrame(
+        [(n, f"document {n:04d} of all", T0 + timedelta(days=n)) for n in range(300)], "job_id int, title string, created_at timestamp")
+    cases = spark.createDataFrame(
+        [("a", "document 0007 of.pdf"), ("b", "document.pdf"), ("c", "no such document.pdf"), ("d", "004.pdf"), ("e", ".pdf")], "name string, file string")
+    assert {r.name: r.job_id for r in sc.match_jobs(cases, jobs).collect()} == {"a": 7, "b": 299, "c": None, "d": 49, "e": 299}

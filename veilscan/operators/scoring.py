@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from veilscan.constants import STOPPED_STATES
 from veilscan.functions.core import unnest
+from veilscan.operators.rank import value_at
 
 GRAM = 8
 
@@ -26,8 +26,9 @@ def match_jobs(expectations: DataFrame, jobs: DataFrame) -> DataFrame:
     """Newest job whose title contains the stem of each expectation's file, if any.
 
     Containment is found by an equi-join: every stem is represented by one of its character
-    runs (its rarest), every title by all of its runs of the same lengths, and the pairs that
-    meet are verified. Only the newest job per stem is kept, already on the map side.
+    runs, the one that the fewest titles have, every title by all of its runs of the same lengths,
+    and the pairs that meet are verified. A run that every title has is thus chosen only for a stem that
+    has no other. Only the newest job per stem is kept, already on the map side.
     """
     stems = expectations.select("name", stem_of(F.col("file")).alias("stem")).distinct().withColumn(
         "g", F.least(F.length("stem"), F.lit(GRAM))
@@ -35,15 +36,15 @@ def match_jobs(expectations: DataFrame, jobs: DataFrame) -> DataFrame:
     runs = stems.select("stem", "g", F.explode(F.sequence(F.lit(1), F.length("stem") - F.col("g") + 1)).alias("p")).select(
         "stem", "g", F.substr("stem", F.col("p"), F.col("g")).alias("run")
     ).distinct()
-    commonness = runs.groupBy("run").agg(F.count("*").alias("stems"))
-    chosen = runs.join(commonness, "run").groupBy("stem", "g").agg(
-        F.min(F.struct("stems", "run")).alias("r")
-    ).select("stem", F.col("r.run").alias("run"))
     # At most GRAM numbers.
     lengths = sorted(row.g for row in stems.select("g").distinct().collect())
     per_length = [runs_of_length(F.col("title"), n) for n in lengths]
     every_run = F.array_distinct(F.flatten(F.array_compact(F.array(*per_length)))) if lengths else F.array().cast("array<string>")
     titles = unnest(jobs, every_run, "run", ("job_id", "title", "created_at"))
+    commonness = titles.select("run").join(runs.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count("*").alias("titles"))
+    chosen = runs.join(commonness, "run", "left").groupBy("stem", "g").agg(
+        F.min(F.struct(F.coalesce("titles", F.lit(0)).alias("titles"), "run")).alias("r")
+    ).select("stem", F.col("r.run").alias("run"))
     newest = titles.join(chosen, "run").filter(F.contains("title", F.col("stem"))).groupBy("stem").agg(
         F.max_by("job_id", F.struct("created_at", "job_id")).alias("job_id")
     )
@@ -82,16 +83,8 @@ def detection_by_tier(judged: DataFrame) -> DataFrame:
 
 
 def latency(jobs: DataFrame) -> DataFrame:
-    """Upper median and maximum of ``inline_ms``.
-
-    The element at position n div 2 is read off a histogram: values are counted where they
-    are, and only the distinct values (milliseconds below the deadline) are put in order.
-    """
-    histogram = jobs.groupBy("inline_ms").agg(F.count("*").alias("n"))
-    running = histogram.withColumns(
-        {"upto": F.sum("n").over(W.orderBy("inline_ms")), "total": F.sum("n").over(W.partitionBy())}
-    )
-    return running.agg(
-        F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("inline_ms"))).alias("median_ms"),
-        F.max("inline_ms").alias("max_ms"),
-    )
+    """Upper median (the element at position n div 2) and maximum of ``inline_ms``; nulls where there is none."""
+    times = jobs.select(F.col("inline_ms").cast("bigint").alias("ms")).filter("ms is not null")
+    n, low, high = times.agg(F.count("*"), F.min("ms"), F.max("ms")).first()
+    median = value_at(times, "ms", n // 2, low, high) if n else None
+    return jobs.sparkSession.createDataFrame([(median, high)], "median_ms bigint, max_ms bigint")
