@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from veilscan.catalog import derived as dv
@@ -10,12 +12,14 @@ from veilscan.catalog.registry import query
 from veilscan.catalog.scan_sql import CHECK_SQL, quoted, scan_cte
 from veilscan.functions import checks
 from veilscan.functions import text as tx
+from veilscan.functions.checks import register_check
 from veilscan.functions.dialect import to_java
 from veilscan.operators import lifecycle as lc
 from veilscan.operators import rule_admin as ra
 from veilscan.operators.scan import scan_pages
+from veilscan.session import shared_dir
 from veilscan.sources.documents import paged
-from veilscan.sources.rules import Rule, rules_table, shipped_rules
+from veilscan.sources.rules import Rule, nested, rules_from_files, rules_table, shipped_rules
 
 RULES = shipped_rules()
 HIT = "job_id, page, rule_id, rule_name, severity, action, count, round(score, 9) AS score, sample, contexts, rule_pos"
@@ -294,6 +298,35 @@ def scan_rules_from_table(t):
     return shown(scan_pages(dv.documents(t), rules_from_table(rules_table(t.spark, RULES))))
 
 
+@query(
+    "scan_rules_from_files",
+    with_("p AS (SELECT doc_id AS job_id, 1 AS page, text FROM documents)", scan_cte("h", RULES, "p")) + f"SELECT {HIT} FROM h",
+)
+def scan_rules_from_files(t):
+    """The pack as files in the shared folder, loaded from there and planned into the same scan."""
+    folder = shared_dir(t.spark, "packs")
+    halves = [[nested(r) for r in RULES[k::2]] for k in (0, 1)]
+    packs = t.spark.createDataFrame([(json.dumps({"rules": half}),) for half in halves], "value string")
+    packs.repartition(2).write.text(folder)
+    return shown(scan_pages(dv.documents(t), rules_from_files(t.spark, folder)))
+
+
+# A check of one's own, as a column function and in SQL.
+register_check("even_length", lambda value: F.length(value) % 2 == 0)
+CHECK_SQL["even_length"] = lambda value: f"length({value}) % 2 = 0"
+OWN_CHECK = Rule("even-word", "Long word of even length", r"\b\w{8,}\b", severity=3, base_confidence=0.4, validator="even_length", validator_weight=0.3,
+                 threshold=0.6, sample_prefix=1, sample_suffix=1)
+
+
+@query(
+    "scan_own_validator",
+    with_("p AS (SELECT doc_id AS job_id, 1 AS page, text FROM documents)", scan_cte("h", [OWN_CHECK], "p")) + f"SELECT {HIT} FROM h",
+)
+def scan_own_validator(t):
+    """A rule whose check was registered by its user."""
+    return shown(scan_pages(dv.documents(t), [OWN_CHECK]))
+
+
 @query(
     "try_candidate_rule",
     with_("p AS (SELECT doc_id AS job_id, 1 AS page, text FROM documents)", scan_cte("h", [CUSTOM[1]], "p"))

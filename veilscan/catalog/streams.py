@@ -72,6 +72,38 @@ def stream_inspection(t):
     return t.spark.read.parquet(f"{out}/verdicts").drop("batch").withColumn("score", F.round("score", 9))
 
 
+LATER_RULES = mt.RULES[::2]
+
+
+@query(
+    "stream_rule_change",
+    with_(
+        "p AS (SELECT doc_id AS job_id, 1 AS page, source AS queue, text FROM documents)", STORED_POLICIES,
+        "tagged AS (SELECT p.*, y.tags FROM p JOIN policies y USING (queue))", "early AS (SELECT * FROM tagged WHERE job_id % 2 = 0)",
+        "late AS (SELECT * FROM tagged WHERE job_id % 2 <> 0)", scan_cte("early_hits", mt.RULES, "early", "tags"), scan_cte("late_hits", LATER_RULES, "late", "tags"),
+        "hits AS (SELECT * FROM early_hits UNION ALL SELECT * FROM late_hits)", "d AS (SELECT job_id, text FROM p)", fingerprint_ctes("d", "job_id", "d"),
+        CORPUS, fingerprint_ctes("corpus", "document_id", "c"), OVERLAP_CTES, mt.RULE_VERDICT, mt.CORPUS_VERDICT, mt.FACTS, mt.MERGED, mt.FINISH,
+    )
+    + "SELECT * FROM verdicts",
+)
+def stream_rule_change(t):
+    """Half of the documents arrive, the rules table changes, the other half arrives: each is judged by the
+    rules in force then."""
+    spark, out = t.spark, shared_dir(t.spark, "rule-change")
+    policies, corpus = stored_policies(t), stored_corpus(t)
+    tables = [rules_table(spark, pack).withColumn("updated_at", F.lit(n)) for n, pack in enumerate((shipped_rules(), LATER_RULES))]
+    now = {"rules": tables[0]}
+    watch = feeds.RuleWatch(lambda: now["rules"])
+    for n, table in enumerate(tables):
+        now["rules"] = table
+        t.documents.filter(F.col("doc_id") % 2 == n).write.mode("append").parquet(f"{out}/documents")
+        finished(feeds.inspection_feed(
+            feeds.table_stream(spark, f"{out}/documents", "*.parquet"), lambda rows: rows.join(policies, "queue"), watch.current,
+            out, f"{out}/checkpoint", corpus, None, plain,
+        ))
+    return spark.read.parquet(f"{out}/verdicts").drop("batch").withColumn("score", F.round("score", 9))
+
+
 @query(
     "stream_alerts",
     with_(*DOCS_WHOLE)

@@ -178,9 +178,27 @@ def load_rules(directory: str) -> list[Rule]:
     return active(entries)
 
 
+def rules_from_files(spark: SparkSession, folder: str) -> list[Rule]:
+    """The same for a folder in any store that Spark reads; files of other endings than ``.yaml`` are JSON.
+    Packs are written by people, so all of their text fits the driver."""
+    files = spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_name").alias("name"), "value")
+    entries = []
+    for name, text in sorted(tuple(r) for r in files.collect()):
+        try:
+            content = _parsed(text, name.endswith(".yaml"))
+            listed = content.get("rules", []) if isinstance(content, dict) else content or []
+            entries.extend(rule_from(entry) for entry in listed)
+        except Exception as err:
+            raise RuleError(f"{name}: {err}") from err
+    return active(entries)
+
+
 def _parse(path: Path):
-    text = path.read_text(encoding="utf-8")
-    if path.suffix == ".json":
+    return _parsed(path.read_text(encoding="utf-8"), path.suffix == ".yaml")
+
+
+def _parsed(text: str, is_yaml: bool):
+    if not is_yaml:
         return json.loads(text)
     try:
         import yaml
