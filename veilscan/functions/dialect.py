@@ -115,7 +115,10 @@ def problems(pattern: str) -> list[str]:
         except re.error as err:
             found.append(f"invalid regular expression: {err}")
         else:
-            if ambiguous(tree.pattern):
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore", FutureWarning)
+                exponential = ambiguous(tree.pattern)
+            if exponential:
                 found.append("a repeat that can match one text in many ways is not supported: it can take exponential time")
     return found
 
