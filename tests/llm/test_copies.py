@@ -206,3 +206,23 @@ def test_edit_distance():
         most, d = rng.randrange(25), levenshtein(a, b)
         got = lines.edit_distance(a, b, most)
         assert got == d if d <= most else got > most
+
+
+def test_a_passage_of_all_documents_in_many_surroundings(docs_of):
+    """Texts share one passage; few different words before and after it make many first owners of windows."""
+    rng, common = random.Random(12), prose(33, 60)
+    rows = [(n, " ".join([*prose(500 + n, 20), *rng.choices(["x", "y", "z"], k=3), *common, *rng.choices(["x", "y"], k=3), *prose(900 + n, 20)]))
+            for n in range(120)]
+    assert rows_of(substrings.repeats(docs_of(rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(repeats(rows), key=repr)
+
+
+def test_a_hit_costs_the_windows_around_it_and_not_the_owners_of_its_block():
+    shard, common = substrings.Shard(), prose(3, 60)
+    for n in range(400):
+        shard.add(n, " ".join([f"own{n}", *common[:49]]))
+    shard.add(0, " ".join(common))
+    shard.compile()
+    assert max(len(spots) for spots in shard.windows.values()) == 1
+    assert shard.repeats(7, " ".join(["own3", *common])) == [(0, 61)]
+    assert shard.repeats(7, " ".join(["own9", *common])) == [(1, 61)]
+    assert shard.repeats(0, " ".join(common)) == []
