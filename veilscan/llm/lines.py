@@ -14,10 +14,11 @@ sketches of 64 one-bit MinHashes differ in at most ``SKETCH_BITS``. Lines whose
 differ in at most ``BITS`` bits meet on pigeonhole blocks: with at most three differing bits
 one of four 16-bit blocks is equal. In SimHashes numbers are alike if the line has few digits.
 
-A first round moves only fingerprints and finds those that have a partner; only the
-texts of these lines are fetched and verified. A block or band that holds many fingerprints is dealt over
-several tasks, each of which compares two slices of it; inside a task pairs that are already
-connected are neither compared nor returned.
+A first round moves only fingerprints. It yields candidate pairs, each of which is given to the lowest
+block in which it meets, and of blocks with very many pairs the fingerprints that have a partner there. Only
+texts of these lines are fetched, and each goes only to blocks it has a pair in. A block or band that holds
+many fingerprints is dealt over several tasks, each of which compares two slices of it; inside a task pairs
+that are already connected are neither compared nor returned.
 
 Defined results: null text stays null, empty text stays empty; white space, blank lines and the
 order of lines are kept; null ids come last in the order; rows that share an id (or have none)
@@ -49,12 +50,14 @@ ship_by_value(__name__)
 #: Shorter lines are only removed where they are equal.
 MIN_CHARS = 20
 BITS = 3
-BANDS = 10
-ROWS = 3
-SKETCH_BITS = 19
+BANDS = 12
+ROWS = 4
+SKETCH_BITS = 15
 SIMILAR = 0.8
 SLICE = 20_000
 SMALL_BLOCK = 256
+#: Blocks with more candidate pairs than this for each of their rows are verified as a whole.
+DENSE = 8
 #: Bits of the table that says which lines' texts are wanted.
 TABLE_BITS = 24
 LAST = (1 << 63) - 1
@@ -281,8 +284,9 @@ def slabs(batches, rows: int = 1 << 18):
         yield np.concatenate(held, axis=1)
 
 
-def with_partner(keyed: DataFrame, bits: int) -> DataFrame:
-    """sketched, print: distinct prints within ``bits`` of another one, or sketches within ``SKETCH_BITS``."""
+def candidates(keyed: DataFrame, bits: int) -> DataFrame:
+    """key, a, b: pairs (a <= b) of prints within ``bits`` of each other, or of sketches (negative keys) within
+    ``SKETCH_BITS``; of dense blocks each print that has a partner, with b null."""
 
     def run(batches):
         for slab in slabs(batches):
@@ -293,7 +297,8 @@ def with_partner(keyed: DataFrame, bits: int) -> DataFrame:
             start = np.flatnonzero(np.concatenate(([True], (slab[:2, 1:] != slab[:2, :-1]).any(axis=0))))
             size = np.diff(np.concatenate((start, [n])))
             group = np.repeat(np.arange(len(start)), size)
-            hit = np.zeros(n, bool)
+            hit, dense = np.zeros(n, bool), np.zeros(len(start), bool)
+            pairs = [(np.zeros(0, np.int64),) * 2]
             small = size <= SMALL_BLOCK
             at = np.flatnonzero(small[group])  # small blocks: each row with the one, two, ... rows after it
             step = 1
@@ -301,27 +306,51 @@ def with_partner(keyed: DataFrame, bits: int) -> DataFrame:
                 at = at[at + step < n]
                 at = at[group[at] == group[at + step]]
                 near = at[np.bitwise_count(values[at] ^ values[at + step]) <= np.where(slab[0, at] < 0, SKETCH_BITS, bits)]
-                hit[near] = hit[near + step] = True
+                pairs.append((near, near + step))
                 step += 1
             for g in np.flatnonzero(~small):
                 s, e = start[g], start[g] + size[g]
                 order = s + np.argsort(gray_rank(values[s:e]))
+                held, count = [], 0
 
                 def found(i, j):
+                    nonlocal count
                     hit[order[i]] = hit[order[j]] = True
+                    count += len(i)
+                    if count > DENSE * len(order):
+                        dense[g] = True
+                        held.clear()
+                    else:
+                        held.append((order[i], order[j]))
 
                 most = SKETCH_BITS if slab[0, s] < 0 else bits
-                close(values[order], None, most, found, lambda i, j: hit[order[i]] & hit[order[j]])
-            for sketched in (False, True):
-                near = np.unique(values[hit & ((slab[0] < 0) == sketched)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), sketched)), pa.array(near)], ["sketched", "print"])
+                close(values[order], None, most, found, lambda i, j: hit[order[i]] & hit[order[j]] & dense[g])
+                pairs.extend(held)
+            x, y = (np.concatenate(side) for side in zip(*pairs))
+            dense |= np.bincount(group[x], minlength=len(start)) > DENSE * size
+            many = dense[group[x]]
+            hit[x[many]] = hit[y[many]] = True
+            x, y = x[~many], y[~many]
+            alone = np.flatnonzero(hit & dense[group])
+            a, b = np.minimum(slab[2, x], slab[2, y]), np.maximum(slab[2, x], slab[2, y])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate((slab[0, x], slab[0, alone]))), pa.array(np.concatenate((a, slab[2, alone]))),
+                pa.array(np.concatenate((b, slab[2, alone])), mask=np.arange(len(x) + len(alone)) >= len(x)),
+            ], ["key", "a", "b"])
 
     rows = sliced(dealt(keyed.select("key", "print"))).select("key", "part", "print")
-    return rows.mapInArrow(run, "sketched boolean, print long").distinct()
+    return rows.mapInArrow(run, "key long, a long, b long")
 
 
-def edit_distance(a: str, b: str, most: int) -> int:
-    """Levenshtein distance, or some number above ``most``; bit-parallel, a column at a time."""
+def meeting(found: DataFrame) -> DataFrame:
+    """key, print: where the texts of ``candidates`` meet; a pair only in its lowest block or band."""
+    pairs = found.where("b is not null").groupBy((F.col("key") < 0).alias("sketched"), "a", "b").agg(F.min("key").alias("key"))
+    ends = pairs.select("key", F.explode(F.array("a", "b")).alias("print"))
+    return ends.union(found.where("b is null").select("key", F.col("a").alias("print"))).distinct()
+
+
+def edit_distance(a: str | list[str], b: str | list[str], most: int) -> int:
+    """Levenshtein distance of texts or lists of words, or some number above ``most``; bit-parallel, a column at a time."""
     if abs(len(a) - len(b)) > most:
         return most + 1
     n = min(len(a), len(b))
@@ -353,7 +382,17 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 
 def similar(a: str, b: str, least: float) -> bool:
+    """1 - edit distance / longer length >= ``least``. Edits that touch few words are seen from the words:
+    replacing whole words is a way to edit, so the distance is at most what that costs."""
     most = int((1 - least) * max(len(a), len(b)) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum([max(len(v), len(w)) for v, w in zip(x, y) if v != w]) <= most:
+        return True
+    longest = max(map(len, x + y)) + 1  # with the space of a word that is only in one
+    if edit_distance(x, y, most // longest) * longest <= most:
+        return True
     return edit_distance(a, b, most) <= most
 
 
@@ -433,15 +472,16 @@ def removals(docs: DataFrame, bits: int = BITS, least: float = SIMILAR) -> DataF
     per_print = long.groupBy("print").agg(F.count(F.lit(1)).alias("n"))
     keyed = by_print(per_print.select("print")).select("key", "print").union(
         by_sketch(long.select("sketch", "keys")).select("key", "print"))
-    near = written(with_partner(keyed, bits), "near-prints")
-    prints = near.where("not sketched").select("print").union(per_print.where("n > 1").select("print")).distinct()
-    sketches = near.where("sketched").select(F.col("print").alias("sketch"))
-    near = long.join(prints.withColumn("by_print", F.lit(True)), "print", "left").join(
-        sketches.withColumn("by_sketch", F.lit(True)), "sketch", "left").where("by_print or by_sketch")
-    near = written(near, "near-lines")
-    texts = written(texts_of(near, docs), "near-texts")
-    columns = ["key", "print", "line", "norm"]
-    keyed = by_print(texts.where("by_print")).select(columns).union(by_sketch(texts.where("by_sketch")).select(columns))
+    several = per_print.where("n > 1").select(block_key(F.col("print"), 0).cast("long").alias("key"), "print")
+    near = written(meeting(candidates(keyed, bits)).union(several).distinct(), "near-prints")
+    # Lines without a partner leave before the keys of the others are unfolded.
+    by = {sketched: near.where("key < 0" if sketched else "key >= 0").select(F.col("print").alias(name)).distinct()
+          for sketched, name in ((False, "print"), (True, "sketch"))}
+    meet = by_print(long.select("line", "print").join(by[False], "print", "left_semi")).select("line", "key", "print").union(
+        by_sketch(long.select("line", "sketch", "keys").join(by[True], "sketch", "left_semi")).select("line", "key", "print"))
+    meet = written(meet.join(near, ["key", "print"], "left_semi"), "near-lines")
+    texts = written(texts_of(meet.select("line").distinct(), docs), "near-texts")
+    keyed = meet.join(texts, "line").select("key", "print", "line", "norm")
     groups = components(verified(keyed, bits, least), "line-links")
     groups = groups.select(F.col("id").alias("line"), "component")
     # Lines that occur once and are linked to none are no longer looked at.
