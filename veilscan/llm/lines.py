@@ -11,7 +11,7 @@ removed from their documents.
 Candidates come in two ways. Lines that share many words (a character is a word where the script has
 no spaces) meet in one of ``BANDS`` MinHash bands of ``ROWS`` values each; of these, pairs stay whose
 sketches of 64 one-bit MinHashes differ in at most ``SKETCH_BITS``. Lines whose SimHashes over words
-differ in at most ``BITS`` bits meet on pigeonhole blocks: with at most three differing bits
+differ in at most ``BITS`` bits (each different word counts once) meet on pigeonhole blocks: with at most three differing bits
 one of four 16-bit blocks is equal. In SimHashes numbers are alike if the line has few digits.
 
 A first round moves only fingerprints. It yields candidate pairs, each of which is given to the lowest
@@ -110,6 +110,16 @@ def bit_counts(h: np.ndarray, keep: np.ndarray, first: np.ndarray) -> np.ndarray
     return row_sums(parts.view(np.uint8).reshape(-1, 64).astype(np.int64), np.searchsorted(cuts, first))
 
 
+def first_of_line(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One of each set of equal hashes of a line."""
+    line = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
+    both = mix(h + line * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(both)
+    keep = np.ones(len(h), bool)
+    keep[order[1:]] = both[order[1:]] != both[order[:-1]]
+    return keep
+
+
 def numbers_alike(line: str) -> bytes:
     """The line with one digit for every number, if at most a third of it is digits: tables of numbers
     would else all be candidates of each other."""
@@ -119,14 +129,16 @@ def numbers_alike(line: str) -> bytes:
 
 
 def simhashes(lines: list[str]) -> np.ndarray:
-    """SimHash of each line over its words (pairs would move more bits), numbers alike; of a short line a hash
-    of the whole, which is near to itself only."""
+    """SimHash of each line over its different words (pairs would move more bits; with repeats, a sign between
+    all words would decide every bit), numbers alike; of a short line a hash of the whole, which is near to
+    itself only."""
     out = []
     for _, _, data, offsets in pieces(pa.array([numbers_alike(x) for x in lines], pa.binary()), 1 << 19):
         words = Words(data, offsets)
         one = words.hashes()
-        set_ = bit_counts(one, np.ones(len(one), bool), words.first)
-        size = np.diff(words.first)
+        keep = first_of_line(one, words.first)
+        set_ = bit_counts(one, keep, words.first)
+        size = row_sums(keep[:, None].astype(np.int64), words.first)[:, 0]
         out.append(np.packbits(2 * set_ > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel())
     prints = np.concatenate(out) if out else np.zeros(0, np.uint64)
     for k, line in enumerate(lines):
