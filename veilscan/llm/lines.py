@@ -50,9 +50,9 @@ ship_by_value(__name__)
 #: Shorter lines are only removed where they are equal.
 MIN_CHARS = 20
 BITS = 3
-BANDS = 12
-ROWS = 4
-SKETCH_BITS = 15
+BANDS = 10
+ROWS = 3
+SKETCH_BITS = 19
 SIMILAR = 0.8
 SLICE = 20_000
 SMALL_BLOCK = 256
