@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from brute import levenshtein
 from conftest import prose
 
@@ -52,3 +53,31 @@ def test_dense_blocks_give_the_same_lines(docs_of, monkeypatch):
     found = gone()
     monkeypatch.setattr(lines, "DENSE", 1 << 30)
     assert gone() == found == {k for k in range(75) if k % 25}
+
+
+def test_pairs_together_are_as_similar_as_one_by_one():
+    rng, a, b = random.Random(8), [], []
+    for k in range(1500):
+        x = "".join(rng.choice("abcdeé ”") for _ in range(rng.choice([0, 1, 20, 63, 64, 65, 128, 190, 400])))
+        y = list(x)
+        for _ in range(rng.randrange(1 + len(x) // 3)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(3)] = rng.choices("abxyz\U0001f600", k=rng.randrange(3))
+        a.append(x)
+        b.append("".join(y))
+    most = np.array([int(0.2 * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b)])
+    want = [lines.edit_distance(x, y, int(m)) <= m for x, y, m in zip(a, b, most)]
+    assert 300 < sum(want) < 1300
+    assert lines.near_enough(a, b, most).tolist() == want
+    assert lines.similar_pairs(a, b, 0.8).tolist() == want
+    assert lines.similar_pairs([], [], 0.8).tolist() == []
+
+
+def test_blocks_come_whole():
+    keys = [1] * 5 + [2] * 9 + [3] * 2 + [4] * 30
+    batches = [pa.RecordBatch.from_pydict({"key": keys[k : k + 4], "part": [0] * len(keys[k : k + 4]), "n": list(range(k, k + len(keys[k : k + 4])))})
+               for k in range(0, len(keys), 4)]
+    got = [t.to_pydict() for t in lines.whole_blocks(iter(batches), rows=6)]
+    assert [n for t in got for n in t["n"]] == list(range(len(keys))) and len(got) > 2
+    assert sum(len(set(t["key"])) for t in got) == 4
+    assert list(lines.whole_blocks(iter([]))) == []

@@ -30,8 +30,6 @@ result.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -56,6 +54,11 @@ SKETCH_BITS = 19
 SIMILAR = 0.8
 SLICE = 20_000
 SMALL_BLOCK = 256
+#: Pairs looked at before those that have become connected are left out.
+PAIRS = 4096
+#: Characters of pairs whose edit distances are found together, and the pairs below which that does not pay.
+TOGETHER = 1 << 20
+ALONE = 24
 #: Blocks with more candidate pairs than this for each of their rows are verified as a whole.
 DENSE = 8
 #: Bits of the table that says which lines' texts are wanted.
@@ -249,33 +252,34 @@ def sliced(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "part").sortWithinPartitions("key", "part", "print")
 
 
-def by_block(batches, columns: int) -> Callable:
-    """Yields the columns of all rows of one (key, part) at a time; the rows come sorted."""
-    held, name = [], None
+def whole_blocks(batches, rows: int = 1 << 14, size: int = 1 << 24):
+    """Tables of about ``rows`` rows or ``size`` bytes, no (key, part) torn apart; the rows come sorted."""
+    held: list[pa.RecordBatch] = []
+    n, weight = 0, 0
     for batch in batches:
-        keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
-        cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
-        for s, e in zip(cuts[:-1], cuts[1:]):
-            if s == e:
-                continue
-            if name is not None and tuple(keys[s]) != name:
-                yield name, held
-                held = []
-            name = tuple(keys[s])
-            held = held + [[batch.column(k).slice(s, e - s) for k in range(2, columns)]]
-    if held:
-        yield name, held
-
-
-def joined_columns(parts: list) -> list:
-    return [pa.concat_arrays(list(column)) for column in zip(*parts)]
-
-
-def first_shared_block(a: np.ndarray, b: np.ndarray, block: int) -> np.ndarray:
+        held.append(batch)
+        n, weight = n + batch.num_rows, weight + batch.nbytes
+        if n < rows and weight < size:
+            continue
+        all_ = pa.Table.from_batches(held)
+        last = [all_.column(k)[-1].as_py() for k in range(2)]
+        same = [np.asarray(all_.column(k)) == last[k] for k in range(2)]
+        apart = np.flatnonzero(~(same[0] & same[1]))
+        if len(apart):
+            cut = int(apart[-1]) + 1
+            yield all_.slice(0, cut).combine_chunks()
+            all_ = all_.slice(cut)
+        held = all_.to_batches()
+        n, weight = all_.num_rows, all_.nbytes
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def first_shared_block(a: np.ndarray, b: np.ndarray, block: np.ndarray) -> np.ndarray:
     """Whether ``block`` is the lowest block in which the prints agree: a pair is compared once."""
     out = np.ones(len(a), bool)
-    for k in range(block):
-        out &= ((a ^ b) >> np.uint64(16 * k)) & np.uint64(0xFFFF) != 0
+    for k in range(3):
+        out &= (block <= k) | (((a ^ b) >> np.uint64(16 * k)) & np.uint64(0xFFFF) != 0)
     return out
 
 
@@ -408,35 +412,125 @@ def similar(a: str, b: str, least: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+def padded(texts: list[str], width: int) -> np.ndarray:
+    """Code points of each text in a row of ``width``, in the narrowest integers that hold all."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = codes.astype(np.min_scalar_type(codes.max(initial=0)))
+    sizes = np.array([len(t) for t in texts])
+    out = np.zeros((len(texts), width), codes.dtype)
+    out[np.arange(width) < sizes[:, None]] = codes
+    return out
+
+
+def near_enough(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair is at most ``most``, all pairs a column at a time.
+
+    The vertical differences of a column are kept as bits, 64 rows of the matrix in a word. Only words that
+    meet the band around the diagonal are advanced; the others stand for rows beyond any distance asked for.
+    Pairs whose second text has ended are left as they are; the differences then add up to the distance.
+    """
+    ends = np.array([len(y) for y in b])
+    order = np.argsort(-ends, kind="stable")
+    ends, rows = ends[order], np.array([len(a[k]) for k in order])
+    words, band = max(1, -(-int(rows.max(initial=0)) // 64)), int(most.max(initial=0))
+    left = padded([a[k] for k in order], 64 * words).reshape(len(order), words, 64).transpose(1, 0, 2).copy()
+    right = padded([b[k] for k in order], int(ends.max(initial=0))).T.copy()
+    up, down = np.full((words, len(order)), ~np.uint64(0)), np.zeros((words, len(order)), np.uint64)
+    one, top = np.uint64(1), np.uint64(63)
+    for column in range(len(right)):
+        n = int(np.searchsorted(-ends, -column))  # pairs whose second text goes on
+        rises, falls = one, np.uint64(0)
+        for w in range(max(0, (column - band) // 64), min(words, (column + band) // 64 + 1)):
+            equal = np.packbits(left[w, :n] == right[column, :n, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+            p, m = up[w, :n], down[w, :n]
+            vertical = equal | m
+            equal |= falls
+            across = (((equal & p) + p) ^ p) | equal
+            rise, fall = m | ~(across | p), p & across
+            rise, fall, rises, falls = (rise << one) | rises, (fall << one) | falls, rise >> top, fall >> top
+            up[w, :n] = fall | ~(vertical | rise)
+            down[w, :n] = rise & vertical
+    distance = ends.copy()
+    for w in range(words):
+        bits = np.clip(rows - 64 * w, 0, 64).astype(np.uint64)
+        mask = np.where(bits == 64, ~np.uint64(0), (one << (bits & top)) - one)
+        distance += np.bitwise_count(up[w] & mask).astype(np.int64) - np.bitwise_count(down[w] & mask)
+    out = np.zeros(len(order), bool)
+    out[order] = distance <= most[order]
+    return out
+
+
+def similar_pairs(a: list[str], b: list[str], least: float) -> np.ndarray:
+    """``similar`` of each pair. Very long texts, and those of few pairs, go one by one."""
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b)]).reshape(-1, 2)
+    longer = sizes.max(axis=1)
+    most = ((1 - least) * longer + 1e-9).astype(np.int64)
+    out = np.zeros(len(a), bool)
+    todo = np.flatnonzero(np.abs(sizes[:, 0] - sizes[:, 1]) <= most)
+    todo = todo[np.argsort(longer[todo], kind="stable")]
+    while len(todo):
+        take = max(1, int(np.searchsorted(longer[todo] * np.arange(1, len(todo) + 1), TOGETHER, "right")))
+        part, todo = todo[:take], todo[take:]
+        if take < ALONE:
+            out[part] = [similar(a[k], b[k], least) for k in part]
+        else:
+            out[part] = near_enough([a[k] for k in part], [b[k] for k in part], most[part])
+    return out
+
+
 def verified(rows: DataFrame, bits: int, least: float) -> DataFrame:
     """Edges (a, b) of a forest of the linked lines of ``rows(key, print, line, norm)``."""
 
+    def edges(block: pa.Table):
+        key, part, own, prints = (np.asarray(block.column(k)) for k in range(4))
+        values, n = prints.view(np.uint64), len(key)
+        coded = block.column(4).combine_chunks().dictionary_encode()
+        line, lines = np.asarray(coded.indices), coded.dictionary
+        texts = block.column(5)
+        sets, far = Forest(len(lines)), [(np.zeros(0, np.int64),) * 2]
+        start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
+        size = np.diff(np.concatenate((start, [n])))
+        group = np.repeat(np.arange(len(start)), size)
+        # Slices meet in many parts: pairs of one slice only count where it meets itself.
+        mixed = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
+
+        def check(i, j):
+            keep = (key[i] < 0) | first_shared_block(values[i], values[j], key[i] >> 16)
+            keep &= ~mixed[group[i]] | (own[i] != own[j])
+            i, j = i[keep], j[keep]
+            for at in range(0, len(i), PAIRS):
+                x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+                apart = sets.of[line[x]] != sets.of[line[y]]
+                x, y = x[apart], y[apart]
+                good = similar_pairs(*([texts[int(k)].as_py() for k in side] for side in (x, y)), least)
+                far.append((line[x[good]], line[y[good]]))
+                sets.unite(*far[-1])
+
+        pending: list = []
+        small = size <= SMALL_BLOCK
+        at, step = np.flatnonzero(small[group]), 1  # each row with the one, two, ... rows after it
+        while len(at):
+            at = at[at + step < n]
+            at = at[group[at] == group[at + step]]
+            near = at[np.bitwise_count(values[at] ^ values[at + step]) <= np.where(key[at] < 0, SKETCH_BITS, bits)]
+            near = near[sets.of[line[near]] != sets.of[line[near + step]]]
+            pending.append((near, near + step))
+            if sum(len(i) for i, _ in pending) >= PAIRS:
+                check(*(np.concatenate(side) for side in zip(*pending)))
+                pending = []
+            step += 1
+        if pending:
+            check(*(np.concatenate(side) for side in zip(*pending)))
+        for g in np.flatnonzero(~small):
+            order = start[g] + np.argsort(gray_rank(values[start[g] : start[g] + size[g]]), kind="stable")
+            close(values[order], None, SKETCH_BITS if key[start[g]] < 0 else bits,
+                  lambda i, j: check(order[i], order[j]), lambda i, j: sets.of[line[order[i]]] == sets.of[line[order[j]]])
+        a, b = (np.concatenate(side) for side in zip(*far))
+        return pa.RecordBatch.from_arrays([lines.take(pa.array(side)) for side in (a, b)], ["a", "b"])
+
     def run(batches):
-        for (key, part), parts in by_block(batches, 6):
-            own, prints, lines, texts = joined_columns(parts)
-            if len(own) < 2:
-                continue
-            order = np.argsort(gray_rank(prints.to_numpy().view(np.uint64)), kind="stable")
-            values = prints.to_numpy().view(np.uint64)[order]
-            own, texts = own.to_numpy()[order], [texts[int(k)] for k in order]
-            sets = Forest(len(values))
-            far: list[tuple[int, int]] = []
-
-            def found(i, j):
-                # Slices meet in many parts: pairs of one slice only count where it meets itself.
-                slices = len(np.unique(own)) > 1
-                keep = first_shared_block(values[i], values[j], int(key) >> 16) if key >= 0 else np.ones(len(i), bool)
-                if slices:
-                    keep &= own[i] != own[j]
-                for x, y in zip(i[keep].tolist(), j[keep].tolist()):
-                    if sets.of[x] != sets.of[y] and similar(texts[x].as_py(), texts[y].as_py(), least):
-                        far.append((x, y))
-                        sets.unite(np.array([x]), np.array([y]))
-
-            close(values, None, bits if key >= 0 else SKETCH_BITS, found, lambda i, j: sets.of[i] == sets.of[j])
-            if far:
-                ends = [pa.array([lines[int(order[p[k]])].as_py() for p in far], pa.binary()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+        for block in whole_blocks(batches):
+            yield edges(block)
 
     rows = sliced(dealt(rows)).select("key", "part", "own", "print", "line", "norm")
     return rows.mapInArrow(run, "a binary, b binary")
