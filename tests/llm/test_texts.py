@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from brute import base_spans, smith_waterman
 from conftest import EDGES, prose
 
@@ -173,6 +175,51 @@ def test_slots_of_a_template_without_article(spark):
         assert text == f"Story number {k} goes on.\nMore of {k}."
 
 
+@pytest.mark.parametrize("around", ['<div class="content legal-affairs"><article>{}</article></div>',
+                                    '<article><section class="social-policy">{}</section></article>',
+                                    '<div id="search"><main>{}</main></div>', '<form id="aspnetForm"><article>{}</article></form>'])
+def test_names_around_a_story_do_not_take_it(around):
+    html = around.format("<p>The story.</p>") + '<div class="comments"><article><p>A reader.</p></article></div>'
+    assert templates.main_text(html, templates.Template(None)) == "The story."
+
+
+def test_records_beside_the_story_go_where_the_template_shows_them(spark):
+    """No list has their names: they repeat, in another gap than the one with most text."""
+    rows = []
+    for k in range(6):
+        told = "".join(f"<p>Part {n} of story {k} tells a good deal more than readers do.</p>" for n in range(3 + k))
+        said = "".join(f'<div class="u1"><h4>Reader {k} {n}</h4><p>I think {n} of {k}.</p></div>' for n in range(1 + k % 3))
+        rows.append((k, "http://h/", f'<html><body><h1>Site</h1><div class="s">{told}</div><div class="reader-feedback">{said}</div></body></html>'))
+    for k, (text, _) in extracted(spark, rows).items():
+        assert text == "\n".join(f"Part {n} of story {k} tells a good deal more than readers do." for n in range(3 + k))
+
+
+def test_classes_are_tokens_of_equal_vectors(spark):
+    rows = [(k, "http://h/", f"<body><h1>Head</h1><div>{f'<ul><li>x{k}</li></ul>' * (k % 3)}<p>t{k}</p></div></body>")
+            for k in range(7)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    events = templates.events_of(df)
+    got = {frozenset(r.tokens) for r in templates.classes(templates.vectors(events)).collect()}
+    held = [Counter(t for t, _ in templates.parsed(html)[1]) for _, _, html in rows]
+    starts = {t for _, _, html in rows for t, k in templates.parsed(html)[1] if k != templates.END}
+    vectors = defaultdict(set)
+    for token in set().union(*held):
+        vectors[tuple(c[token] for c in held)].add(token)
+    want = {frozenset(v) for k, v in vectors.items() if len(v & starts) >= templates.LEAST_TOKENS and sum(map(bool, k)) >= 3}
+    assert got == want and len(want) > 1
+
+
+def test_order_and_nesting_decide_on_a_class():
+    found = [{"class": 1, "repeats": False, "tokens": [10, 11, 12]}, {"class": 2, "repeats": True, "tokens": [20, 21]}]
+    shape = templates.Template(found)
+    assert shape.unordered([10, 20, 21, 20, 21, 11, 12]) == set()
+    assert shape.unordered([10, 12, 11]) == {1} and shape.unordered([10, 11, 12, 20]) == {2}
+    slots, gaps, torn = shape.walk([10, 20, 5, 21, 6, 11, 7, 12, 8])
+    assert [s for s in slots if s] == [((2, 0), (1, 0)), ((1, 0), (1, 0)), ((1, 1), (1, 1)), ((0, 0), (0, 0))]
+    assert gaps == {(1, (0, 0)), (2, (1, 0))} and not torn
+    assert shape.walk([10, 20, 11, 21, 12])[2] == {2}
+
+
 def test_page_edges(spark):
     rows = [(None, None, None), (1, None, ""), (2, "x", "plain words"), (3, "http://h/", "<p>a<p>b<li>c"),
             (4, "http://h/", "<article><p>cut <b>off"), (5, "http://h/", "<p title=it's>x</p> 1 < 2 <!-- open"), (5, "http://h/", "<p>x")]
