@@ -27,9 +27,10 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -81,6 +82,12 @@ def hashed(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+@functools.lru_cache(1 << 14)
+def ends_of(path: str) -> tuple[int, int]:
+    """Tokens of the start and the end of an element."""
+    return hashed(f"<{path}"), hashed(f">{path}")
+
+
 class Element:
     """``outside``: 0 in the article, 1 in an excluded part that an article element ends, 2 in one that stays."""
 
@@ -91,7 +98,7 @@ class Element:
         first = names[0] if names else ""
         self.path = f"{parent.path if parent else ''}/{tag}{'.' + first if first else ''}"
         self.inside = bool(parent and parent.inside) or tag in INSIDE
-        self.opens, self.closes = hashed(f"<{self.path}"), hashed(f">{self.path}")
+        self.opens, self.closes = ends_of(self.path)
         around = parent.outside if parent else 0
         if tag in INSIDE and around < 2:
             around = 0
@@ -208,12 +215,6 @@ def events_of(pages: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "host string, page long, body long, tokens array<long>, chars array<int>, links array<int>")
 
 
-def few(bodies: set, body: int) -> None:
-    """Different bodies, as many as are asked for."""
-    if len(bodies) < LEAST_PAGES:
-        bodies.add(body)
-
-
 def grouped(batches, columns: int, make, add, limit: int = 200_000, template: int | None = None):
     """Calls ``add(found, *row)`` for every row and yields ``make(found)`` whenever ``found`` is large, and last.
     The column ``template`` is handed over as it is, as few of its values are looked at."""
@@ -232,18 +233,27 @@ def vectors(events: DataFrame) -> DataFrame:
     it counts for the size of a class, and number of different bodies (exact up to ``LEAST_PAGES``). Token null: the host."""
 
     def add(found, host, page, body, tokens, chars):
-        first, times, counts = {}, defaultdict(int), {}
-        for place, (token, kind) in enumerate(zip(tokens, chars)):
-            first.setdefault(token, place)
-            times[token] += 1
-            counts[token] = int(kind != END)
-        times[None], first[None], counts[None] = 1, 0, 0
-        for token, n in times.items():
+        times = Counter(tokens)
+        first = dict(zip(reversed(tokens), range(len(tokens) - 1, -1, -1)))
+        ends = {token for token, kind in zip(tokens, chars) if kind == END}
+        times[None], first[None] = 1, 0
+        halves = {}  # of the hash of (page, times)
+        for n in set(times.values()):
             h = hashed(f"{page} {n}") + (1 << 63)
-            old = found.setdefault((host, token), [0, 0, 0, 0, 0, counts[token], set()])
-            for k, value in enumerate((h & 0xFFFFFFFF, h >> 32, 1, n, first[token])):
-                old[k] += value
-            few(old[6], body)
+            halves[n] = h & 0xFFFFFFFF, h >> 32
+        for token, n in times.items():
+            low, high = halves[n]
+            old = found.get((host, token))
+            if old is None:
+                found[host, token] = [low, high, 1, n, first[token], int(token not in ends), {body}]
+                continue
+            old[0] += low
+            old[1] += high
+            old[2] += 1
+            old[3] += n
+            old[4] += first[token]
+            if len(old[6]) < LEAST_PAGES:  # different bodies, as many as are asked for
+                old[6].add(body)
 
     names = ["host", "token", "low", "high", "pages", "times", "place", "counts", "bodies"]
 
