@@ -82,3 +82,16 @@ def test_purges_fire_once_when_their_deadline_has_passed(spark, tmp_path):
     assert step([(1, 2, False), (2, 9, False), (3, 1, True)], 3) == [1]
     assert step([(4, 1, False), (5, 30, False)], 4) == [1, 4]
     assert step([(6, 40, False)], 20) == [1, 2, 4]
+
+
+def test_a_table_is_a_file_or_a_folder_of_files(spark, tmp_path):
+    rows = spark.range(40).withColumnRenamed("id", "doc_id")
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "written").glob("part-*.parquet")).rename(tmp_path / "one" / "documents.parquet")
+    for name in ("many", "one"):
+        spark.range(5).selectExpr("id AS other").write.parquet(str(tmp_path / name / "labels.parquet"))
+        out = shared_dir(spark, "test-table")
+        run(feeds.table_stream(spark, str(tmp_path / name), "documents.parquet", 1), "append", out)
+        assert sorted(r.doc_id for r in spark.read.parquet(f"{out}/rows").collect()) == list(range(40))

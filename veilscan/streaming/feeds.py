@@ -21,12 +21,10 @@ ship_by_value(__name__)
 
 
 def table_stream(spark: SparkSession, folder: str, file_glob: str, files_per_trigger: int = 64) -> DataFrame:
-    """New parquet files of a folder as a stream, a bounded number of files per batch."""
-    schema = spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-        .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    )
+    """New parquet files of a folder as a stream, a bounded number of files per batch. What ``file_glob`` names
+    may be files or, as a writer leaves a table, folders of files."""
+    path = f"{folder}/{{{file_glob}}}"  # a pattern even for one name: a stream's plain path has to be a folder
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 class RuleWatch:
