@@ -95,3 +95,24 @@ def test_a_table_is_a_file_or_a_folder_of_files(spark, tmp_path):
         out = shared_dir(spark, "test-table")
         run(feeds.table_stream(spark, str(tmp_path / name), "documents.parquet", 1), "append", out)
         assert sorted(r.doc_id for r in spark.read.parquet(f"{out}/rows").collect()) == list(range(40))
+
+
+def test_a_batch_of_timers_takes_a_call_a_key_and_not_a_job(spark, tmp_path):
+    """20,000 jobs on 16 keys: ids beyond 2^53, repeats with another deadline, ids and deadlines missing."""
+    start, big = datetime(2024, 1, 1), 1 << 60
+    jobs = spark.range(20_000).selectExpr(f"id + {big} AS job_id", "timestamp'2024-01-01' + make_dt_interval(0, 0, 0, id) AS purge_after", "id % 10 = 9 AS purged")
+    odd = spark.createDataFrame(
+        [(None, start, False), (None, start + timedelta(days=1), False), (3, None, False), (big + 15_000, start, False)],
+        "job_id bigint, purge_after timestamp, purged boolean")
+    folder, clock, out = str(tmp_path / "jobs"), str(tmp_path / "clock"), shared_dir(spark, "test-timers")
+    jobs.union(odd).write.parquet(folder)
+    due = []
+    for seconds in (10_000, 10_000, 90_000):
+        spark.createDataFrame([(start + timedelta(seconds=seconds),)], "at timestamp").write.mode("append").parquet(clock)
+        run(feeds.purges_due(feeds.table_stream(spark, folder, "*.parquet"), feeds.table_stream(spark, clock, "*.parquet"), keys=16), "append", out)
+        due.append({(r.job_id, r.purge_after) for r in spark.read.parquet(f"{out}/rows").collect()})
+    kept = [n for n in range(20_000) if n % 10 != 9]
+    first = {(big + n, start + timedelta(seconds=n)) for n in kept if n < 10_000} | {(None, start), (big + 15_000, start)}
+    later = {(big + n, start + timedelta(seconds=n)) for n in kept if 10_000 <= n and n != 15_000}
+    assert due == [first, first, first | later]
+    assert spark.read.parquet(f"{out}/rows").count() == len(first | later)

@@ -168,41 +168,51 @@ def deferred_feed(
     return start(pending, lambda batch, n: write_batch(step(batch), out, n), checkpoint, available_now)
 
 
-def purges_due(jobs: DataFrame, clock: DataFrame, delay: str = "0 seconds") -> DataFrame:
+#: Keys that timers are dealt to by their job's hash. A call per job would cost a batch of small frames each.
+TIMER_KEYS = 1 << 15
+
+
+def purges_due(jobs: DataFrame, clock: DataFrame, delay: str = "0 seconds", keys: int = TIMER_KEYS) -> DataFrame:
     """Ids of ``jobs(job_id, purge_after timestamp, purged)`` whose deadline the watermark of ``clock(at
     timestamp)`` has passed, each once, as a stream of (job_id, purge_after).
 
-    A job's deadline is a timer in its state: a batch reads the jobs that arrive in it and nothing that
-    came before, and a job leaves its state when its timer fires. Clock rows carry no job. A job that was
-    purged before has no timer.
+    A job's deadline is a timer in the state of the job's key, 16 bytes each; the key wakes at its earliest
+    one. A batch reads the jobs that arrive in it and the timers of their keys, and a job leaves the state when
+    its timer fires. Clock rows carry no job. A job that was purged before has no timer.
     """
 
     def wait(key: tuple, parts: Iterable, state: GroupState) -> Iterator:
+        import numpy as np
         import pandas as pd
 
-        if state.hasTimedOut:
-            due = state.get[0]
+        held = np.frombuffer(bytes(state.get[0]) if state.exists else b"", np.int64).reshape(-1, 2)  # id, due
+        if not state.hasTimedOut:
+            found = [held]
+            for part in parts:
+                rows = part[part["due"].notna()]
+                ids = rows["job_id"].to_numpy(np.int64) if key[0] >= 0 else np.zeros(len(rows), np.int64)
+                found.append(np.column_stack([ids, rows["due"].to_numpy("datetime64[us]").astype(np.int64)]))
+            held = np.concatenate(found)
+            held = held[np.lexsort((held[:, 1], held[:, 0]))]
+            held = held[np.diff(held[:, 0], prepend=held[:1, 0] - 1) != 0]  # a job's earliest
+        mark = state.getCurrentWatermarkMs()
+        ripe = held[:, 1] // 1000 < mark
+        gone, held = held[ripe], held[~ripe]
+        if len(held):
+            state.update((held.tobytes(),))
+            state.setTimeoutTimestamp(max(int(held[:, 1].min()) // 1000, mark + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "purge_after": [pd.Timestamp(due * 1000)]})
-            return
-        due = state.get[0] if state.exists else None
-        for part in parts:
-            times = [int(x.value // 1000) for x in part["due"].dropna()]
-            due = min([*times, *([due] if due is not None else [])], default=None)
-        if due is None:
-            return
-        if due // 1000 < state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "purge_after": [pd.Timestamp(due * 1000)]})
-            return
-        state.update((due,))
-        state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs() + 1))
+        if len(gone):
+            ids = pd.Series(gone[:, 0], dtype="Int64")
+            yield pd.DataFrame({"job_id": ids if key[0] >= 0 else ids.mask(ids == 0), "purge_after": gone[:, 1].astype("datetime64[us]").astype("datetime64[ns]")})
 
     ticks = clock.select("at", F.lit(None).cast("bigint").alias("job_id"), F.lit(None).cast("timestamp").alias("due"))
     # Without a time of their own, jobs neither move the watermark nor come too late for it.
     timers = jobs.filter("not purged").select(F.lit(None).cast("timestamp").alias("at"), "job_id", F.col("purge_after").alias("due"))
     both = ticks.union(timers).withWatermark("at", delay)
-    return both.groupBy("job_id").applyInPandasWithState(
-        wait, "job_id bigint, purge_after timestamp", "due bigint", "append", GroupStateTimeout.EventTimeTimeout,
+    # Ticks and jobs without an id have keys of their own, so that ids stay whole numbers in pandas.
+    dealt = F.when(F.col("due").isNull(), -1).when(F.col("job_id").isNull(), -2).otherwise(F.pmod(F.xxhash64("job_id"), F.lit(keys)))
+    return both.withColumn("key", dealt).groupBy("key").applyInPandasWithState(
+        wait, "job_id bigint, purge_after timestamp", "timers binary", "append", GroupStateTimeout.EventTimeTimeout,
     )
