@@ -195,3 +195,21 @@ def test_stems_meet_titles_by_the_run_fewest_titles_have(spark):
     cases = spark.createDataFrame(
         [("a", "document 0007 of.pdf"), ("b", "document.pdf"), ("c", "no such document.pdf"), ("d", "004.pdf"), ("e", ".pdf")], "name string, file string")
     assert {r.name: r.job_id for r in sc.match_jobs(cases, jobs).collect()} == {"a": 7, "b": 299, "c": None, "d": 49, "e": 299}
+
+
+def test_a_log_is_dealt_to_tasks_by_its_length(spark, monkeypatch):
+    """Left to the sizes of the shuffle, the 3,000 changes would be folded in one task."""
+    from veilscan.operators import changelog
+    from veilscan.operators.policies import apply_changes
+
+    monkeypatch.setattr(changelog, "TASK_CHANGES", 250)
+    changes = spark.range(3000).selectExpr(
+        "concat('q', id % 500) AS queue", "if(id < 500, 'create', 'update') AS change", "'a' AS actor", "id AS at", "null AS mode",
+        "id % 3 = 0 AS deep_scan_required", "string(null) AS fail_mode", "string(null) AS on_unreadable", "cast(null AS array<string>) AS rule_tags")
+    stored = spark.createDataFrame([], "queue string, deep_scan_required boolean, fail_mode string, on_unreadable string, rule_tags array<string>")
+    jobs = spark.createDataFrame([], "queue string, state string")
+    after, log = apply_changes(stored, changes, jobs)
+    tasks = log.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count_distinct("queue").alias("queues"), F.count("*").alias("n"))
+    found = tasks.collect()
+    assert len(found) > 6 and max(r.n for r in found) < 1000 and sum(r.queues for r in found) == 500 and sum(r.n for r in found) == 3000
+    assert {r.queue: r.deep_scan_required for r in after.collect()} == {f"q{n}": (2500 + n) % 3 == 0 for n in range(500)}

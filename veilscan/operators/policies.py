@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilscan.constants import DEFAULT_POLICY
 from veilscan.functions.policy import expand_mode, policy_faults, tags_or_all
-from veilscan.operators.changelog import folded
+from veilscan.operators.changelog import folded, tasks_for
 
 FIELDS = ("deep_scan_required", "fail_mode", "on_unreadable", "rule_tags")
 SNAPSHOT = ("queue", *FIELDS, "description", "enabled", "shared")
@@ -92,7 +92,9 @@ def apply_changes(
     outcome row per change, which doubles as its revision when the outcome is ``applied``.
     """
     change = F.col("change")
-    judged = changes.join(held_per_queue(jobs), "queue", "left").withColumns({
+    tasks = tasks_for(changes)
+    held = held_per_queue(jobs).repartition(tasks, "queue")
+    judged = changes.repartition(tasks, "queue").join(held, "queue", "left").withColumns({
         "held": F.coalesce("held", F.lit(0)),
         "faults": F.array_join(policy_faults(F.col("mode"), F.col("fail_mode"), F.col("on_unreadable")), ","),
     })
@@ -116,7 +118,7 @@ def apply_changes(
     }
     after, log = folded(
         stored, judged, "queue", FIELDS, (change == "create") & good, (change == "delete") & (F.col("held") == 0), outcome,
-        {f: F.when(writes, value) for f, value in asked.items()}, {f: default_value(f) for f in FIELDS}, order,
+        {f: F.when(writes, value) for f, value in asked.items()}, {f: default_value(f) for f in FIELDS}, order, tasks,
     )
     return after, log.select("queue", *[c for c in order if c != "at"], "at", "actor", "change", "outcome", *FIELDS)
 
