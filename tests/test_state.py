@@ -213,3 +213,18 @@ def test_a_log_is_dealt_to_tasks_by_its_length(spark, monkeypatch):
     found = tasks.collect()
     assert len(found) > 6 and max(r.n for r in found) < 1000 and sum(r.queues for r in found) == 500 and sum(r.n for r in found) == 3000
     assert {r.queue: r.deep_scan_required for r in after.collect()} == {f"q{n}": (2500 + n) % 3 == 0 for n in range(500)}
+
+
+def test_grants_are_read_once_and_walked_only_where_someone_holds_several(spark, capsys):
+    """The grants' own work (a shuffle here) is not part of the plan of the judged reads."""
+    jobs = spark.createDataFrame([(n, "released", None) for n in range(4)], "job_id bigint, state string, purged_at timestamp_ntz")
+    grants = spark.createDataFrame(
+        [(n, n, "ann", "approved", T0 + timedelta(hours=2), T0, None) for n in range(3)],
+        "request_id bigint, job_id bigint, requester string, status string, expires_at timestamp_ntz, decided_at timestamp_ntz, used_at timestamp_ntz").distinct()
+    reads = spark.createDataFrame([(n, n, "ann", "content", T0) for n in range(4)], "read_id bigint, job_id bigint, actor string, kind string, at timestamp_ntz")
+    got = ac.read(jobs, grants, reads)
+    assert {r.read_id: r.request_id for r in got.collect()} == {0: 0, 1: 1, 2: 2, 3: None}
+    capsys.readouterr()
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "CoGroup" not in plan and "used_at" not in plan

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.operators.lifecycle import grant_expiry, preview_without_grant
-from veilscan.session import ship_by_value
+from veilscan.session import persist_table, ship_by_value
 
 ship_by_value(__name__)
 
@@ -86,10 +86,13 @@ def read(jobs: DataFrame, grants: DataFrame, reads: DataFrame) -> DataFrame:
         "job_id", F.col("requester").alias("actor"), "request_id", "expires_at", "decided_at"
     )
     per_person = usable.groupBy("job_id", "actor").agg(F.count("*").alias("held"))
+    # Read for both kinds of persons, and its grants may be the end of long work.
+    usable = persist_table(usable.join(per_person, ["job_id", "actor"]), "usable-grants")
     asking = judged.filter("not free and not gone").select("read_id", "job_id", "actor", "kind", "at")
-    single = usable.join(per_person.filter("held = 1").drop("held"), ["job_id", "actor"])
-    several = usable.join(per_person.filter("held > 1").drop("held"), ["job_id", "actor"])
-    covered = _covered_by_one(asking, single).unionByName(_covered_by_several(asking, several))
+    covered = _covered_by_one(asking, usable.filter("held = 1").drop("held"))
+    several = usable.filter("held > 1").drop("held")
+    if not several.isEmpty():
+        covered = covered.unionByName(_covered_by_several(asking, several))
     return judged.join(covered, "read_id", "left").select(
         "read_id", "job_id", "actor", "kind", "at",
         F.when(F.col("gone"), "purged")
