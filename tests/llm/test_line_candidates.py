@@ -81,3 +81,62 @@ def test_blocks_come_whole():
     assert [n for t in got for n in t["n"]] == list(range(len(keys))) and len(got) > 2
     assert sum(len(set(t["key"])) for t in got) == 4
     assert list(lines.whole_blocks(iter([]))) == []
+
+
+def test_pair_is_compared_in_one_band(docs_of, monkeypatch, tmp_path):
+    """Lines of the same words in another order share all bands, and are not similar."""
+    rng, words, rows = random.Random(3), [f"{x}{x}word" for x in "abcdefghijklmnopqrstuvwxyz"], []
+    for k in range(40):
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+    whole, folder = lines.similar_pairs, str(tmp_path)
+
+    def noted(a, b, least):
+        import tempfile
+
+        with tempfile.NamedTemporaryFile("w", dir=folder, delete=False) as out:
+            out.write(str(len(a)))
+        return whole(a, b, least)
+
+    monkeypatch.setattr(lines, "similar_pairs", noted)
+    assert not lines.cleaned(docs_of(rows)).where("_gone is not null").count()
+    pairs = 40 * 39 // 2
+    assert pairs <= sum(int(f.read_text()) for f in tmp_path.iterdir()) <= 2 * pairs  # once by sketch, once by SimHash
+
+
+def test_column_gives_a_lower_bound():
+    rng = random.Random(5)
+    for k in range(40):
+        a = [rng.choice("abc") for _ in range(rng.randrange(1, 200))]
+        b = list(a)
+        for _ in range(rng.randrange(60)):
+            b.insert(rng.randrange(len(b) + 1), rng.choice("abc"))
+            del b[rng.randrange(len(b))]
+        b += rng.choices("abc", k=rng.randrange(20))
+        column = 64 * rng.randrange(1 + len(b) // 64)
+        cells = [levenshtein("".join(a[:n]), "".join(b[:column])) for n in range(len(a) + 1)]
+        cells += range(cells[-1] + 1, cells[-1] + 1 + -len(a) % 8)  # rows beyond the text
+        step = np.diff(cells)
+        up, down = (np.packbits(step == d, bitorder="little")[None] for d in (1, -1))
+        least = lines.least_in_column(up, down, column, np.array([len(a) - len(b) + column]))[0]
+        distance = levenshtein("".join(a), "".join(b))
+        assert least <= distance <= least + 8 + distance - min(
+            c + abs(len(a) - n - len(b) + column) for n, c in enumerate(cells[: len(a) + 1]))
+
+
+def test_long_and_far_apart_pairs_are_dropped_rightly():
+    rng, a, b = random.Random(11), [], []
+    for k in range(260):
+        x = "".join(rng.choices("abcd ", k=rng.randrange(150, 900)))
+        y = list(x)
+        for _ in range(rng.randrange(1 + len(x) // 2)):
+            at = rng.randrange(len(y))
+            y[at : at + rng.randrange(3)] = rng.choices("abcd ", k=rng.randrange(3))
+        a.append(x)
+        b.append("".join(y) if k % 3 else "".join(rng.choices("abcd ", k=len(x))))
+    most = np.array([int(0.2 * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b)])
+    want = [levenshtein(x, y) <= m if len(x) < 300 else lines.edit_distance(x, y, 1 << 20) <= m for x, y, m in zip(a, b, most)]
+    assert 40 < sum(want) < 160
+    assert lines.near_enough(a, b, most).tolist() == want
+    assert [lines.edit_distance(x, y, int(m)) <= m for x, y, m in zip(a, b, most)] == want
+    assert lines.similar_pairs(a, b, 0.8).tolist() == want

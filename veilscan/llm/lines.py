@@ -33,6 +33,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,10 @@ PAIRS = 4096
 #: Characters of pairs whose edit distances are found together, and the pairs below which that does not pay.
 TOGETHER = 1 << 20
 ALONE = 24
+#: Words of the table of where a character is in a text, for the pairs worked on together.
+TABLE = 1 << 22
+#: Columns after which is looked whether a distance can still be small enough.
+LOOK = 64
 #: Blocks with more candidate pairs than this for each of their rows are verified as a whole.
 DENSE = 8
 #: Bits of the table that says which lines' texts are wanted.
@@ -283,6 +288,22 @@ def first_shared_block(a: np.ndarray, b: np.ndarray, block: np.ndarray) -> np.nd
     return out
 
 
+def by_band(lists: pa.ListArray) -> np.ndarray:
+    """The keys of the bands in lists of keys, each at the place of its band: lists x ``BANDS``, 0 where there is none."""
+    out = np.zeros((len(lists), BANDS), np.int64)
+    row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+    key = np.asarray(lists.flatten())
+    row, key = row[key < 0], key[key < 0]
+    out[row, (-1 - key) >> 32] = key
+    return out
+
+
+def first_shared_band(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether ``key`` is the first key that both rows of keys have."""
+    shared = (a == b) & (a != 0)
+    return a[np.arange(len(a)), shared.argmax(axis=1)] == key
+
+
 def slabs(batches, rows: int = 1 << 18):
     """Columns (key, part, print) of about ``rows`` rows at a time, no (key, part) torn apart."""
     held = []
@@ -365,6 +386,16 @@ def meeting(found: DataFrame) -> DataFrame:
     return ends.union(found.where("b is null").select("key", F.col("a").alias("print"))).distinct()
 
 
+def least_in_column(up: np.ndarray, down: np.ndarray, column: int, ahead: np.ndarray) -> np.ndarray:
+    """What the distance of each pair is at least, from the differences in a column (bytes of eight rows): the least
+    sum of a cell and of what the lengths left differ by. Each eighth row is looked at; the others are at most eight
+    less. ``ahead``: how much more is left in row 0 of the text along the rows."""
+    cells = np.zeros((len(up), up.shape[1] + 1), np.int32)
+    np.cumsum(np.bitwise_count(up).astype(np.int32) - np.bitwise_count(down), axis=1, out=cells[:, 1:])
+    left = ahead[:, None] - 8 * np.arange(cells.shape[1])
+    return (cells + np.abs(left)).min(axis=1) + column - 8
+
+
 def edit_distance(a: str | list[str], b: str | list[str], most: int) -> int:
     """Levenshtein distance of texts or lists of words, or some number above ``most``; bit-parallel, a column at a time."""
     if abs(len(a) - len(b)) > most:
@@ -394,9 +425,18 @@ def edit_distance(a: str | list[str], b: str | list[str], most: int) -> int:
             return most + 1
         hp, hn = (hp << 1 | 1) & full, (hn << 1) & full
         up, down = hn | ~(d0 | hp) & full, hp & d0
+        if k % LOOK == LOOK - 1 and len(b) >= LOOK:
+            sides = (np.frombuffer(x.to_bytes(-(-len(b) // 8), "little"), np.uint8)[None] for x in (up, down))
+            if least_in_column(*sides, k + 1, np.array([len(b) - len(a) + k + 1]))[0] > most:
+                return most + 1
     return score
 
 
+def one_for_one(x: list[str], y: list[str], most: int) -> bool:
+    """Whether writing the words of ``y`` over those of ``x`` that differ is within ``most``."""
+    return len(x) == len(y) and sum([max(len(v), len(w)) for v, w in zip(x, y) if v != w]) <= most
+
+
 def similar(a: str, b: str, least: float) -> bool:
     """1 - edit distance / longer length >= ``least``. Edits that touch few words are seen from the words:
     replacing whole words is a way to edit, so the distance is at most what that costs."""
@@ -404,7 +444,7 @@ def similar(a: str, b: str, least: float) -> bool:
     if abs(len(a) - len(b)) > most:
         return False
     x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum([max(len(v), len(w)) for v, w in zip(x, y) if v != w]) <= most:
+    if one_for_one(x, y, most):
         return True
     longest = max(map(len, x + y)) + 1  # with the space of a word that is only in one
     if edit_distance(x, y, most // longest) * longest <= most:
@@ -412,66 +452,111 @@ def similar(a: str, b: str, least: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def padded(texts: list[str], width: int) -> np.ndarray:
-    """Code points of each text in a row of ``width``, in the narrowest integers that hold all."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = codes.astype(np.min_scalar_type(codes.max(initial=0)))
-    sizes = np.array([len(t) for t in texts])
-    out = np.zeros((len(texts), width), codes.dtype)
-    out[np.arange(width) < sizes[:, None]] = codes
-    return out
+def codes_of(texts: list[str]) -> np.ndarray:
+    """Code points of all texts, one after the other."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def near_enough(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
     """Whether the edit distance of each pair is at most ``most``, all pairs a column at a time.
 
-    The vertical differences of a column are kept as bits, 64 rows of the matrix in a word. Only words that
+    The vertical differences of a column are kept as bits, 64 rows of the matrix in a word; where a character
+    is in the first text is looked up in a table of such words. Only words that
     meet the band around the diagonal are advanced; the others stand for rows beyond any distance asked for.
-    Pairs whose second text has ended are left as they are; the differences then add up to the distance.
+    Pairs whose second text has ended are left as they are; the differences then add up to the distance. Pairs
+    of which a column says that they end beyond ``most`` are dropped on the way. The band: whoever is on the
+    diagonal x (rows less columns) and ends on the diagonal d has paid abs(x) and pays abs(d - x).
     """
+    a, b = zip(*[(x, y) if len(x) >= len(y) else (y, x) for x, y in zip(a, b)]) if len(a) else ((), ())
+    out = np.zeros(len(a), bool)
     ends = np.array([len(y) for y in b])
     order = np.argsort(-ends, kind="stable")
-    ends, rows = ends[order], np.array([len(a[k]) for k in order])
-    words, band = max(1, -(-int(rows.max(initial=0)) // 64)), int(most.max(initial=0))
-    left = padded([a[k] for k in order], 64 * words).reshape(len(order), words, 64).transpose(1, 0, 2).copy()
-    right = padded([b[k] for k in order], int(ends.max(initial=0))).T.copy()
-    up, down = np.full((words, len(order)), ~np.uint64(0)), np.zeros((words, len(order)), np.uint64)
+    ends, rows, most = ends[order], np.array([len(a[k]) for k in order]), most[order]
+    words = max(1, -(-int(rows.max(initial=0)) // 64))
+    above, below = int((most - rows + ends).max(initial=0)) // 2, int((most + rows - ends).max(initial=0)) // 2
+    codes, others = codes_of([a[k] for k in order]), codes_of([b[k] for k in order])
+    number = np.zeros(1 + max(codes.max(initial=0), others.max(initial=0)), np.int64)
+    number[codes] = 1
+    signs = np.flatnonzero(number)
+    number[signs] = np.arange(1, len(signs) + 1)
+    if len(order) > 1 and words * len(order) * (len(signs) + 1) > TABLE:
+        for half in (slice(0, len(order) // 2), slice(len(order) // 2, None)):
+            out[order[half]] = near_enough([a[k] for k in order[half]], [b[k] for k in order[half]], most[half])
+        return out
+    n = len(order)
     one, top = np.uint64(1), np.uint64(63)
+    # Place n * k + i of word w: where the sign k is in the first text of the pair i. Sign 0 is in none.
+    table_ = np.zeros((words, (len(signs) + 1) * n), np.uint64)
+    pair = np.repeat(np.arange(n), rows)
+    at = np.arange(len(codes)) - np.repeat(np.cumsum(rows) - rows, rows)
+    np.add.at(table_.reshape(-1), (at >> 6) * table_.shape[1] + number[codes] * n + pair,
+              one << (at & 63).astype(np.uint64))
+    pair = np.repeat(np.arange(n), ends)
+    right = np.zeros((int(ends.max(initial=0)), n), np.int64)
+    right[np.arange(len(others)) - np.repeat(np.cumsum(ends) - ends, ends), pair] = number[others] * n + pair
+    up, down = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
     for column in range(len(right)):
         n = int(np.searchsorted(-ends, -column))  # pairs whose second text goes on
+        if column % LOOK == 0 and column and n:
+            good = np.ones(len(ends), bool)
+            sides = (np.ascontiguousarray(x[:, :n].T).view(np.uint8) for x in (up, down))
+            good[:n] = least_in_column(*sides, column, (rows - ends)[:n] + column) <= most[:n]
+            if 4 * good.sum() < 3 * len(good):
+                order, ends, rows, most = order[good], ends[good], rows[good], most[good]
+                up, down = up[:, good], down[:, good]
+                right = right[:, good]
+                n = int(good[:n].sum())
+        if not n:
+            break
         rises, falls = one, np.uint64(0)
-        for w in range(max(0, (column - band) // 64), min(words, (column + band) // 64 + 1)):
-            equal = np.packbits(left[w, :n] == right[column, :n, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        signs_at = right[column, :n]
+        for w in range(max(0, (column - above) // 64), min(words, (column + below) // 64 + 1)):
+            equal = table_[w].take(signs_at)
             p, m = up[w, :n], down[w, :n]
             vertical = equal | m
             equal |= falls
-            across = (((equal & p) + p) ^ p) | equal
-            rise, fall = m | ~(across | p), p & across
-            rise, fall, rises, falls = (rise << one) | rises, (fall << one) | falls, rise >> top, fall >> top
-            up[w, :n] = fall | ~(vertical | rise)
-            down[w, :n] = rise & vertical
+            across = equal & p
+            across += p
+            across ^= p
+            across |= equal
+            fall = p & across
+            across |= p
+            rise = np.invert(across, out=across)
+            rise |= m
+            carry = rise >> top, fall >> top
+            rise += rise
+            rise |= rises
+            fall += fall
+            fall |= falls
+            rises, falls = carry
+            np.bitwise_and(rise, vertical, out=m)
+            vertical |= rise
+            np.invert(vertical, out=vertical)
+            np.bitwise_or(fall, vertical, out=p)
     distance = ends.copy()
     for w in range(words):
         bits = np.clip(rows - 64 * w, 0, 64).astype(np.uint64)
         mask = np.where(bits == 64, ~np.uint64(0), (one << (bits & top)) - one)
         distance += np.bitwise_count(up[w] & mask).astype(np.int64) - np.bitwise_count(down[w] & mask)
-    out = np.zeros(len(order), bool)
-    out[order] = distance <= most[order]
+    out[order] = distance <= most
     return out
 
 
 def similar_pairs(a: list[str], b: list[str], least: float) -> np.ndarray:
-    """``similar`` of each pair. Very long texts, and those of few pairs, go one by one."""
+    """``similar`` of each pair. Very long texts, and those of few pairs, go one by one; the others after a look
+    whether replacing words one for one is enough."""
     sizes = np.array([(len(x), len(y)) for x, y in zip(a, b)]).reshape(-1, 2)
     longer = sizes.max(axis=1)
     most = ((1 - least) * longer + 1e-9).astype(np.int64)
     out = np.zeros(len(a), bool)
     todo = np.flatnonzero(np.abs(sizes[:, 0] - sizes[:, 1]) <= most)
+    out[todo] = [one_for_one(a[k].split(" "), b[k].split(" "), m) for k, m in zip(todo.tolist(), most[todo].tolist())]
+    todo = todo[~out[todo]]
     todo = todo[np.argsort(longer[todo], kind="stable")]
     while len(todo):
         take = max(1, int(np.searchsorted(longer[todo] * np.arange(1, len(todo) + 1), TOGETHER, "right")))
         part, todo = todo[:take], todo[take:]
-        if take < ALONE:
+        if take < ALONE + longer[part[-1]] // 16:
             out[part] = [similar(a[k], b[k], least) for k in part]
         else:
             out[part] = near_enough([a[k] for k in part], [b[k] for k in part], most[part])
@@ -479,14 +564,16 @@ def similar_pairs(a: list[str], b: list[str], least: float) -> np.ndarray:
 
 
 def verified(rows: DataFrame, bits: int, least: float) -> DataFrame:
-    """Edges (a, b) of a forest of the linked lines of ``rows(key, print, line, norm)``."""
+    """Edges (a, b) of a forest of the linked lines of ``rows(key, print, line, keys, norm)``; ``keys`` are all keys
+    of the line in ``rows``: two lines are compared in one block and in one band."""
 
     def edges(block: pa.Table):
         key, part, own, prints = (np.asarray(block.column(k)) for k in range(4))
         values, n = prints.view(np.uint64), len(key)
         coded = block.column(4).combine_chunks().dictionary_encode()
         line, lines = np.asarray(coded.indices), coded.dictionary
-        texts = block.column(5)
+        bands, texts = by_band(block.column(5).combine_chunks()), block.column(6)
+        chars = np.asarray(pc.utf8_length(texts)).astype(np.int64)
         sets, far = Forest(len(lines)), [(np.zeros(0, np.int64),) * 2]
         start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
         size = np.diff(np.concatenate((start, [n])))
@@ -494,10 +581,16 @@ def verified(rows: DataFrame, bits: int, least: float) -> DataFrame:
         # Slices meet in many parts: pairs of one slice only count where it meets itself.
         mixed = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
 
-        def check(i, j):
-            keep = (key[i] < 0) | first_shared_block(values[i], values[j], key[i] >> 16)
-            keep &= ~mixed[group[i]] | (own[i] != own[j])
-            i, j = i[keep], j[keep]
+        pending: list = []
+
+        def compare(all_: bool = False):
+            """What is pending, if it is enough to be worked on together. The most alike first: others become connected."""
+            if not pending or not all_ and sum(len(i) for i, _ in pending) < 4 * PAIRS:
+                return
+            i, j = (np.concatenate(side) for side in zip(*pending))
+            pending.clear()
+            alike = np.argsort(np.bitwise_count(values[i] ^ values[j]), kind="stable")
+            i, j = i[alike], j[alike]
             for at in range(0, len(i), PAIRS):
                 x, y = i[at : at + PAIRS], j[at : at + PAIRS]
                 apart = sets.of[line[x]] != sets.of[line[y]]
@@ -506,7 +599,16 @@ def verified(rows: DataFrame, bits: int, least: float) -> DataFrame:
                 far.append((line[x[good]], line[y[good]]))
                 sets.unite(*far[-1])
 
-        pending: list = []
+        def check(i, j):
+            longer = np.maximum(chars[i], chars[j])
+            keep = np.abs(chars[i] - chars[j]) <= ((1 - least) * longer + 1e-9).astype(np.int64)
+            keep &= ~mixed[group[i]] | (own[i] != own[j])
+            i, j = i[keep], j[keep]
+            sketched = key[i] < 0
+            keep = np.where(sketched, first_shared_band(bands[i], bands[j], key[i]), first_shared_block(values[i], values[j], key[i] >> 16))
+            pending.append((i[keep], j[keep]))
+            compare()
+
         small = size <= SMALL_BLOCK
         at, step = np.flatnonzero(small[group]), 1  # each row with the one, two, ... rows after it
         while len(at):
@@ -514,17 +616,13 @@ def verified(rows: DataFrame, bits: int, least: float) -> DataFrame:
             at = at[group[at] == group[at + step]]
             near = at[np.bitwise_count(values[at] ^ values[at + step]) <= np.where(key[at] < 0, SKETCH_BITS, bits)]
             near = near[sets.of[line[near]] != sets.of[line[near + step]]]
-            pending.append((near, near + step))
-            if sum(len(i) for i, _ in pending) >= PAIRS:
-                check(*(np.concatenate(side) for side in zip(*pending)))
-                pending = []
+            check(near, near + step)
             step += 1
-        if pending:
-            check(*(np.concatenate(side) for side in zip(*pending)))
         for g in np.flatnonzero(~small):
             order = start[g] + np.argsort(gray_rank(values[start[g] : start[g] + size[g]]), kind="stable")
             close(values[order], None, SKETCH_BITS if key[start[g]] < 0 else bits,
                   lambda i, j: check(order[i], order[j]), lambda i, j: sets.of[line[order[i]]] == sets.of[line[order[j]]])
+        compare(True)
         a, b = (np.concatenate(side) for side in zip(*far))
         return pa.RecordBatch.from_arrays([lines.take(pa.array(side)) for side in (a, b)], ["a", "b"])
 
@@ -532,7 +630,7 @@ def verified(rows: DataFrame, bits: int, least: float) -> DataFrame:
         for block in whole_blocks(batches):
             yield edges(block)
 
-    rows = sliced(dealt(rows)).select("key", "part", "own", "print", "line", "norm")
+    rows = sliced(dealt(rows)).select("key", "part", "own", "print", "line", "keys", "norm")
     return rows.mapInArrow(run, "a binary, b binary")
 
 
@@ -586,8 +684,9 @@ def removals(docs: DataFrame, bits: int = BITS, least: float = SIMILAR) -> DataF
     meet = by_print(long.select("line", "print").join(by[False], "print", "left_semi")).select("line", "key", "print").union(
         by_sketch(long.select("line", "sketch", "keys").join(by[True], "sketch", "left_semi")).select("line", "key", "print"))
     meet = written(meet.join(near, ["key", "print"], "left_semi"), "near-lines")
-    texts = written(texts_of(meet.select("line").distinct(), docs), "near-texts")
-    keyed = meet.join(texts, "line").select("key", "print", "line", "norm")
+    wanted = meet.groupBy("line").agg(F.collect_set("key").alias("keys"))  # at most one of each block and band
+    texts = written(texts_of(wanted, docs), "near-texts")
+    keyed = meet.join(texts, "line").select("key", "print", "line", "keys", "norm")
     groups = components(verified(keyed, bits, least), "line-links")
     groups = groups.select(F.col("id").alias("line"), "component")
     # Lines that occur once and are linked to none are no longer looked at.
