@@ -17,8 +17,9 @@ one of four 16-bit blocks is equal. In SimHashes numbers are alike if the line h
 A first round moves only fingerprints. It yields candidate pairs, each of which is given to the lowest
 block in which it meets, and of blocks with very many pairs the fingerprints that have a partner there. Only
 texts of these lines are fetched, and each goes only to blocks it has a pair in. A block or band that holds
-many fingerprints is dealt over several tasks, each of which compares two slices of it; inside a task pairs
-that are already connected are neither compared nor returned.
+many fingerprints is dealt over several tasks, each of which compares two slices of it. A pair is compared in the
+first band in which both texts are, and once by SimHash; inside a task pairs that are already connected are neither
+compared nor returned.
 
 Defined results: null text stays null, empty text stays empty; white space, blank lines and the
 order of lines are kept; null ids come last in the order; rows that share an id (or have none)
