@@ -140,3 +140,73 @@ def test_long_and_far_apart_pairs_are_dropped_rightly():
     assert lines.near_enough(a, b, most).tolist() == want
     assert [lines.edit_distance(x, y, int(m)) <= m for x, y, m in zip(a, b, most)] == want
     assert lines.similar_pairs(a, b, 0.8).tolist() == want
+
+
+def test_short_words_alone_do_not_make_candidates():
+    """Lines of other long words between the same short ones: their bands must not meet, however many lines there are."""
+    rng, short = random.Random(12), "the of and to is in it a on or".split()
+    rows = [" ".join(w for pair in zip(prose(100 + k, 10, 10**9), rng.sample(short, 10)) for w in pair) for k in range(400)]
+    _, keys = lines.minhashes(rows)
+    met = sum(n * (n - 1) // 2 for band in keys.T for n in np.unique(band, return_counts=True)[1].tolist())
+    assert met < 200  # of 79,800 pairs in each of the bands; 6,000 and more where all words weigh the same
+
+
+def test_recall_of_letter_edits():
+    """A letter in a quarter of the words: most pairs meet in a band with sketches near enough, and none is left out later."""
+    rng = random.Random(13)
+    for n, least in ((8, 0.8), (20, 0.85), (60, 0.85)):
+        a, b = [], []
+        while len(a) < 300:
+            words = ["".join(rng.choices("etaoinshr", k=rng.choice([1, 2, 3, 3, 4, 5, 6, 8, 10]))) for _ in range(n)]
+            other = list(words)
+            for k in rng.sample(range(n), n // 4):
+                at = rng.randrange(len(other[k]))
+                other[k] = other[k][:at] + "z" + other[k][at + 1 :]
+            if len(" ".join(words)) >= lines.MIN_CHARS:
+                a.append(" ".join(words))
+                b.append(" ".join(other))
+        assert lines.similar_pairs(a, b, 0.8).all()
+        (s, k), (t, m) = lines.minhashes(a), lines.minhashes(b)
+        near = (k == m).any(axis=1) & (np.bitwise_count(s ^ t) <= lines.SKETCH_BITS)
+        assert near.mean() >= least
+        far = np.bitwise_count(lines.wide_sketches(a) ^ lines.wide_sketches(b)).sum(axis=1) > lines.WIDE_BITS
+        assert not (near & far).any()
+
+
+def test_words_are_hashed_alike_with_and_without_numbers():
+    rows = ["one two three four five six", "tel 030 1234 or 17 of page 9 of the book", "这是一个没有空格的很长的句子它在两份文件里都出现过一次",
+            "Überall für die Straße und zurück in größe", "12 34 56 78 90 12 34 56 78"]
+    prints, sketches, keys = lines.fingerprints(rows)
+    assert prints.tolist() == lines.simhashes(rows).tolist()
+    assert [x.tolist() for x in (sketches, keys)] == [x.tolist() for x in lines.minhashes(rows)]
+
+
+def test_hot_keys_in_slices_give_the_same_lines(docs_of, monkeypatch):
+    """Blocks and bands dealt over slices: all pairs of a slice and of two slices still meet, each once."""
+    rng, rows = random.Random(9), []
+    for group in range(3):
+        words = prose(group, 24, 90000)
+        for k in range(30):
+            other = list(words)
+            other[rng.randrange(24)] = f"edit{group}x{k}"
+            rows.append((len(rows), " ".join(other)))
+
+    def gone():
+        return {r.doc_id for r in lines.cleaned(docs_of(rows)).where("_gone is not null").collect()}
+
+    monkeypatch.setattr(lines, "SLICE", 4)
+    monkeypatch.setattr(lines, "SMALL_BLOCK", 6)
+    assert gone() == {k for k in range(90) if k % 30}
+
+
+def test_a_pair_of_slices_is_compared_where_the_slices_meet():
+    none, mixed, side = -1, lines.MIXED, lines.SIDE
+    a = np.array([[8, 16, none], [8 | mixed, 24, none], [8 | mixed, 24, none], [8 | lines.BLOCK, 16, 24]])
+    b = np.array([[16, none, none], [8 | mixed | side, 24, none], [8 | mixed, 24, none], [8 | lines.BLOCK, 24, none]])
+    for key, want in ((8, [0, 0, 0, 0]), (16, [1, 0, 0, 0]), (8 | mixed, [0, 1, 0, 0]), (24, [0, 0, 1, 1]), (8 | lines.BLOCK, [0, 0, 0, 1])):
+        assert lines.shared_first(a, b, np.full(4, key)).tolist() == [bool(w) for w in want]
+
+
+def test_spanning_pairs_are_those_that_join():
+    a, b = np.array([1, 2, 1, 4, 4, 7]), np.array([2, 3, 3, 5, 1, 7])
+    assert lines.spanning(a, b).tolist() == [True, True, False, True, True, False]
