@@ -228,3 +228,29 @@ def test_elements_of_one_set_move_once(spark, monkeypatch):
         found = {(r.left, r.right): r.overlap for r in so.overlaps(rows, rows, 0.0, hot_pairs).pairs.collect()}
         assert found == {(a, b): 53 if a == b else 3 for a in range(40) for b in range(40)}
         assert sum(kept.values()) < 1000, kept
+
+
+def registered_texts(spark):
+    texts = [PROSE, PROSE, PROSE + " and more words that only this one has here", "quite another text of a dozen words that shares nothing with those"]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "job_id long, text string")
+    return docs, fp.register(docs.select(
+        F.col("job_id").alias("document_id"), F.concat(F.lit("doc-"), "job_id").alias("name"), F.lit("o").alias("owner"),
+        F.lit(7).alias("severity"), F.lit("hold").alias("action"), "text"))
+
+
+def test_pairs_of_classes_carry_their_sizes(spark):
+    """Pairs, far more than classes, are not moved to be joined with how many members these have."""
+    docs, (registered, fingerprints) = registered_texts(spark)
+    pairs, _, _ = fp.match_classes(docs, registered, fingerprints)
+    assert {(r.job_class, r.document_class, r.jobs, r.documents) for r in pairs.collect()} == {
+        (0, 0, 2, 2), (0, 2, 2, 1), (2, 0, 1, 2), (2, 2, 1, 1), (3, 3, 1, 1)}
+    assert not [f for f in pairs.inputFiles() if "left-classes" in f or "right-classes" in f]
+
+
+def test_columns_of_documents_join_before_pairs_are_made(spark):
+    docs, (registered, fingerprints) = registered_texts(spark)
+    found = fp.corpus_matches(docs, registered, fingerprints)
+    assert {(r.job_id, r.document_id, r.document_name) for r in found.collect()} == {
+        (a, b, f"doc-{b}") for a in range(3) for b in range(3)} | {(3, 3, "doc-3")}
+    top = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+    assert "document_id" not in top
